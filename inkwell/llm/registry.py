@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from inkwell.llm import packing, token_counts
+from inkwell.llm import mixing, packing, quality, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_quality": quality.op2_quality,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_mixing": mixing.op4_mixing,
+        "op5_simhash": simhash.op5_simhash,
+        "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
