@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Hash slots.
-BITS = 18
+BITS = 22
 #: Labelled rows that a model is fitted on, at most; those with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
 #: Slots that a model keeps, those that tell the labels apart best.
 KEPT_SLOTS = 2048
+#: Standard errors by which a kept slot's shares differ, at least.
+LEAST_Z = 3.5
 #: Entries of a worker's table of tokens before it is emptied; bounds memory, not results.
 TABLE_ENTRIES = 400_000
-#: Characters of a token that are looked at one by one; a longer token has its hashes of the whole as well.
 _WORD = re.compile(r"[^\W_]+")
 _SHAPES = ((re.compile(r"\d+"), "0"), (re.compile(r"[^\W\d_]+"), lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 
@@ -35,10 +36,9 @@ def word_terms(token: str) -> set[int]:
     out = set()
     for word in _WORD.findall(token.lower()):
         out.add(slot(f"w{word}"))
-        if len(word) > 4:
-            out.add(slot(f"4{word[:4]}"))
-        if len(word) > 5:
-            out.add(slot(f"5{word[:5]}"))
+        for n in (4, 5, 7):
+            if len(word) > n:
+                out.add(slot(f"{n}{word[:n]}"))
     return out
 
 
@@ -143,7 +143,7 @@ class Sample:
         z = np.abs(a / na - b / nb) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / na + 1 / nb))
         z[a + b < least_rows] = 0
         best = np.argsort(-z, kind="stable")[:most]
-        return np.sort(best[z[best] > 2]).astype(np.int64)
+        return np.sort(best[z[best] > LEAST_Z]).astype(np.int64)
 
     def rows(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, column, count) of the entries in kept slots, by row."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import mixing, packing, quality, simhash, token_counts, toxicity
+from inkwell.llm import mixing, packing, quality, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_mixing": mixing.op4_mixing,
         "op5_simhash": simhash.op5_simhash,
+        "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.OP6_SQL}

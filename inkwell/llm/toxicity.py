@@ -59,7 +59,7 @@ def _logits(m: Machine, row, column, n):
     return m.bias + np.bincount(row, m.weights[column], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit(sample: Sample, factors: int = FACTORS, epochs: int = 60, rate: float = 0.03, decay: float = 2e-4, batch: int = 1024, seed: int = 7) -> Machine:
+def fit(sample: Sample, factors: int = FACTORS, steps: int = 800, rate: float = 0.03, decay: float = 3e-4, batch: int = 512, seed: int = 7) -> Machine:
     """Logistic loss, by Adam over seeded batches."""
     y = (sample.labels > 0).astype(float)
     n = len(y)
@@ -72,7 +72,7 @@ def fit(sample: Sample, factors: int = FACTORS, epochs: int = 60, rate: float =
     m = Machine(float(np.log(y.mean() / (1 - y.mean()))), np.zeros(k), rng.normal(0, 0.02, (k, factors)), kept)
     flat = np.concatenate([[m.bias], m.weights, m.factors.ravel()])
     first, second, t = np.zeros_like(flat), np.zeros_like(flat), 0
-    for _ in range(epochs):
+    while t < steps:
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             picked = order[lo : lo + batch]
