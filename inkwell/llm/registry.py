@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from inkwell.llm import mixing, packing, quality, simhash, token_counts, toxicity, warc
+import corpus_pipeline
+from inkwell.llm import audio, chat, mixing, packing, quality, simhash, sketches, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,8 +15,12 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_chroma": audio.op8_chroma,
+        "op9_sketches": sketches.op9_sketches,
+        "op10_chat": chat.op10_chat,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc": warc.OP6_SQL}
+    return {"op6_warc": warc.OP6_SQL, "op10_chat": chat.OP10_SQL}
