@@ -21,9 +21,8 @@ def byte_length(text: Column) -> Column:
 
 def byte_tokens(text: Column) -> Column:
     """UTF-8 bytes as ids 0-255, without Python."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    at = F.when(F.octet_length(text) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.transform(pairs, lambda pair: F.conv(pair, 16, 10).cast("int"))
 
 
 def decode_bytes(tokens: Column) -> Column:

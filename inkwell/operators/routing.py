@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 TINY = 2.0**-126
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value evaluated once, not once per element of a loop inside body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(values: Column) -> Column:
     """Of an array of doubles."""
-    top = F.array_max(values)
-    powers = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    powers = bound(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
+    return bound(powers, lambda p: bound(total(p), lambda t: F.transform(p, lambda x: x / t)))
 
 
 def probabilities(rows: DataFrame, row: str, logits: str) -> DataFrame:
@@ -80,14 +85,13 @@ def balance(probs: DataFrame, chosen: DataFrame, experts: int, k: int) -> DataFr
 
 def cross_entropy(logits: Column, target: Column, ignored: int = -100) -> Column:
     """Log-sum-exp loss of one row; 0 where the target is ignored."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.when(target == ignored, F.lit(0.0)).otherwise(top + F.log(total) - F.get(logits, target))
+    total = lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return F.when(target == ignored, F.lit(0.0)).otherwise(bound(F.array_max(logits), total) - F.get(logits, target))
 
 
 def rms_norm(values: Column, epsilon: float = 1e-6) -> Column:
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) / F.size(values)
-    return F.transform(values, lambda x: x / F.sqrt(mean + epsilon))
+    return bound(F.sqrt(mean + epsilon), lambda scale: F.transform(values, lambda x: x / scale))
 
 
 def rotate_half(values: Column, position: Column, base: float = 10000.0) -> Column:

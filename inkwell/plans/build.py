@@ -23,6 +23,8 @@ from inkwell.operators.packing import next_fit
 from inkwell.sources.documents import MANIFEST, describe_source, is_cache, manifest, read_jsonl, read_parquet
 
 FORMAT = "inkwell-cache-v1"
+#: The folder of the rows, beside the manifest.
+ROWS = "rows"
 
 
 def kept_documents(docs: DataFrame, encoder, max_docs: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, val_frac: float = 0.0, split_seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +87,8 @@ def write_cache(documents: DataFrame, out: str | Path, header: dict, shard_token
         raise FileExistsError(f"{out} holds a cache already")
     placed = next_fit(documents.select("ord", F.size("tokens").cast("long").alias("n")), shard_tokens, oversized="alone").select("ord", F.col("batch").alias("shard"))
     rows = documents.join(placed, "ord").select("ord", "tokens", "n_bytes", "shard")
-    rows.repartitionByRange("shard", "ord").sortWithinPartitions("shard", "ord").write.mode("overwrite").partitionBy("shard").parquet(str(out))
-    written = documents.sparkSession.read.parquet(str(out)) if any(out.glob("shard=*")) else None
+    rows.repartitionByRange("shard", "ord").sortWithinPartitions("shard", "ord").write.mode("overwrite").partitionBy("shard").parquet(str(out / ROWS))
+    written = documents.sparkSession.read.parquet(str(out / ROWS)) if any((out / ROWS).glob("shard=*")) else None
     shards = [] if written is None else [r.asDict() for r in written.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.sum("n_bytes").alias("text_bytes")).orderBy("shard").collect()]
     docs, tokens = sum(s["docs"] for s in shards), sum(s["tokens"] for s in shards)
     found = {"format": FORMAT, **header, "docs": docs, "tokens": tokens, "loss_tokens": tokens - docs, "text_bytes": sum(s["text_bytes"] for s in shards), "shards": shards}
@@ -138,7 +140,7 @@ def load(spark: SparkSession, path: str | Path) -> DataFrame:
         raise ValueError(f"{path} has the format {said['format']!r}")
     if not said["docs"]:
         return spark.createDataFrame([], "ord long, shard int, tokens array<int>, n_bytes long")
-    docs = spark.read.parquet(str(path)).select("ord", "shard", "tokens", "n_bytes")
+    docs = spark.read.parquet(str(Path(path) / ROWS)).select("ord", "shard", "tokens", "n_bytes")
     row = docs.agg(F.count(F.lit(1)), F.sum(F.size("tokens")), F.sum("n_bytes"), F.min(F.size("tokens"))).first()
     if tuple(row)[:3] != (said["docs"], said["tokens"], said["text_bytes"]) or row[3] < 2:
         raise ValueError(f"{path} doesn't match its manifest")
