@@ -134,10 +134,10 @@ class Sample:
 
     def best_slots(self, high: np.ndarray, most: int = KEPT_SLOTS, least_rows: int = 3) -> np.ndarray:
         """The slots whose shares among rows with and without ``high`` differ most, against chance."""
-        row = np.repeat(np.arange(len(self.labels)), np.diff(self.starts))
+        in_high = np.repeat(high, np.diff(self.starts))
         size = 1 << BITS
-        a = np.bincount(self.slots[high[row]], minlength=size).astype(float)
-        b = np.bincount(self.slots[~high[row]], minlength=size).astype(float)
+        a = np.bincount(self.slots[in_high], minlength=size).astype(np.float32)
+        b = np.bincount(self.slots[~in_high], minlength=size).astype(np.float32)
         na, nb = max(1, high.sum()), max(1, (~high).sum())
         p = (a + b) / (na + nb)
         z = np.abs(a / na - b / nb) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / na + 1 / nb))
@@ -147,12 +147,12 @@ class Sample:
 
     def rows(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, column, count) of the entries in kept slots, by row."""
-        at = np.full(1 << BITS, -1, np.int64)
+        at = np.full(1 << BITS, -1, np.int32)
         at[kept] = np.arange(len(kept))
-        row = np.repeat(np.arange(len(self.labels)), np.diff(self.starts))
         column = at[self.slots]
         keep = column >= 0
-        return row[keep], column[keep], self.counts[keep].astype(float)
+        row = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.starts))[keep]
+        return row.astype(np.int64), column[keep].astype(np.int64), self.counts[keep].astype(float)
 
 
 def _sample_with_id(batches, kind):

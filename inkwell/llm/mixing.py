@@ -91,11 +91,13 @@ def knapsack(lengths: list[int], counts: list[int], room: int) -> dict[int, int]
 
 
 def fit_rest(lengths: np.ndarray, counts: np.ndarray, rest: int, seed: int = SEED) -> np.ndarray:
-    """How many documents of each length add up to rest, or as near below it as the method gets."""
+    """How many documents of each length add up to rest, or as near to it as the method gets: below it up to half of the total, else above."""
     total = int((lengths * counts).sum())
     take = np.zeros(len(lengths), np.int64)
     if rest <= 0 or not total:
         return take
+    if 2 * rest > total:  # the smaller side has more documents to choose among
+        return counts - fit_rest(lengths, counts, total - rest, seed)
     rng = np.random.default_rng(seed)
     room = 1024 + KNAPSACK_DOCS * int(np.median(lengths))
     missing = rest
