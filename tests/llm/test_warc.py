@@ -1,0 +1,61 @@
+import gzip
+import hashlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from inkwell.llm import registry, warc
+from inkwell.llm.shared import new_folder
+
+SCHEMA = "page_id long, url string, html string, payload_digest string"
+BIG = "é" * 600  # 1,200 bytes
+TRICK = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 20
+
+
+def pages():
+    rows = [(1, "http://a/", BIG), (5, "http://b/", BIG), (3, None, BIG), (2, "http://c/\r\nX: y", TRICK), (9, "http://d/", TRICK), (4, "u", None), (6, "u", ""), (7, "u", "short"), (8, "u", "short"), (None, "u", BIG), (10, "u", "x" * 1000), (11, "u", "x" * 1000), (12, "u", "y" * 999), (13, "u", "y" * 999), (14, "u", "line\r\n\r\n\r\nend\n"), (5, "http://b/", BIG)]
+    return [(*r, "clash") for r in rows]
+
+
+def expected(rows):
+    best = {}
+    for i, _, html, _ in rows:
+        if len((html or "").encode()) >= 1000 and i is not None:
+            best[html] = max(best.get(html, i), i)
+    out = []
+    for i, _, html, _ in rows:
+        data = (html or "").encode()
+        first = best.get(html)
+        revisit = first is not None and i != first
+        out.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    return Counter(out)
+
+
+def test_round_trip(spark, tmp_path):
+    spark.createDataFrame(pages(), SCHEMA).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.queries()["op6_warc"](spark, str(tmp_path))
+    assert Counter(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())) == expected(pages())
+
+
+def test_captures_have_their_records_and_payloads(spark):
+    path = new_folder(spark, "test-archives")
+    warc.write(warc.plan_captures(spark.createDataFrame(pages(), SCHEMA)), path, part_bytes=4000)
+    captures = warc.assemble(warc.read(spark, path)).collect()
+    assert len(captures) == len(pages())
+    assert all(c["request"] and c["metadata"]["fields"]["payload-bytes"] for c in captures)
+    stored = {bytes(c["payload"]).decode() for c in captures if c["kind"] == "response"}
+    assert stored == {html or "" for _, _, html, _ in pages()}
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    assert registry.queries()["op6_warc"](spark, str(tmp_path)).count() == 0
+
+
+def test_gzip_archives(spark, tmp_path):
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Type: application/http\r\nContent-Length: 21\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhi\r\n\r\n"
+    two = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <b>\r\nWARC-Concurrent-To: <a>\r\nContent-Type: application/warc-fields\r\nContent-Length: 6\r\n\r\nk: v\r\n\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
+    row = warc.assemble(warc.read(spark, str(tmp_path))).first()
+    assert bytes(row["payload"]) == b"hi" and row["metadata"]["fields"] == {"k": "v"} and row["request"] is None
+    assert warc.read(spark, str(tmp_path)).select(F.count("record_id")).first()[0] == 2
