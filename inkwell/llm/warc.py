@@ -9,7 +9,8 @@ Archives are parts written by Spark's own committer into a shared folder, so ret
 leave no halves behind. A part is a valid WARC/1.1 file: records with CRLF header lines and an
 exact Content-Length, each followed by two CRLFs. The reader goes by Content-Length alone, so
 a payload may hold anything, even what looks like a record; it reads gzip archives, with one
-member or one per record, as well as plain ones. A part holds about ``PART_BYTES``.
+member or one per record, as well as plain ones. A part holds about ``PART_BYTES``, before it is
+compressed.
 
 Defined cases: a null or empty payload is a response of 0 bytes; payloads under ``MINIMUM`` bytes
 are never revisited; rows that share the largest id of their payload are all responses; a null
@@ -24,7 +25,7 @@ import gzip
 import io
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.shared import materialize, new_folder, table
@@ -51,19 +52,18 @@ def plan_captures(pages: DataFrame, id_column: str = "page_id", url_column: str
     return joined.select("id", "url", "payload", "size", "digest", F.when(~F.col("id").eqNullSafe(F.col("last_id")), F.col("last_id")).alias("first_id"))
 
 
-def _crlf(*lines) -> F.Column:
+def _crlf(*lines) -> Column:
     parts = [x if isinstance(x, F.Column) else F.lit(x) for x in lines]
     return F.concat(*[y for x in parts for y in (x, F.lit("\r\n"))])
 
 
-def _record(kind: str, uid: F.Column, headers: list[tuple[str, F.Column]], block: F.Column) -> F.Column:
+def _record(kind: str, uid: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
     head = _crlf("WARC/1.1", f"WARC-Type: {kind}", F.concat(F.lit("WARC-Record-ID: <urn:inkwell:"), uid, F.lit(">")), f"WARC-Date: {DATE}", *[F.concat(F.lit(f"{k}: "), v) for k, v in headers], F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
     return F.concat(head, F.lit("\r\n"), block)
 
 
 def records(captures: DataFrame) -> DataFrame:
     """(value): the three records of each capture, without the two CRLFs that end a record."""
-    # a capture's identifier: its id and its URL; captures that share both are told apart by a number
     uid = F.col("uid")
     link = F.concat(F.lit("<urn:inkwell:"), uid, F.lit(":response>"))
     url = F.regexp_replace(F.col("url"), "[\\r\\n]", "")
@@ -79,18 +79,18 @@ def records(captures: DataFrame) -> DataFrame:
     return captures.select(F.explode(F.array(request, F.when(F.col("first_id").isNull(), response).otherwise(revisit), metadata)).alias("value"))
 
 
-def write(captures: DataFrame, path: str, part_bytes: int = PART_BYTES) -> None:
-    """Write captures (see plan_captures) as WARC parts into a folder.
+def write(captures: DataFrame, path: str, part_bytes: int = PART_BYTES, compressed: bool = True) -> None:
+    """Write captures (see plan_captures) as WARC parts into a folder, in the partitions that they are in.
 
-    Their identifiers come from where a written table has them, so a retried task
-    writes the same ones.
+    A row's number tells its capture from others with the same id. All records of a capture
+    come from one evaluation of its row, so they agree on it whichever attempt of a task is
+    committed.
     """
-    held = materialize(captures, "captures")
-    total = held.agg(F.sum(F.when(F.col("first_id").isNull(), F.col("size")).otherwise(0) + F.octet_length("url") * 4 + 1400)).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    place = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.substring(F.sha1(F.concat_ws("/", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")).cast("binary")), 1, 16))
-    rows = records(held.withColumn("uid", place).repartition(int(parts)))
-    rows.write.option("lineSep", "\r\n\r\n").text(path)
+    row = captures.agg(F.count(F.lit(1)), F.sum(F.col("size") + F.octet_length("url") * 4 + 1400)).first()
+    per_part = max(1, int(3 * row[0] * part_bytes / row[1])) if row[0] else 1
+    uid = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string"))
+    rows = records(captures.withColumn("uid", uid))
+    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_part).option("compression", "gzip" if compressed else "none").text(path)
 
 
 def parse(data: bytes):
@@ -139,14 +139,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read, RECORD)
 
 
-def assemble(found: DataFrame) -> DataFrame:
+def assemble(found: DataFrame, carried: Column | None = None) -> DataFrame:
     """One row per capture: record_id, target_uri, date, kind, refers_to, payload_digest, payload, request and metadata.
 
     Request and metadata records carry no payload and meet their response or revisit in a
-    join on its identifier; each identifier is one capture, so no key is common.
+    join on its identifier; each identifier is one capture, so no key is common. carried: what
+    goes along as payload, an expression over the record; by default its bytes.
     """
     main = found.where(F.col("record_type").isin("response", "revisit", "resource"))
-    main = main.select("record_id", "target_uri", "date", F.col("record_type").alias("kind"), "refers_to", "payload_digest", "payload")
+    payload = F.col("payload") if carried is None else carried
+    main = main.select("record_id", "target_uri", "date", F.col("record_type").alias("kind"), "refers_to", "payload_digest", payload.alias("payload"))
     beside = found.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     nested = F.struct(F.col("record_id"), F.col("fields"))
     of = lambda kind: F.min(F.when(F.col("record_type") == kind, F.to_json(nested)))
@@ -158,14 +160,14 @@ def assemble(found: DataFrame) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "archives")
     write(plan_captures(table(spark, sf_dir, "pages")), path)
-    captures = assemble(read(spark, path))
-    about = F.col("metadata.fields")
     payload = F.coalesce(F.col("payload"), F.lit("").cast("binary"))
+    captures = assemble(read(spark, path), F.struct(F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("sha1")))
+    about = F.col("metadata.fields")
     own = F.col("kind") == "response"
     return captures.select(
         F.element_at(about, "page-id").try_cast("long").alias("page_id"),
-        F.when(own, F.octet_length(payload).cast("long")).otherwise(F.element_at(about, "payload-bytes").cast("long")).alias("payload_bytes"),
-        F.when(own, F.sha1(payload)).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        F.when(own, F.col("payload.size")).otherwise(F.element_at(about, "payload-bytes").cast("long")).alias("payload_bytes"),
+        F.when(own, F.col("payload.sha1")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         F.regexp_extract("refers_to", "page:(-?\\d+)>", 1).try_cast("long").alias("refers_to"),
     )
