@@ -156,27 +156,36 @@ def read_documents(spark: SparkSession, path: str | Path, tokenizer: str = "byte
 
 
 def export_shards(spark: SparkSession, path: str | Path, out: str | Path) -> None:
-    """Each shard as flat little-endian files: 16-bit tokens, 64-bit offsets, 32-bit byte lengths. One task per shard, streamed in order."""
+    """Each shard as flat little-endian files: 16-bit tokens, 64-bit offsets, 32-bit byte lengths. A shard is written by one task, in order; the folder must be one that all executors share."""
     out = Path(out)
     out.mkdir(parents=True, exist_ok=True)
     folder = str(out)
 
-    def one(key, batches):
+    def write(batches):
         import numpy as np
         import pyarrow as pa
 
-        shard, total, offsets, sizes = key[0].as_py(), 0, [0], []
-        with open(f"{folder}/shard_{shard:05d}.tokens.u16", "wb") as tokens:
-            for batch in batches:
-                for doc in batch.column("tokens"):
-                    values = np.array(doc.as_py(), "<u2")
-                    tokens.write(values.tobytes())
-                    total += len(values)
-                    offsets.append(total)
-                sizes += batch.column("n_bytes").to_pylist()
-        np.array(offsets, "<i8").tofile(f"{folder}/shard_{shard:05d}.offsets.i64")
-        np.array(sizes, "<i4").tofile(f"{folder}/shard_{shard:05d}.bytes.i32")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
-
-    rows = load(spark, path).select(F.col("shard").cast("int"), "ord", "tokens", "n_bytes").repartition("shard").sortWithinPartitions("shard", "ord")
-    rows.groupBy("shard").applyInArrow(one, "shard int").count()
+        shard, tokens, offsets, sizes = None, None, [0], []
+
+        def close():
+            tokens.close()
+            np.array(offsets, "<i8").tofile(f"{folder}/shard_{shard:05d}.offsets.i64")
+            np.array(sizes, "<i4").tofile(f"{folder}/shard_{shard:05d}.bytes.i32")
+
+        for batch in batches:
+            for number, doc, size in zip(*(batch.column(i) for i in range(3))):
+                if number.as_py() != shard:
+                    if shard is not None:
+                        close()
+                    shard, offsets, sizes = number.as_py(), [0], []
+                    tokens = open(f"{folder}/shard_{shard:05d}.tokens.u16", "wb")
+                values = doc.values.to_numpy().astype("<u2")
+                tokens.write(values.tobytes())
+                offsets.append(offsets[-1] + len(values))
+                sizes.append(size.as_py())
+        if shard is not None:
+            close()
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
+
+    rows = load(spark, path).select(F.col("shard").cast("int").alias("shard"), "ord", "tokens", "n_bytes").repartition("shard").sortWithinPartitions("shard", "ord")
+    rows.select("shard", "tokens", "n_bytes").mapInArrow(write, "shard int").count()
