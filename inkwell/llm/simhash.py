@@ -1,11 +1,11 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A fingerprint bit is 1 if it is set in over half of the hashes of a text's word shingles.
-Fingerprints link at ``radius`` or fewer differing bits. Candidates come from 2^(radius+1)-1
+Fingerprints link at ``radius`` or fewer differing bits. Candidates come from 2^(radius+1)-2
 tables: each bit position has a vector of radius+1 bits, and table v keeps the positions whose
 vector has an odd product with v. At most ``radius`` differing positions span too little to
 meet every v oddly, so in some table all of them are masked and the pair collides there: no
-linked pair is missed. A table keeps about half of the bits.
+linked pair is missed. A table keeps half of the bits.
 
 Copies share a fingerprint and are joined before any search, so all work is on distinct
 fingerprints. A bucket of a table yields a spanning forest of the links inside it, never all
@@ -73,12 +73,19 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """The bits that each table keeps, as signed longs."""
-    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
+    """The bits that each table keeps, as signed longs.
+
+    All positions' vectors have the first bit, so that each table keeps half of the bits; the
+    one table that would keep all of them finds equal fingerprints alone and is left out.
+    """
+    if not 0 < radius <= 6:
+        raise ValueError("the radius must be from 1 to 6: beyond, 64 bits leave tables too little")
+    vectors = [(1 << radius) + i % (1 << radius) for i in range(bits)]
     masks = []
     for v in range(1, 2 ** (radius + 1)):
         mask = sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+        if mask != (1 << bits) - 1:
+            masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
 
@@ -166,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return out.withColumnRenamed("id", id_column)
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, words_each: int = 5, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = 6, words_each: int = 5, block: int = BLOCK) -> DataFrame:
     """One row of each component with all its columns: that of the least id (nulls last), of equal ids the least by hash."""
 
     @F.pandas_udf(T.LongType())

@@ -17,7 +17,7 @@ def test_stages_take_effect(spark, small):
     good = {r["doc_id"] for r in quality.grade(one, quality.learn(one, labels)).where("selected").collect()}
     assert two.columns == docs.columns and {r["doc_id"] for r in two.select("doc_id").collect()} == good
     three = materialize(stage["simhash near-dedup"](spark, two, small), "three")
-    firsts = {r["component_id"] for r in simhash.near_duplicates(two, words_each=5).collect()}
+    firsts = {r["component_id"] for r in simhash.near_duplicates(two, words_each=5, radius=6).collect()}
     assert three.columns == docs.columns and sorted(r["doc_id"] for r in three.select("doc_id").collect()) == sorted(firsts)
     four = materialize(stage["mixing"](spark, three, small), "four")
     want = {r["doc_id"]: r["repeats"] for r in mixing.mix(three).collect() if r["repeats"]}

@@ -46,14 +46,16 @@ def test_spark_hash_is_the_same(spark):
 
 
 def test_every_close_pair_meets_in_a_table():
-    rng, masks = random.Random(5), [m % (1 << 64) for m in simhash.covering_masks(4)]
-    assert len(masks) == 31
-    for _ in range(3000):
-        x = rng.getrandbits(64)
-        y = x
-        for b in rng.sample(range(64), rng.randint(1, 4)):
-            y ^= 1 << b
-        assert any(x & m == y & m for m in masks)
+    rng = random.Random(5)
+    for radius, tables in ((1, 2), (4, 30), (6, 126)):
+        masks = [m % (1 << 64) for m in simhash.covering_masks(radius)]
+        assert len(masks) == tables and {m.bit_count() for m in masks} == {32}
+        for _ in range(1500):
+            x = rng.getrandbits(64)
+            y = x
+            for b in rng.sample(range(64), rng.randint(1, radius)):
+                y ^= 1 << b
+            assert any(x & m == y & m for m in masks)
 
 
 def test_forest_links_as_all_pairs_do():
@@ -81,9 +83,9 @@ def documents(seed=7, n=160):
 SCHEMA = "doc_id long, text string, component_id string"
 
 
-def expected(rows):
+def expected(rows, radius=4):
     fps = [slow_fingerprint(t) for _, t, _ in rows]
-    group = slow_components(fps, 4)
+    group = slow_components(fps, radius)
     names = {}
     for (i, _, _), g in zip(rows, group):
         names[g] = min((x for x in (names.get(g), i) if x is not None), default=None)
@@ -102,7 +104,7 @@ def test_components_against_brute_force(spark):
 
 def test_one_of_each_component_stays(spark):
     rows = documents(8)
-    _, group, names = expected(rows)
+    _, group, names = expected(rows, 6)
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), words_each=4)
     assert kept.columns == ["doc_id", "text", "component_id"]
     got = [r["doc_id"] for r in kept.collect()]
