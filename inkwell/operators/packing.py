@@ -5,8 +5,10 @@ sequential: what a chunk of documents does depends on how full the open batch is
 begins. But that fill only decides how many of the chunk's first documents still fit. So each
 chunk tabulates, for every such number, the batches that it then closes and the fill it leaves
 (one pass from its end, as later batches don't depend on how they were reached). The tables
-have as many rows as documents fit into one batch. Chaining them takes one look-up per chunk;
-then each chunk knows its state and numbers its documents.
+have as many rows as documents fit into one batch, and they go to the driver: a few dozen rows for
+65,536 documents at a training window, but up to one row per document where a batch (a shard of
+a billion tokens, say) holds whole chunks. Chaining them takes one look-up per chunk; then each
+chunk knows its state and numbers its documents.
 """
 
 from __future__ import annotations
