@@ -44,5 +44,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables and archives that this application has written to the shared folder, once nothing reads them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
