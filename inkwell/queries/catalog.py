@@ -107,7 +107,7 @@ WITH h AS (SELECT hex(encode(text)) AS h, strlen(text) AS n FROM documents),
 t AS (SELECT CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) AS token FROM h, LATERAL (SELECT unnest(generate_series(0, n - 1)) AS i))
 SELECT token, count(*) AS n FROM t GROUP BY token""")
 def byte_histogram(spark, sf_dir):
-    tokens = _table(spark, sf_dir, "documents").select(F.explode(X.byte_tokens(F.col("text"))).alias("token"))
+    tokens = _table(spark, sf_dir, "documents").select(F.explode(encoder().tokens(F.col("text"))).alias("token"))
     return tokens.groupBy(F.col("token").cast("long").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -295,7 +295,7 @@ def shard_layout(spark, sf_dir):
 
 @_query(f"WITH {DOCS} SELECT count(*) AS docs, CAST(sum(n + 1) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS loss_tokens, CAST(sum(n_bytes) AS BIGINT) AS text_bytes FROM docs")
 def manifest_totals(spark, sf_dir):
-    tokens = F.size(X.framed(X.byte_tokens(F.col("text")))).cast("long")
+    tokens = F.size(X.framed(encoder().tokens(F.col("text")))).cast("long")
     docs = _documents(spark, sf_dir).select(tokens.alias("t"), "n_bytes")
     return docs.agg(F.count(F.lit(1)).alias("docs"), F.sum("t").alias("tokens"), (F.sum("t") - F.count(F.lit(1))).alias("loss_tokens"), F.sum("n_bytes").alias("text_bytes"))
 
