@@ -185,7 +185,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = materialize(rows, "mixed").withColumns({"file": F.col("_metadata.file_name"), "at": F.col("_metadata.row_index")})
     light = materialize(rows.select("file", "at", "source", "size", "mark"), "sizes")
     chosen = taken(light, weights, share, most_repeats, seed).where("repeats > 0").select("file", "at", "repeats")
-    out = rows.select("file", "at", "row").join(materialize(chosen, "chosen"), ["file", "at"])
+    # a merge at every size: chosen grows with the rows
+    out = rows.select("file", "at", "row").hint("merge").join(materialize(chosen, "chosen"), ["file", "at"])
     return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 

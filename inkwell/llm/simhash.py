@@ -191,7 +191,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     labelled = materialize(classes(rows.select("id", "fp"), radius, block).select("fp", "root"), "classes")
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
     winners = firsts.join(labelled, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at")
-    return rows.join(materialize(winners, "winners"), ["file", "at"], "left_semi").select("row.*")
+    # a merge at every size: winners grow with the rows
+    return rows.hint("merge").join(materialize(winners, "winners"), ["file", "at"], "left_semi").select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
