@@ -9,6 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ KEPT_SLOTS = 2048
 #: Standard errors by which a kept slot's shares differ, at least.
 LEAST_Z = 3.5
 #: Entries of a worker's table of tokens before it is emptied; bounds memory, not results.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _SHAPES = ((re.compile(r"\d+"), "0"), (re.compile(r"[^\W\d_]+"), lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 
@@ -53,6 +54,8 @@ def style_terms(token: str) -> set[int]:
 #: Stands for a token that equals the one before it.
 REPEAT = slot("=repeat")
 TERMS = {"words": word_terms, "style": style_terms}
+#: Kinds whose models need how many tokens have a slot; the others take 1.
+COUNTED = {"style"}
 
 
 class Columns(dict):
@@ -100,7 +103,7 @@ def _sample(batches, kind):
             text = text.as_py() or ""
             found = all_slots(text, kind)
             slots.append(np.fromiter(found.keys(), np.int32, len(found)))
-            counts.append(np.fromiter(found.values(), np.int32, len(found)))
+            counts.append(np.fromiter(found.values(), np.int32, len(found)) if kind in COUNTED else [])
             sizes.append(len(text.split()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], names=["label", "slots", "counts", "n_words"])
 
@@ -126,11 +129,14 @@ class Sample:
         schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("n_words", T.LongType()), T.StructField("id", joined.schema["id"].dataType)])
         found = joined.select("label", "text", "id").mapInArrow(partial(_sample_with_id, kind=kind), schema).toArrow().sort_by("id")
         self.labels = found.column("label").to_numpy().astype(np.int64)
-        lengths = [len(x) for x in found.column("slots")]
+        self.n_words = found.column("n_words").to_numpy().copy()
+        lengths = pc.list_value_length(found.column("slots")).to_numpy()
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        flat = lambda name: found.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False) if found.num_rows else np.zeros(0, np.int32)
-        self.slots, self.counts = flat("slots"), flat("counts")
-        self.n_words = found.column("n_words").to_numpy()
+        flat = lambda name: pc.list_flatten(found.column(name)).to_numpy().copy() if found.num_rows else np.zeros(0, np.int32)
+        self.slots = flat("slots")
+        self.counts = flat("counts") if kind in COUNTED else None
+        del found
+        pa.default_memory_pool().release_unused()
 
     def best_slots(self, high: np.ndarray, most: int = KEPT_SLOTS, least_rows: int = 3) -> np.ndarray:
         """The slots whose shares among rows with and without ``high`` differ most, against chance."""
@@ -152,7 +158,8 @@ class Sample:
         column = at[self.slots]
         keep = column >= 0
         row = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.starts))[keep]
-        return row.astype(np.int64), column[keep].astype(np.int64), self.counts[keep].astype(float)
+        counts = np.ones(len(row)) if self.counts is None else self.counts[keep].astype(float)
+        return row.astype(np.int64), column[keep].astype(np.int64), counts
 
 
 def _sample_with_id(batches, kind):
