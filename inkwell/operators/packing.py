@@ -5,10 +5,14 @@ sequential: what a chunk of documents does depends on how full the open batch is
 begins. But that fill only decides how many of the chunk's first documents still fit. So each
 chunk tabulates, for every such number, the batches that it then closes and the fill it leaves
 (one pass from its end, as later batches don't depend on how they were reached). The tables
-have as many rows as documents fit into one batch, and they go to the driver: a few dozen rows for
-65,536 documents at a training window, but up to one row per document where a batch (a shard of
-a billion tokens, say) holds whole chunks. Chaining them takes one look-up per chunk; then each
-chunk knows its state and numbers its documents.
+have as many rows as documents fit into one batch: a few dozen for 65,536 documents at a training
+window. They go to the driver; chaining them takes one look-up per chunk. Then each chunk
+knows its state and numbers its documents.
+
+Where a batch holds whole chunks (a shard of a billion tokens), tables would be as long as the
+chunks. Then the driver has the chunks' totals alone and fetches the lengths of those chunks in
+which a batch ends, many at a time: it guesses the next ends from the totals, and fetches anew
+from where a guess was wrong.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
+#: Chunks whose lengths are fetched at once, at 8 bytes a document.
+FETCHED = 64
 
 
 def _reach(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -61,6 +67,58 @@ def _number(pdf: pd.DataFrame, room: int) -> pd.DataFrame:
     return pd.DataFrame({"ord": pdf["ord"].to_numpy(), "n": lengths, "batch": batch + np.cumsum(marks)})
 
 
+def _through(lengths: np.ndarray, fill: int, room: int) -> tuple[int, int]:
+    """(batches closed in a chunk, fill it leaves), for the fill that it begins with."""
+    n, ends = len(lengths), _reach(lengths, room)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    at = max(0, int(np.searchsorted(bounds, room - fill, side="right") - 1)) if fill else 0
+    if at == n:
+        return 0, fill + int(bounds[n])
+    closed, begun = int(fill > 0), at
+    while (at := int(ends[at])) < n:
+        closed, begun = closed + 1, at
+    return closed, int(bounds[n] - bounds[begun])
+
+
+def _chain_tables(rows: DataFrame, room: int) -> list[tuple[int, int, int]]:
+    """(chunk, fill, batch) at each chunk's begin, from tables of all chunks."""
+    tables = rows.groupBy("chunk").applyInPandas(lambda pdf: _table(pdf, room), "chunk long, k long, upto long, next long, closed long, fill long").toPandas()
+    states, fill, batch = [], 0, 0
+    for number, t in tables.sort_values(["chunk", "k"]).groupby("chunk", sort=True):
+        states.append((int(number), fill, batch))
+        row = t.iloc[max(0, int(np.searchsorted(t["upto"].to_numpy(), room - fill, side="right") - 1)) if fill else 0]
+        if fill and row["next"] < 0:  # the whole chunk fits the open batch
+            fill += int(row["upto"])
+        else:
+            batch += int(row["closed"]) + (1 if fill else 0)
+            fill = int(row["fill"])
+    return states
+
+
+def _chain_totals(rows: DataFrame, room: int, totals: list[tuple[int, int]], at_once: int = FETCHED) -> list[tuple[int, int, int]]:
+    """The same from the chunks' totals, and the lengths of chunks in which a batch ends."""
+    states, fill, batch, held = [], 0, 0, {}
+    for i, (number, total) in enumerate(totals):
+        states.append((number, fill, batch))
+        if fill + total <= room:
+            fill += total
+            continue
+        if number not in held:
+            guess, wanted = fill, []
+            for later, sum_ in totals[i:]:
+                guess += sum_
+                if guess > room:
+                    wanted.append(later)
+                    guess %= room
+                if len(wanted) == at_once:
+                    break
+            found = rows.where(F.col("chunk").isin(wanted)).select("chunk", "ord", "n").toPandas().sort_values("ord")
+            held = {int(c): part["n"].to_numpy(np.int64) for c, part in found.groupby("chunk")}
+        closed, fill = _through(held.pop(number), fill, room)
+        batch += closed
+    return states
+
+
 def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int = CHUNK) -> DataFrame:
     """(ord, n, batch) for documents (ord, n) numbered from 0 without gaps; batches are numbered from 0.
 
@@ -74,17 +132,10 @@ def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int
         n = F.when(n > room, F.raise_error(F.concat(F.lit("document "), F.col("ord").cast("string"), F.lit(f" doesn't fit {room}")))).otherwise(n)
     n = F.when(n <= 0, F.raise_error(F.lit("a document has no token"))).otherwise(n)
     rows = lengths.select(F.col("ord").cast("long").alias("ord"), n.alias("n"), F.floor(F.col("ord") / chunk).cast("long").alias("chunk"))
-    tables = rows.groupBy("chunk").applyInPandas(lambda pdf: _table(pdf, room), "chunk long, k long, upto long, next long, closed long, fill long").toPandas()
-    states, fill, batch = [], 0, 0
-    for number, t in tables.sort_values(["chunk", "k"]).groupby("chunk", sort=True):
-        states.append((int(number), fill, batch))
-        row = t.iloc[max(0, int(np.searchsorted(t["upto"].to_numpy(), room - fill, side="right") - 1)) if fill else 0]
-        if fill and row["next"] < 0:  # the whole chunk fits the open batch
-            fill += int(row["upto"])
-        else:
-            batch += int(row["closed"]) + (1 if fill else 0)
-            fill = int(row["fill"])
-    started = rows.sparkSession.createDataFrame(states or [(0, 0, 0)], "chunk long, fill long, batch long")
+    totals = sorted((r["chunk"], r["t"]) for r in rows.groupBy("chunk").agg(F.sum("n").alias("t")).collect())
+    wide = room * len(totals) > sum(t for _, t in totals) // 8
+    states = (_chain_totals(rows, room, totals) if wide else _chain_tables(rows, room)) or [(0, 0, 0)]
+    started = rows.sparkSession.createDataFrame(states, "chunk long, fill long, batch long")
     return rows.join(started, "chunk").groupBy("chunk").applyInPandas(lambda pdf: _number(pdf, room), "ord long, n long, batch long")
 
 

@@ -51,6 +51,16 @@ def test_next_fit_in_chunks_is_the_loop(spark, chunk):
         assert [r["batch"] for r in got] == loop(lengths, room, alone)
 
 
+def test_both_ways_of_chaining_chunks(spark):
+    rng = random.Random(5)
+    for room, top in ((30, 9), (12, 20), (400, 40)):
+        lengths = [rng.randint(1, top) for _ in range(150)]
+        rows = spark.createDataFrame([(i, n, i // 10) for i, n in enumerate(lengths)], "ord long, n long, chunk long")
+        totals = [(c, sum(lengths[10 * c : 10 * c + 10])) for c in range(15)]
+        tables = packing._chain_tables(rows, room)
+        assert tables == packing._chain_totals(rows, room, totals) == packing._chain_totals(rows, room, totals, at_once=2)
+
+
 def test_oversized_and_empty_documents_are_refused(spark):
     for lengths in ([3, 12, 2], [3, 0]):
         frame = spark.createDataFrame(list(enumerate(lengths)), "ord long, n long")
