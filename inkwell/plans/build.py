@@ -1,7 +1,7 @@
 """The corpus build: filter, split, tokenize, order and write caches with manifests; and reading them.
 
 A cache is a folder of Parquet, one row per document (ord, shard, tokens, n_bytes), partitioned by
-shard, and a manifest that is written last. All narrow steps are one stage; the split is decided
+shard, and a manifest that is written last. It lies at a path that all machines mount. All narrow steps are one stage; the split is decided
 before tokenizing; both sides are written from one written table of kept documents.
 """
 

@@ -6,8 +6,6 @@ methods: running sums are plain windows there, and next-fit is a recursive query
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +19,7 @@ from inkwell.operators import packing as P
 from inkwell.operators import prefix as R
 from inkwell.operators import routing as E
 from inkwell.plans import build
+from inkwell.session import scratch
 from inkwell.sources import documents as S
 
 WINDOW = 49_152
@@ -165,7 +164,7 @@ def parquet_source(spark, sf_dir):
 
 @_query(f"WITH {DOCS} SELECT ord, text FROM docs")
 def jsonl_source(spark, sf_dir):
-    out = f"{tempfile.mkdtemp(prefix='inkwell-')}/documents"
+    out = scratch(spark, "documents")
     docs = _documents(spark, sf_dir)
     docs.orderBy("ord").coalesce(1).select("text").write.option("ignoreNullFields", "false").json(out)
     return S.read_jsonl(spark, out).select("ord", "text")
@@ -557,6 +556,6 @@ def silu_values(spark, sf_dir):
 @_query(f"""WITH {DOCS} SELECT ord, CAST(n + 1 AS BIGINT) AS n_tokens, n_bytes FROM (SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, n, n_bytes FROM docs WHERE n_bytes <= {BYTE_LIMIT})""")
 def cache_roundtrip(spark, sf_dir):
     """A cache built from the documents and read back."""
-    out = f"{tempfile.mkdtemp(prefix='inkwell-')}/cache"
+    out = scratch(spark, "cache")
     build.build(spark, f"{sf_dir}/documents.parquet", out, max_bytes=BYTE_LIMIT, shard_tokens=SHARD)
     return build.load(spark, out).select("ord", F.size("tokens").cast("long").alias("n_tokens"), "n_bytes")
