@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.hashed_text import REPEAT, SAMPLE_ROWS, Sample, columns, held_out
-from inkwell.llm.shared import table
+from inkwell.llm.shared import table, trim
 
 #: Rows are selected whose probability of the tail grade or better is this at least.
 SELECTED = 0.5
@@ -142,7 +142,9 @@ def keep_selected(docs: DataFrame, g: Grader, text_column: str = "text", at_leas
 
     @F.pandas_udf(T.DoubleType())
     def reaching(texts: pd.Series) -> pd.Series:
-        return pd.Series(g.reaching(g.tails(_scale(list(texts), g)), at_least), dtype=float)
+        scale = _scale(list(texts), g)
+        trim()
+        return pd.Series(g.reaching(g.tails(scale), at_least), dtype=float)
 
     return docs.where(reaching(F.coalesce(F.col(text_column).cast("string"), F.lit(""))) >= selected)
 

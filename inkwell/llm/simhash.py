@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.components import components
-from inkwell.llm.shared import materialize, table
+from inkwell.llm.shared import materialize, table, trim
 
 RADIUS = 4
 WORDS = 4
@@ -180,7 +180,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def printed(texts):
         import pandas as pd
 
-        return pd.Series(np.array([fingerprint(x, words_each) for x in texts], np.uint64).view(np.int64))
+        found = np.array([fingerprint(x, words_each) for x in texts], np.uint64).view(np.int64)
+        trim()
+        return pd.Series(found)
 
     names = docs.columns
     other = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text_column]))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.hashed_text import SAMPLE_ROWS, Sample, columns, held_out
-from inkwell.llm.shared import table
+from inkwell.llm.shared import table, trim
 
 FACTORS = 8
 THRESHOLD = 0.3
@@ -120,7 +120,9 @@ def keep_clean(docs: DataFrame, m: Machine, text_column: str = "text", threshold
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scores(texts, m), dtype=float)
+        found = _scores(texts, m)
+        trim()
+        return pd.Series(found, dtype=float)
 
     return docs.where(scored(F.coalesce(F.col(text_column).cast("string"), F.lit(""))) < threshold)
 
