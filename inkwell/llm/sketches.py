@@ -2,14 +2,16 @@
 
 A text's words (lower case, ended by ASCII white space) make five-word shingles; fewer words
 make one. The sketch is every distinct shingle hash below a fixed fraction of the hash range,
-so its size follows the text's and nothing depends on other texts. Sketches of parts merge by
-union into the sketch of the whole, and as one threshold holds for all, the share of a sketch
-found in another estimates containment even between very unequal documents.
+so its size follows the text's and nothing depends on other texts. Here the fraction is all of
+the range (``SCALE`` 1), so that likeness is the Jaccard index of all shingles and short texts
+lose nothing; a smaller one gives estimates. Sketches of parts merge by union into the sketch of
+the whole, and as one threshold holds for all, the share of a sketch found in another is
+containment (or estimates it) even between very unequal documents.
 
 The fingerprint is a hash of the whole word sequence, a colon, and the sketch's hashes in
 order, 16 hexadecimal digits each. Likeness is the Jaccard index of two sketches; where both
-are empty (short texts whose few hashes all lie above the threshold, or no words) it is 1 if the
-word sequences have equal hashes, else 0.
+are empty (no words, or with a smaller fraction short texts whose few hashes all lie above the
+threshold) it is 1 if the word sequences have equal hashes, else 0.
 
 For a document's neighbour, ids are cut into ranges at ids that occur (approximate quantiles,
 at most ``MOST_RANGES``). A row that starts a range also visits the range before it, and the
@@ -29,15 +31,14 @@ from pyspark.sql import functions as F
 from inkwell.llm.shared import table
 
 WORDS = 5
-#: One in so many hashes is kept.
-SCALE = 8
+#: One in so many hashes is kept; 1 keeps all.
+SCALE = 1
 ROWS_PER_RANGE = 512
 MOST_RANGES = 1 << 14
 
 
 def with_sketch(df: DataFrame, text_column: str, sketch: str, whole: str, words_each: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Adds the sketch (sorted hashes) and the hash of the whole word sequence. The steps are columns of their own, so that none is evaluated within another's loop."""
-    cutoff = F.lit(-(1 << 63) + (1 << 64) // scale - (1 if scale == 1 else 0))
     split = F.filter(F.split(F.lower(F.col(text_column)), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     out = df.withColumn("__words", split)
     out = out.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
@@ -45,7 +46,8 @@ def with_sketch(df: DataFrame, text_column: str, sketch: str, whole: str, words_
     long = F.transform(F.slice("__hashes", F.lit(1), F.greatest(F.size("__hashes") - (words_each - 1), F.lit(0))), window)
     short = F.filter(F.array(F.xxhash64(F.concat_ws(" ", "__words"))), lambda _: F.size("__words") > 0)
     out = out.withColumn("__shingles", F.when(F.size("__hashes") >= words_each, long).otherwise(short))
-    kept = F.array_sort(F.array_distinct(F.filter("__shingles", lambda x: x < cutoff)))
+    below = F.col("__shingles") if scale == 1 else F.filter("__shingles", lambda x: x < F.lit(-(1 << 63) + (1 << 64) // scale))
+    kept = F.array_sort(F.array_distinct(below))
     return out.withColumn(sketch, kept).withColumn(whole, F.xxhash64("__hashes")).drop("__words", "__hashes", "__shingles")
 
 
@@ -65,7 +67,7 @@ def likeness(a: str, a_whole: str, b: str, b_whole: str) -> F.Column:
 
 
 def containment(a: str, b: str) -> F.Column:
-    """The estimated share of a's shingles that b has; null where a's sketch is empty."""
+    """The share of a's shingles that b has, an estimate unless sketches keep all; null where a's sketch is empty."""
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 

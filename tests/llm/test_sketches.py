@@ -94,3 +94,20 @@ def test_merge_and_containment(spark):
 def test_main_path_is_native(spark, small):
     plan = registry.queries()["op9_sketches"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_short_texts_have_their_true_likeness(spark, tmp_path):
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 24))), "") for i in range(200)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.queries()["op9_sketches"](spark, str(tmp_path)).collect()}
+
+    def shingles(text):
+        found = text.split()
+        return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))}
+
+    for i, text, _ in rows:
+        q = len(text) // 4
+        a, b = shingles(text), shingles(text[: len(text) - q] + rows[(i + 1) % len(rows)][1][:q])
+        assert not got[i]["fingerprint"].endswith(":") and got[i]["near_edited"] == len(a & b) / len(a | b)
