@@ -3,7 +3,7 @@
 A capture is written as a request, a response (or a revisit of an earlier response with the
 same payload) and a metadata record. Request and metadata name the response or revisit in
 ``WARC-Concurrent-To``. ``assemble`` joins the records of an archive by these identifiers and
-emits one nested row per capture.
+emits one nested row per capture, with all of its concurrent records and their contents.
 
 Archives are parts written by Spark's own committer into a shared folder, so retried tasks
 leave no halves behind. A part is a valid WARC/1.1 file: records with CRLF header lines and an
@@ -35,7 +35,9 @@ PART_BYTES = 16 << 20
 #: Every capture has the same date: the tables have none.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, payload_digest string, fields map<string,string>, payload binary"
+RECORD = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, payload_digest string, fields map<string,string>, http binary, payload binary, block binary"
+#: What a concurrent record has in a capture's row.
+NESTED = ("record_id", "record_type", "fields", "http", "block")
 
 
 def plan_captures(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", minimum: int = MINIMUM) -> DataFrame:
@@ -113,19 +115,20 @@ def parse(data: bytes):
 
 
 def _read(batches):
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("http", pa.binary()), ("payload", pa.binary()), ("block", pa.binary())])
     for batch in batches:
         for content in batch.column(0):
             rows, held = [], 0
             for headers, block in parse(content.as_py()):
                 kind = headers.get("warc-type")
-                fields = None
+                fields = http = None
                 if headers.get("content-type", "").startswith("application/http"):
-                    block = block.partition(b"\r\n\r\n")[2]
+                    head, _, block = block.partition(b"\r\n\r\n")
+                    http = head
                 elif headers.get("content-type", "").startswith("application/warc-fields"):
                     fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode("utf-8", "replace").splitlines() if ":" in line]
-                rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-refers-to"), headers.get("warc-payload-digest"), fields, block if kind in ("response", "resource") else None))
-                held += len(block)
+                rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-refers-to"), headers.get("warc-payload-digest"), fields, http, *((block, None) if kind in ("response", "resource") else (None, block))))
+                held += len(block) + len(http or b"")
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(schema, zip(*rows))}, schema=schema)
                     rows, held = [], 0
@@ -134,27 +137,35 @@ def _read(batches):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in a folder."""
+    """One row per record of the archives in a folder.
+
+    http: the request or status line and the headers of an HTTP message, without the empty line
+    that ends them. What follows, or the whole block of any other record, is the payload of a
+    response or resource and the block of all others.
+    """
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     return files.mapInArrow(_read, RECORD)
 
 
 def assemble(found: DataFrame, carried: Column | None = None) -> DataFrame:
-    """One row per capture: record_id, target_uri, date, kind, refers_to, payload_digest, payload, request and metadata.
+    """One row per capture: record_id, target_uri, date, kind, refers_to, payload_digest, http, payload, concurrent, request and metadata.
 
-    Request and metadata records carry no payload and meet their response or revisit in a
-    join on its identifier; each identifier is one capture, so no key is common. carried: what
-    goes along as payload, an expression over the record; by default its bytes.
+    concurrent has every other record that names the capture, in order of record_id, with its
+    contents; request and metadata are the first of each kind. They meet their response or
+    revisit in a join on its identifier; each identifier is one capture, so no key is common.
+    carried: what goes along as payload, an expression over the record; by default its bytes.
     """
     main = found.where(F.col("record_type").isin("response", "revisit", "resource"))
     payload = F.col("payload") if carried is None else carried
-    main = main.select("record_id", "target_uri", "date", F.col("record_type").alias("kind"), "refers_to", "payload_digest", payload.alias("payload"))
-    beside = found.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
-    nested = F.struct(F.col("record_id"), F.col("fields"))
-    of = lambda kind: F.min(F.when(F.col("record_type") == kind, F.to_json(nested)))
-    beside = beside.groupBy(F.col("concurrent_to").alias("record_id")).agg(of("request").alias("request"), of("metadata").alias("metadata"))
-    inner = "record_id string, fields map<string,string>"
-    return main.join(beside, "record_id", "left").withColumns({"request": F.from_json("request", inner), "metadata": F.from_json("metadata", inner)})
+    main = main.select("record_id", "target_uri", "date", F.col("record_type").alias("kind"), "refers_to", "payload_digest", "http", payload.alias("payload"))
+    beside = found.where(~F.col("record_type").isin("response", "revisit", "resource") & F.col("concurrent_to").isNotNull())
+    nested = F.struct(*NESTED)
+    order = lambda of: F.struct(F.coalesce(of("record_id"), F.lit("")), of("record_type"), F.to_json(F.struct(of("fields"))), of("http"), of("block"))
+    first = lambda kind: F.min_by(nested, F.when(F.col("record_type") == kind, order(F.col)))
+    after = lambda x, y: F.when(order(x.getField) < order(y.getField), -1).when(order(x.getField) > order(y.getField), 1).otherwise(0)
+    beside = beside.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.collect_list(nested).alias("concurrent"), first("request").alias("request"), first("metadata").alias("metadata"))
+    joined = main.join(beside, "record_id", "left")
+    return joined.withColumn("concurrent", F.coalesce(F.array_sort("concurrent", after), F.array()))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,25 @@ def test_gzip_archives(spark, tmp_path):
     row = warc.assemble(warc.read(spark, str(tmp_path))).first()
     assert bytes(row["payload"]) == b"hi" and row["metadata"]["fields"] == {"k": "v"} and row["request"] is None
     assert warc.read(spark, str(tmp_path)).select(F.count("record_id")).first()[0] == 2
+
+
+def test_captures_keep_all_records_and_their_contents(spark, tmp_path):
+    def record(kind, name, content_type, block, beside=None):
+        lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
+        return "\r\n".join([*lines, *([f"WARC-Concurrent-To: <{beside}>"] if beside else [])]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    get = b"POST /x HTTP/1.1\r\nHost: a\r\n\r\nq=1"
+    answer = b"HTTP/1.1 404 Not Found\r\nServer: s\r\n\r\ngone"
+    (tmp_path / "x.warc").write_bytes(
+        record("request", "r", "application/http; msgtype=request", get, "a")
+        + record("response", "a", "application/http; msgtype=response", answer)
+        + record("metadata", "m2", "application/json", b'{"k": 1}', "a")
+        + record("metadata", "m1", "application/warc-fields", b"via: u\r\nvia: v\r\n", "a")
+        + record("response", "b", "application/http", answer)
+    )
+    rows = {r["record_id"]: r for r in warc.assemble(warc.read(spark, str(tmp_path))).collect()}
+    a = rows["<a>"]
+    assert bytes(a["http"]) == b"HTTP/1.1 404 Not Found\r\nServer: s" and bytes(a["payload"]) == b"gone"
+    assert bytes(a["request"]["http"]) == b"POST /x HTTP/1.1\r\nHost: a" and bytes(a["request"]["block"]) == b"q=1"
+    assert [(x["record_id"], bytes(x["block"])) for x in a["concurrent"]] == [("<m1>", b"via: u\r\nvia: v\r\n"), ("<m2>", b'{"k": 1}'), ("<r>", b"q=1")]
+    assert a["metadata"]["record_id"] == "<m1>" and rows["<b>"]["concurrent"] == [] and rows["<b>"]["request"] is None
