@@ -3,8 +3,8 @@
 A template is any function from a list of (role, text) turns to a string. Successive prefixes
 of a conversation are rendered and consecutive outputs compared: where the longer output
 begins with the shorter, what it adds is the new turn's span. Where it doesn't, the template
-rewrites history; the conversation is marked with the turn at which that was seen, and its
-texts are located in the final output alone. Inside a turn, a rendering with a one-character
+rewrites history; all turns at which that was seen are listed, and each turn's text is located
+in the final output alone, by probes. Inside a turn, a rendering with a one-character
 probe in place of the text shows how much scaffold stands before and after it; the loss mask
 is what lies between, for the roles that are learned from.
 
@@ -75,12 +75,16 @@ def turns_of(formatted: str) -> list[Turn]:
 @dataclass
 class Formatted:
     text: str
-    #: Where each turn is; empty if history was rewritten.
+    #: What each turn adds to the output; empty if history was rewritten, where turns need not be in one piece.
     spans: list[tuple[int, int]]
+    #: Where each turn's text is in the final output, learned from or not; None if the template doesn't show it once.
+    located: list[tuple[int, int] | None]
     #: Where each turn's text is that is learned from, in order.
     mask: list[tuple[int, int]]
     #: The first turn whose output doesn't begin with the one before; -1 if none.
     rewritten_at: int
+    #: All such turns, in order.
+    rewritten: list[int]
 
 
 def _around(template: Callable[[list[Turn]], str], turns: list[Turn], i: int) -> tuple[int, int] | None:
@@ -94,33 +98,31 @@ def _around(template: Callable[[list[Turn]], str], turns: list[Turn], i: int) ->
 
 
 def format_turns(turns: list[Turn], template: Callable[[list[Turn]], str] = render, learned: tuple[str, ...] = ("assistant",)) -> Formatted:
-    before, spans, mask, rewritten = template([]), [], [], -1
+    before, spans, located, rewritten = template([]), [], [], []
     for k in range(1, len(turns) + 1):
         now = template(turns[:k])
         if not now.startswith(before):
-            rewritten = k - 1
-            break
-        spans.append((len(before), len(now)))
-        if turns[k - 1][0] in learned and (around := _around(template, turns[:k], k - 1)):
-            mask.append((around[0], len(now) - around[1]))
+            rewritten.append(k - 1)
+        elif not rewritten:
+            spans.append((len(before), len(now)))
+            around = _around(template, turns[:k], k - 1)
+            located.append((around[0], len(now) - around[1]) if around else None)
         before = now
-    if rewritten < 0:
-        return Formatted(before, spans, mask, -1)
-    text, mask = template(turns), []
-    for i, (role, _) in enumerate(turns):
-        if role in learned and (around := _around(template, turns, i)):
-            mask.append((around[0], len(text) - around[1]))
-    return Formatted(text, [], mask, rewritten)
+    if rewritten:
+        arounds = [_around(template, turns, i) for i in range(len(turns))]
+        spans, located = [], [(around[0], len(before) - around[1]) if around else None for around in arounds]
+    mask = [place for place, (role, _) in zip(located, turns) if place and role in learned]
+    return Formatted(before, spans, located, mask, rewritten[0] if rewritten else -1, rewritten)
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
 def _rows(found: list[tuple], id_type) -> pa.RecordBatch:
-    pairs = lambda spans: [{"begin": a, "end": b} for a, b in spans]
+    pairs = lambda spans: [x and {"begin": x[0], "end": x[1]} for x in spans]
     return pa.RecordBatch.from_arrays(
-        [pa.array([x for x, _ in found], id_type), pa.array([f.text for _, f in found], pa.string()), pa.array([pairs(f.spans) for _, f in found], _SPANS), pa.array([pairs(f.mask) for _, f in found], _SPANS), pa.array([f.rewritten_at for _, f in found], pa.int32())],
-        names=["id", "formatted", "spans", "mask", "rewritten_at"],
+        [pa.array([x for x, _ in found], id_type), pa.array([f.text for _, f in found], pa.string()), pa.array([pairs(f.spans) for _, f in found], _SPANS), pa.array([pairs(f.mask) for _, f in found], _SPANS), pa.array([f.rewritten_at for _, f in found], pa.int32()), pa.array([pairs(f.located) for _, f in found], _SPANS), pa.array([f.rewritten for _, f in found], pa.list_(pa.int32()))],
+        names=["id", "formatted", "spans", "mask", "rewritten_at", "located", "rewritten"],
     )
 
 
@@ -145,11 +147,11 @@ def _format(batches, template, learned):
 
 
 def format_conversations(turns: DataFrame, template: Callable[[list[Turn]], str] = render, learned: tuple[str, ...] = ("assistant",), id_column: str = "conv_id") -> DataFrame:
-    """id, formatted, spans, mask, rewritten_at of each conversation; places are code points of formatted."""
+    """id, formatted, spans, mask, rewritten_at, located, rewritten of each conversation; places are code points of formatted."""
     rows = turns.select(F.col(id_column).alias("id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), "turn")
     rows = rows.repartition("id").sortWithinPartitions("id", "turn", "role", "text").select("id", "role", "text")
     place = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("formatted", T.StringType()), T.StructField("spans", place), T.StructField("mask", place), T.StructField("rewritten_at", T.IntegerType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("formatted", T.StringType()), T.StructField("spans", place), T.StructField("mask", place), T.StructField("rewritten_at", T.IntegerType()), T.StructField("located", place), T.StructField("rewritten", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(partial(_format, template=template, learned=learned), schema).withColumnRenamed("id", id_column)
 
 

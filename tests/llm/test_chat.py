@@ -56,3 +56,21 @@ def test_query(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/{k}/conversations.parquet")
         got = registry.queries()["op10_chat"](spark, f"{tmp_path}/{k}").collect()
         assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
+def last_user_system(turns):  # puts system texts beside the last user turn
+    system = " ".join(t for r, t in turns if r == "system")
+    last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+    return "".join(f"|{r}:{system + ' ' if i == last else ''}{t}" for i, (r, t) in enumerate(turns) if r != "system")
+
+
+def test_all_rewrites_are_seen_and_all_turns_located(spark):
+    turns = [("system", "be kind"), ("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "yes"), ("user", "bye"), ("system", "be brief")]
+    done = chat.format_turns(turns, last_user_system)
+    assert done.rewritten == [3, 5, 6] and done.rewritten_at == 3
+    assert [done.text[a:b] for a, b in done.located] == [t for _, t in turns]
+    plain = chat.format_turns(turns[:3])
+    assert plain.rewritten == [] and [plain.text[a:b] for a, b in plain.located] == [t for _, t in turns[:3]]
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(rows).first()
+    assert [got["formatted"][x["begin"] : x["end"]] for x in got["located"]] == [t for _, t in turns] and got["rewritten"] == []
