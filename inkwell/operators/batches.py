@@ -41,14 +41,18 @@ def materialize(placed: DataFrame, documents: DataFrame, window: int, longest: i
     Lengths are planned first and tokens joined last, one equi-join on ord. A batch is
     bounded by its window.
     """
-    joined = placed.join(documents.select("ord", "tokens"), "ord")
+    return filled(placed.join(documents.select("ord", "tokens"), "ord"), window, longest, pad)
+
+
+def filled(joined: DataFrame, window: int, longest: int, pad: int = X.PAD) -> DataFrame:
+    """As materialize, of rows (batch, ord, n, tokens); rows dealt out by batch stay where they are."""
     parts = joined.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "n", "tokens"))).alias("parts"), F.sum("n").cast("int").alias("real"))
     lengths = F.concat(F.transform("parts", lambda p: p["n"].cast("long")), filler_chunks(F.lit(window) - F.col("real"), longest))
-    filled = lambda values, with_: F.concat(F.flatten(values), F.array_repeat(F.lit(with_), F.lit(window) - F.col("real")))
+    whole = lambda values, with_: F.concat(F.flatten(values), F.array_repeat(F.lit(with_), F.lit(window) - F.col("real")))
     return parts.withColumn("lengths", lengths).select(
         "batch",
-        filled(F.transform("parts", lambda p: X.inputs(p["tokens"])), pad).alias("ids"),
-        filled(F.transform("parts", lambda p: X.targets(p["tokens"])), X.IGNORED).alias("targets"),
+        whole(F.transform("parts", lambda p: X.inputs(p["tokens"])), pad).alias("ids"),
+        whole(F.transform("parts", lambda p: X.targets(p["tokens"])), X.IGNORED).alias("targets"),
         positions(F.col("lengths")).alias("positions"),
         bounds(F.col("lengths")).alias("bounds"),
     )

@@ -386,6 +386,52 @@ def materialized_batch(spark, sf_dir):
     return rows.select("batch", F.col("slot").cast("long").alias("slot"), F.col("x.ids").cast("long").alias("id"), F.col("x.targets").cast("long").alias("target"), F.col("x.positions").cast("long").alias("position"))
 
 
+# The same over documents, a digest of ids for each row
+
+
+def _digest(ids) -> F.Column:
+    return F.sha2(F.array_join(ids, ",").cast("binary"), 256)
+
+
+FRAMED = f"""{DOCS}, h AS (SELECT ord, doc_id, hex(encode(text)) AS h, n_bytes FROM docs),
+f AS (SELECT ord, doc_id, list_concat([256], list_transform(range(n_bytes), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)), [257]) AS ids FROM h)"""
+
+
+@_query(f"WITH {FRAMED} SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, sha256(array_to_string(ids, ',')) AS ids_sha256 FROM f")
+def document_byte_tokens(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", X.framed(X.byte_tokens(F.col("text"))).alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"))
+
+
+@_query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+def document_byte_roundtrip(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.decode_bytes(X.byte_tokens(F.col("text"))).cast("binary"), 256).alias("text_sha256"))
+
+
+@_query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+def document_bpe_roundtrip(spark, sf_dir):
+    bpe = _public_bpe()
+    rows = _table(spark, sf_dir, "documents").select("doc_id", bpe.tokens(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.sha2(bpe.decoded(F.col("ids")).cast("binary"), 256).alias("text_sha256"))
+
+
+@_query(f"WITH {FRAMED} SELECT ord, CAST(len(ids) - 1 AS BIGINT) AS n_pairs, sha256(array_to_string(ids[1:len(ids) - 1], ',')) AS inputs_sha256, sha256(array_to_string(ids[2:], ',')) AS targets_sha256 FROM f")
+def document_pairs(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("ord", X.framed(X.byte_tokens(F.col("text"))).alias("ids"))
+    return rows.select("ord", (F.size("ids") - 1).cast("long").alias("n_pairs"), _digest(X.inputs(F.col("ids"))).alias("inputs_sha256"), _digest(X.targets(F.col("ids"))).alias("targets_sha256"))
+
+
+@_query()
+def document_batches(spark, sf_dir):
+    docs = _documents(spark, sf_dir).where(F.col("n") <= WINDOW)
+    fitting = build.numbered(docs.select("ord", "n", F.col("ord").alias("was")))
+    placed = P.next_fit(fitting.select("ord", "n"), WINDOW).select("ord", "n", "batch").join(fitting.select("ord", "was"), "ord")
+    # texts are dealt out by batch and become tokens there, which are four times as large
+    texts = placed.join(docs.select(F.col("ord").alias("was"), "text"), "was").repartition("batch")
+    made = B.filled(texts.select("batch", "ord", "n", X.framed(encoder().tokens(F.col("text"))).alias("tokens")), WINDOW, SEGMENT)
+    return made.select("batch", *[_digest(c).alias(f"{c}_sha256") for c in ("ids", "targets", "positions", "bounds")])
+
+
 # Orders and schedules
 
 
