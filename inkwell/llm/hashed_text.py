@@ -1,4 +1,9 @@
-"""Hashed terms of whole texts, and the bounded labelled sample that a classifier is fitted on."""
+"""Hashed terms of whole texts, the bounded labelled sample that a classifier is fitted on, and sparse weights.
+
+Slots are kept by frequency alone: those that at least ``LEAST_ROWS`` rows of the sample have. A
+model is fitted over all of them, with a penalty on absolute weights that leaves most at zero
+(``sparse_weights``); no slot is judged by its own share among labels.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +23,12 @@ from pyspark.sql import types as T
 BITS = 22
 #: Labelled rows that a model is fitted on, at most; those with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
-#: Slots that a model keeps, those that tell the labels apart best.
-KEPT_SLOTS = 2048
-#: Standard errors by which a kept slot's shares differ, at least.
-LEAST_Z = 3.5
+#: Rows of the sample that a kept slot is in, at least.
+LEAST_ROWS = 3
+#: The penalty on a slot's weight, in standard errors of its slope where weights are zero.
+PENALTY = 2.5
+#: Entries of the sample that a step over it takes at once; bounds memory, not results.
+ENTRIES_AT_ONCE = 1 << 20
 #: Entries of a worker's table of tokens before it is emptied; bounds memory, not results.
 TABLE_ENTRIES = 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -116,50 +123,123 @@ def held_out(id_column: str) -> F.Column:
 class Sample:
     """Labels and hashed terms of the sample, as rows of a sparse matrix."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, label_column: str, kind: str, rows: int = SAMPLE_ROWS):
+    def __init__(self, docs: DataFrame, labels: DataFrame, label_column: str, kind: str, rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text"):
         """Rows of labels with an id and a label; where an id has several labels, their mean, rounded to even.
 
         Of ids with several texts the smallest text counts. The chosen labels are at
         most ``rows`` small rows, which are broadcast.
         """
-        chosen = labels.select(F.col("doc_id").alias("id"), F.col(label_column).cast("double").alias("label")).dropna().where(~held_out("id")).groupBy("id").agg(F.bround(F.avg("label")).cast("int").alias("label"))
+        chosen = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("double").alias("label")).dropna().where(~held_out("id")).groupBy("id").agg(F.bround(F.avg("label")).cast("int").alias("label"))
         chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
-        texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+        texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
         joined = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
         schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("n_words", T.LongType()), T.StructField("id", joined.schema["id"].dataType)])
         found = joined.select("label", "text", "id").mapInArrow(partial(_sample_with_id, kind=kind), schema).toArrow().sort_by("id")
         self.labels = found.column("label").to_numpy().astype(np.int64)
-        self.n_words = found.column("n_words").to_numpy().copy()
+        n_words = found.column("n_words").to_numpy().astype(np.float32)
         lengths = pc.list_value_length(found.column("slots")).to_numpy()
-        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         flat = lambda name: pc.list_flatten(found.column(name)).to_numpy().copy() if found.num_rows else np.zeros(0, np.int32)
-        self.slots = flat("slots")
-        self.counts = flat("counts") if kind in COUNTED else None
+        slots = flat("slots")
+        counts = flat("counts") if kind in COUNTED else None
         del found
         pa.default_memory_pool().release_unused()
-
-    def best_slots(self, high: np.ndarray, most: int = KEPT_SLOTS, least_rows: int = 3) -> np.ndarray:
-        """The slots whose shares among rows with and without ``high`` differ most, against chance."""
-        in_high = np.repeat(high, np.diff(self.starts))
-        size = 1 << BITS
-        a = np.bincount(self.slots[in_high], minlength=size).astype(np.float32)
-        b = np.bincount(self.slots[~in_high], minlength=size).astype(np.float32)
-        na, nb = max(1, high.sum()), max(1, (~high).sum())
-        p = (a + b) / (na + nb)
-        z = np.abs(a / na - b / nb) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / na + 1 / nb))
-        z[a + b < least_rows] = 0
-        best = np.argsort(-z, kind="stable")[:most]
-        return np.sort(best[z[best] > LEAST_Z]).astype(np.int64)
-
-    def rows(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, column, count) of the entries in kept slots, by row."""
+        #: Slots kept by frequency, in order; columns of the matrix are their places.
+        self.slots = np.flatnonzero(np.bincount(slots, minlength=1 << BITS) >= LEAST_ROWS)
         at = np.full(1 << BITS, -1, np.int32)
-        at[kept] = np.arange(len(kept))
-        column = at[self.slots]
-        keep = column >= 0
-        row = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.starts))[keep]
-        counts = np.ones(len(row)) if self.counts is None else self.counts[keep].astype(float)
-        return row.astype(np.int64), column[keep].astype(np.int64), counts
+        at[self.slots] = np.arange(len(self.slots), dtype=np.int32)
+        column = at[slots]
+        del slots, at
+        row = np.repeat(np.arange(len(self.labels), dtype=np.int32), lengths)
+        kept = column >= 0
+        values = np.ones(int(kept.sum()), np.float32) if counts is None else np.sqrt(counts[kept] / np.maximum(1, n_words[row[kept]])).astype(np.float32)
+        self.matrix = Matrix(row[kept], column[kept], values, len(self.labels), len(self.slots))
+
+
+class Matrix:
+    """A sparse matrix by row: entries (row, column, value), rows in order."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, k: int):
+        self.row, self.column, self.value, self.n, self.k = row, column, value, n, k
+
+    def _blocks(self):
+        for lo in range(0, len(self.row), ENTRIES_AT_ONCE):
+            part = slice(lo, lo + ENTRIES_AT_ONCE)
+            yield self.row[part], self.column[part], self.value[part]
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """Of each row, the sum of weights times values."""
+        return sum((np.bincount(r, v * weights[c], self.n) for r, c, v in self._blocks()), np.zeros(self.n))
+
+    def onto(self, rows: np.ndarray) -> np.ndarray:
+        """Of each column, the sum of its rows' numbers times values."""
+        return sum((np.bincount(c, v * rows[r], self.k) for r, c, v in self._blocks()), np.zeros(self.k))
+
+    def norms(self) -> np.ndarray:
+        return np.sqrt(sum((np.bincount(c, v * v, self.k) for _, c, v in self._blocks()), np.zeros(self.k)))
+
+    def only(self, columns: np.ndarray) -> Matrix:
+        """The matrix of these columns, in their order."""
+        at = np.full(self.k, -1, np.int32)
+        at[columns] = np.arange(len(columns), dtype=np.int32)
+        found = at[self.column]
+        kept = found >= 0
+        return Matrix(self.row[kept], found[kept], self.value[kept], self.n, len(columns))
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def slopes(scale: np.ndarray, thresholds: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of minus the log likelihood of cumulative links: by each row's scale, and by each threshold.
+
+    P(grade = k) = F(upper - scale) - F(lower - scale), F the sigmoid, between the
+    thresholds below and above; outside them F is 0 and 1.
+    """
+    n, each = len(scale), np.arange(len(scale))
+    f = np.column_stack([np.zeros(n), sigmoid(thresholds[None, :] - scale[:, None]), np.ones(n)])
+    rise = f * (1 - f)
+    p = np.maximum(f[each, grade + 1] - f[each, grade], 1e-12)
+    up, low = rise[each, grade + 1] / p, rise[each, grade] / p
+    by_edge = np.bincount(grade, low, len(thresholds) + 2) - np.bincount(grade + 1, up, len(thresholds) + 2)
+    return up - low, by_edge[1:-1]
+
+
+def null_thresholds(grade: np.ndarray, cuts: int) -> np.ndarray:
+    """Those that give each grade its share where all scales are zero."""
+    share = np.array([(grade <= k).mean() for k in range(cuts)])
+    return np.log(share / (1 - share))
+
+
+def sparse_weights(matrix: Matrix, grade: np.ndarray, cuts: int, penalty: float = PENALTY, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of a cumulative-link model (logistic with one cut) over all columns, most weights zero.
+
+    Minus the log likelihood and a penalty on absolute weights, by accelerated proximal
+    steps. A column's penalty is in proportion to the standard error of its slope where all
+    weights are zero, so a weight leaves zero if what the others leave unexplained asks for it.
+    """
+    n, thresholds = matrix.n, null_thresholds(grade, cuts)
+    unit = 1 / np.maximum(matrix.norms(), 1e-9)
+    cost = penalty * np.sqrt((slopes(np.zeros(n), thresholds, grade)[0] ** 2).mean())
+    steepest = 0.25 if cuts == 1 else 0.5  # no row's slope changes faster with its scale
+    guess, top = np.random.default_rng(0).normal(size=matrix.k), 1.0
+    for _ in range(8):
+        guess = unit * matrix.onto(matrix.times(unit * guess / max(np.linalg.norm(guess), 1e-9)))
+        top = np.linalg.norm(guess)
+    bound = max(1.1 * steepest * top, 1e-9)
+    now, ahead, pace = np.zeros(matrix.k), np.zeros(matrix.k), 1.0
+    for _ in range(steps):
+        by_scale, by_threshold = slopes(matrix.times(unit * ahead), thresholds, grade)
+        after = ahead - unit * matrix.onto(by_scale) / bound
+        after = np.sign(after) * np.maximum(np.abs(after) - cost / bound, 0)
+        thresholds = np.maximum.accumulate(thresholds - by_threshold / (n * steepest) + 1e-6 * np.arange(cuts))
+        if ((ahead - after) * (after - now)).sum() > 0:  # past the bottom: no further momentum
+            pace, ahead = 1.0, after
+        else:
+            faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+            ahead, pace = after + (pace - 1) / faster * (after - now), faster
+        now = after
+    return unit * now, thresholds
 
 
 def _sample_with_id(batches, kind):

@@ -5,10 +5,13 @@ grades; ordered thresholds cut its scale: P(grade > k) = sigmoid(weights . x - t
 A term's value is the square root of its share of the text's words. The result has the
 expected grade and the tail probability of reaching a grade, by which rows are selected.
 The model is fitted on a bounded sample of rated rows (``hashed_text.SAMPLE_ROWS``) on the
-driver; scoring is one narrow stage over whole texts.
+driver, over all slots that enough rows have; a penalty on absolute weights, by the likelihood of
+all grades at once, leaves most slots at zero, and those with a weight are fitted once more
+without it. Scoring is one narrow stage over whole texts.
 
 Defined cases: a null or empty text has no terms and gets the grades that the thresholds
-alone give; repeated rows are scored each; null ids are kept and never learned from; without
+alone give; a very long text is scored whole, by its terms' shares; equal texts have equal
+grades, and a tail probability equal to the bound is selected; repeated rows are scored each; null ids are kept and never learned from; without
 any usable rating every row has expected grade 0 and tail probability 1 (all are kept), and
 with ratings of one grade every row has that grade; an empty table gives an empty result;
 other columns are ignored whatever their names.
@@ -27,17 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.hashed_text import REPEAT, SAMPLE_ROWS, Sample, columns, held_out
+from inkwell.llm.hashed_text import REPEAT, SAMPLE_ROWS, Sample, columns, held_out, sigmoid, slopes, sparse_weights
 from inkwell.llm.shared import table, trim
 
 #: Rows are selected whose probability of the tail grade or better is this at least.
 SELECTED = 0.5
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-
-
 @dataclass
 class Grader:
     grades: np.ndarray
@@ -47,7 +46,7 @@ class Grader:
 
     def tails(self, scale: np.ndarray) -> np.ndarray:
         """P(grade > k) for each row and each k below the highest."""
-        return _sigmoid(np.asarray(scale)[:, None] - self.thresholds[None, :])
+        return sigmoid(np.asarray(scale)[:, None] - self.thresholds[None, :])
 
     def expected(self, tails: np.ndarray) -> np.ndarray:
         return self.grades[0] + (tails * np.diff(self.grades)[None, :]).sum(1) if len(self.grades) else np.zeros(len(tails))
@@ -61,44 +60,26 @@ class Grader:
 
 
 def fit(sample: Sample, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Grader:
-    """Maximum likelihood of the ratings, by Adam over the whole sample."""
+    """Maximum likelihood of the ratings: sparse over all kept slots, then by Adam over those with a weight."""
     grades, y = np.unique(sample.labels, return_inverse=True)
     if len(grades) < 2:
         return Grader(grades.astype(float), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
     n, cuts = len(y), len(grades) - 1
-    middle = min(range(cuts), key=lambda k: abs((y > k).mean() - 0.5))
-    kept = sample.best_slots(y > middle)
-    row, column, count = sample.rows(kept)
-    x = np.sqrt(count / np.maximum(1, sample.n_words[row]))
-    share = np.array([(y > k).mean() for k in range(cuts)])
-    start = np.log((1 - share) / share)
-    gaps = np.log(np.maximum(np.diff(start), 1e-3))
-    flat = np.concatenate([[start[0]], gaps, np.zeros(len(kept))])
+    weights, thresholds = sparse_weights(sample.matrix, y, cuts)
+    chosen = np.flatnonzero(weights)
+    x = sample.matrix.only(chosen)
+    flat = np.concatenate([[thresholds[0]], np.log(np.maximum(np.diff(thresholds), 1e-3)), weights[chosen]])
     first, second = np.zeros_like(flat), np.zeros_like(flat)
-    each = np.arange(n)
     for t in range(1, steps + 1):
-        thresholds = np.cumsum(np.concatenate([[flat[0]], np.exp(flat[1:cuts])]))
-        weights = flat[cuts:]
-        scale = np.bincount(row, x * weights[column], n)
-        # P(y = k) = F(upper) - F(lower), where F(k) = sigmoid(threshold k - scale)
-        edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
-        f = np.column_stack([_sigmoid(edges[None, :][:, 1:-1] - scale[:, None])])
-        f = np.column_stack([np.zeros(n), f, np.ones(n)])
-        slope = f * (1 - f)
-        p = np.maximum(f[each, y + 1] - f[each, y], 1e-12)
-        up, low = slope[each, y + 1] / p, slope[each, y] / p
-        by_scale = (up - low) / n  # of minus log likelihood
-        by_edge = np.zeros(cuts + 2)
-        np.add.at(by_edge, y + 1, -up / n)
-        np.add.at(by_edge, y, low / n)
-        by_threshold = by_edge[1:-1]
-        after = np.cumsum(by_threshold[::-1])[::-1]
-        gradient = np.concatenate([[after[0]], after[1:] * np.exp(flat[1:cuts]), np.bincount(column, by_scale[row] * x, len(kept)) + decay * weights])
+        thresholds, weights = np.cumsum(np.concatenate([[flat[0]], np.exp(flat[1:cuts])])), flat[cuts:]
+        by_scale, by_threshold = slopes(x.times(weights), thresholds, y)
+        after = np.cumsum(by_threshold[::-1])[::-1] / n
+        gradient = np.concatenate([[after[0]], after[1:] * np.exp(flat[1:cuts]), x.onto(by_scale / n) + decay * weights])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
-        flat -= rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        flat = flat - rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     thresholds = np.cumsum(np.concatenate([[flat[0]], np.exp(flat[1:cuts])]))
-    return Grader(grades.astype(float), thresholds, flat[cuts:].copy(), kept)
+    return Grader(grades.astype(float), thresholds, flat[cuts:].copy(), sample.slots[chosen])
 
 
 def _scale(texts, g: Grader) -> np.ndarray:
@@ -125,8 +106,8 @@ def _grade(batches, g, at_least):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(g.expected(tails), pa.float64()), pa.array(g.reaching(tails, at_least), pa.float64())], names=["id", "expected_grade", "tail_probability"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Grader:
-    return fit(Sample(docs, labels, label_column, "style", sample_rows))
+def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text") -> Grader:
+    return fit(Sample(docs, labels, label_column, "style", sample_rows, id_column, text_column))
 
 
 def grade(docs: DataFrame, g: Grader, id_column: str = "doc_id", text_column: str = "text", at_least: float | None = None, selected: float = SELECTED) -> DataFrame:

@@ -3,11 +3,15 @@
 A text is the set of its hashed terms that the model keeps. Its logit is a bias, the
 weights of these terms, and for each pair of them the product of their factor vectors:
 pairs such as an insult beside a group count beyond the sum of the two. The machine is
-fitted on a bounded sample of labelled rows (``hashed_text.SAMPLE_ROWS``) on the driver;
-scoring is one narrow stage over whole texts.
+fitted on a bounded sample of labelled rows (``hashed_text.SAMPLE_ROWS``) on the driver, in three
+steps: sparse weights over all slots that enough rows have; of what these leave unexplained, the
+pairs among the ``PAIR_SLOTS`` most frequent slots that stand out by ``PAIR_Z`` standard errors,
+whatever either term does alone; and the machine over the terms with a weight or a pair.
+Scoring is one narrow stage over whole texts.
 
 Defined cases: a null or empty text has no terms and scores the bias alone, as does a text
-without any term that the model keeps; repeated rows are scored each; null ids are kept and
+without any term that the model keeps; a very long text is scored whole; equal texts have equal
+scores, and a score equal to the threshold is toxic; repeated rows are scored each; null ids are kept and
 never learned from; without any usable label all scores are 0, and with labels of one kind
 all scores are that label; an empty table gives an empty result; other columns are ignored
 whatever their names.
@@ -25,11 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.hashed_text import SAMPLE_ROWS, Sample, columns, held_out
+from inkwell.llm.hashed_text import SAMPLE_ROWS, Matrix, Sample, columns, held_out, sigmoid, sparse_weights
 from inkwell.llm.shared import table, trim
 
 FACTORS = 8
 THRESHOLD = 0.3
+#: The most frequent slots, among which pairs are looked at that the terms alone don't explain.
+PAIR_SLOTS = 2048
+#: Standard errors by which such a pair stands out, at least.
+PAIR_Z = 8.0
 
 
 @dataclass
@@ -39,16 +47,13 @@ class Machine:
     factors: np.ndarray
     kept: np.ndarray
 
-    def probability(self, logit):
-        return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
-
     def score(self, found: list[int]) -> float:
         """Of a text with these columns."""
         logit = self.bias
         if found:
             v = self.factors[found]
             logit += self.weights[found].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
-        return float(self.probability(logit))
+        return float(sigmoid(logit))
 
 
 def _logits(m: Machine, row, column, n):
@@ -59,14 +64,39 @@ def _logits(m: Machine, row, column, n):
     return m.bias + np.bincount(row, m.weights[column], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
+def outstanding_pairs(matrix: Matrix, error: np.ndarray, most: int = PAIR_SLOTS, least_z: float = PAIR_Z, block: int = 1000) -> np.ndarray:
+    """Columns, among the most frequent ones, whose joint presence goes with the error of a model by ``least_z`` standard errors."""
+    frequency = np.bincount(matrix.column, minlength=matrix.k)
+    top = np.sort(np.argsort(-frequency, kind="stable")[:most])
+    x = matrix.only(top)
+    share = (frequency[top] / max(1, matrix.n)).astype(np.float32)
+    total, spread = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
+    bounds = np.searchsorted(x.row, np.arange(0, matrix.n + block, block))
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        rows = min(block, matrix.n - i * block)
+        there = np.zeros((max(0, rows), len(top)), np.float32)
+        there[x.row[a:b] - i * block, x.column[a:b]] = 1
+        there -= share
+        by = error[i * block : i * block + len(there), None].astype(np.float32)
+        total += there.T @ (there * by)
+        there *= there
+        spread += there.T @ (there * by**2)
+    z = np.abs(total) / np.sqrt(np.maximum(spread, 1e-6))
+    np.fill_diagonal(z, 0)
+    return top[z.max(1, initial=0) > least_z]
+
+
 def fit(sample: Sample, factors: int = FACTORS, steps: int = 800, rate: float = 0.03, decay: float = 3e-4, batch: int = 512, seed: int = 7) -> Machine:
-    """Logistic loss, by Adam over seeded batches."""
+    """Logistic loss: sparse over all kept slots, then by Adam over seeded batches with factors."""
     y = (sample.labels > 0).astype(float)
     n = len(y)
     if n == 0 or y.min() == y.max():
         return Machine(40.0 if n and y[0] else -40.0, np.zeros(0), np.zeros((0, factors)), np.zeros(0, np.int64))
-    kept = sample.best_slots(y > 0)
-    row, column, _ = sample.rows(kept)
+    weights, thresholds = sparse_weights(sample.matrix, y.astype(np.int64), 1)
+    error = y - sigmoid(sample.matrix.times(weights) - thresholds[0])
+    chosen = np.union1d(np.flatnonzero(weights), outstanding_pairs(sample.matrix, error))
+    x = sample.matrix.only(chosen)
+    row, column, kept = x.row, x.column.astype(np.int64), sample.slots[chosen]
     bounds = np.searchsorted(row, np.arange(n + 1))
     k, rng = len(kept), np.random.default_rng(seed)
     m = Machine(float(np.log(y.mean() / (1 - y.mean()))), np.zeros(k), rng.normal(0, 0.02, (k, factors)), kept)
@@ -80,7 +110,7 @@ def fit(sample: Sample, factors: int = FACTORS, steps: int = 800, rate: float =
             at = np.repeat(bounds[picked] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             r, c = np.repeat(np.arange(len(picked)), lengths), column[at]
             logit, sums = _logits(m, r, c, len(picked))
-            error = (m.probability(logit) - y[picked]) / len(picked)
+            error = (sigmoid(logit) - y[picked]) / len(picked)
             e = error[r]
             pull = e[:, None] * (sums[r] - m.factors[c])
             grown = np.stack([np.bincount(c, pull[:, f], k) for f in range(factors)], 1)
@@ -103,8 +133,8 @@ def _score(batches, m):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_scores(batch.column(2).to_pylist(), m), pa.float64())], names=["id", "held_out", "score"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
-    return fit(Sample(docs, labels, label_column, "words", sample_rows))
+def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text") -> Machine:
+    return fit(Sample(docs, labels, label_column, "words", sample_rows, id_column, text_column))
 
 
 def score(docs: DataFrame, m: Machine, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:

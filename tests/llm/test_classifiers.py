@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from inkwell.llm import quality, toxicity
-from inkwell.llm.hashed_text import slot
+from inkwell.llm.hashed_text import Matrix, null_thresholds, slopes, slot, sparse_weights
 
 DOCS, LABELS = "doc_id long, text string, score string", "doc_id long, quality int, toxic int"
 
@@ -84,3 +84,114 @@ def test_edges(spark):
     assert [r["predicted"] for r in toxicity.score(docs, machine).collect()] == [1] * 5
     assert [r["expected_grade"] for r in quality.grade(docs, grader).collect()] == [1.0] * 5
     assert toxicity.score(empty_docs, machine).count() == 0 and quality.grade(empty_docs, grader).count() == 0
+
+
+def exclusive(seed, n=4000):
+    """Toxic if and only if exactly one of two terms is there, so that neither term tells anything alone."""
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        text = [f"word{rng.randrange(1500)}" for _ in range(rng.randint(20, 60))]
+        has = [rng.random() < 0.5 for _ in range(2)]
+        for name in (w for w, flag in zip(("zorp", "quax"), has) if flag):
+            text.insert(rng.randrange(len(text)), name)
+        docs.append((i, " ".join(text), "clash"))
+        labels.append((i, 0, int(has[0] != has[1])))
+    return docs, labels
+
+
+def test_terms_that_count_only_in_company(spark):
+    docs, labels = exclusive(5)
+    machine = toxicity.learn(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    fresh, given = exclusive(6, 1000)
+    rows = toxicity.score(spark.createDataFrame(fresh, DOCS), machine).orderBy("doc_id").collect()
+    assert auc(np.array([r["score"] for r in rows]), np.array([t for _, _, t in given])) > 0.95
+
+
+def test_score_against_explicit_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=7), rng.normal(size=(7, 3)), np.arange(7))
+    for size in range(8):
+        found = sorted(rng.choice(7, size, replace=False).tolist())
+        logit = m.bias + sum(m.weights[i] for i in found)
+        logit += sum(float(m.factors[i] @ m.factors[j]) for a, i in enumerate(found) for j in found[a + 1 :])
+        assert abs(m.score(found) - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+def likelihood(scale, thresholds, grade):
+    """Minus the log likelihood, row by row."""
+    total = 0.0
+    for s, y in zip(scale, grade):
+        at_most = [0.0, *[1 / (1 + np.exp(s - t)) for t in thresholds], 1.0]
+        total -= np.log(at_most[y + 1] - at_most[y])
+    return total
+
+
+def test_ordinal_slopes_against_differences():
+    rng = np.random.default_rng(8)
+    scale, thresholds, grade = rng.normal(size=12), np.array([-1.0, 0.2, 1.5]), rng.integers(0, 4, 12)
+    by_scale, by_threshold = slopes(scale, thresholds, grade)
+    step = 1e-6
+    for got, at in ((by_scale, scale), (by_threshold, thresholds)):
+        for i in range(len(at)):
+            at[i] += step
+            high = likelihood(scale, thresholds, grade)
+            at[i] -= 2 * step
+            low = likelihood(scale, thresholds, grade)
+            at[i] += step
+            assert abs(got[i] - (high - low) / (2 * step)) < 1e-4
+
+
+def test_sparse_weights_are_the_bottom():
+    """No change of one weight lowers the penalized likelihood."""
+    rng = np.random.default_rng(9)
+    n, k = 300, 12
+    dense = (rng.random((n, k)) < 0.3).astype(float)
+    grade = np.clip(np.round(1 + 1.5 * dense[:, 0] - 1.5 * dense[:, 1] + rng.normal(0, 0.7, n)), 0, 2).astype(int)
+    row, column = np.nonzero(dense)
+    matrix = Matrix(row.astype(np.int32), column.astype(np.int32), np.ones(len(row), np.float32), n, k)
+    weights, thresholds = sparse_weights(matrix, grade, 2, penalty=3.0, steps=2000)
+    cost = 3.0 * np.sqrt((slopes(np.zeros(n), null_thresholds(grade, 2), grade)[0] ** 2).mean()) * np.sqrt(dense.sum(0))
+
+    def loss(w):
+        return likelihood(dense @ w, thresholds, grade) + (cost * np.abs(w)).sum()
+
+    assert weights[0] > 0.5 and weights[1] < -0.5 and (weights[2:] == 0).sum() >= 6
+    for i in range(k):
+        for step in (1e-3, -1e-3):
+            moved = weights.copy()
+            moved[i] += step
+            assert loss(moved) >= loss(weights) - 1e-5
+
+
+def test_a_grade_that_only_the_upper_cut_tells(spark):
+    """A term of the best grade alone is learned, though the cut nearest the middle doesn't see it."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(1500):
+        grade = rng.choice([0, 0, 0, 1, 1, 1, 2])
+        text = [f"word{rng.randrange(200)}" for _ in range(30)] + ["###"] * (6 if grade == 0 else 0) + ["***"] * (6 if grade == 2 else 0)
+        rng.shuffle(text)
+        docs.append((i, " ".join(text), ""))
+        labels.append((i, grade, 0))
+    frame = spark.createDataFrame(docs, DOCS)
+    grader = quality.learn(frame, spark.createDataFrame(labels, LABELS))
+    held = [r for r in quality.grade(frame, grader).collect() if r["held_out"]]
+    given = {i: q for i, q, _ in labels}
+    assert np.mean([round(r["expected_grade"]) == given[r["doc_id"]] for r in held]) > 0.95
+
+
+def test_nulls_and_other_columns_in_filters(spark):
+    docs, labels = corpus(2, 600)
+    frame = spark.createDataFrame(docs, DOCS)
+    named = frame.withColumnsRenamed({"doc_id": "k", "text": "body"})
+    marks = spark.createDataFrame(labels, LABELS).withColumnRenamed("doc_id", "k")
+    machine = toxicity.learn(named, marks, id_column="k", text_column="body")
+    grader = quality.learn(named, marks, id_column="k", text_column="body")
+    odd = spark.createDataFrame([(None, None, None), (1, None, "a"), (1, None, "a"), (2, "", "b"), (3, "word1 " * 50_000, "c")], "k long, body string, score string")
+    bias = toxicity.score(odd, machine, "k", "body").where("k = 2").first()["predicted"]
+    kept = toxicity.keep_clean(odd, machine, "body")
+    assert kept.columns == odd.columns and kept.where("body is null").count() == (0 if bias else 3)
+    graded = {(r["k"], r["selected"]) for r in quality.grade(odd, grader, "k", "body").collect()}
+    kept = quality.keep_selected(odd, grader, "body")
+    assert kept.columns == odd.columns and {r["k"] for r in kept.collect()} == {k for k, s in graded if s}
