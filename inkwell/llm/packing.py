@@ -9,18 +9,25 @@
    the lengths available. As the same combination stays the fullest while its lengths
    last, it is used as often as they allow; each use is one bin. So a plan has no more
    patterns than there are lengths, give or take a few, for any number of pieces.
+   Filling the first bins to the brim can use up the short lengths that the last ones need.
+   So this is done for several reserves of short lengths, which are held back and then go where
+   they leave the least room, and the plan with the fewest bins counts (of equals the one with
+   the smaller reserve). The largest reserve is all lengths, which is best-fit decreasing: a plan
+   never has more bins than that.
 4. A piece's rank among those of its length says which bin and offset it gets. Ranks are
    counted in (length, salt) cells of bounded size, so a common length is dealt out to
    many tasks.
 
-Defined cases: a null or empty text is one piece with the end id alone; repeated rows are
-packed each; null ids are kept; an empty table gives an empty result; other columns are
+Defined cases: a null or empty text is one piece with the end id alone; a very long text is
+many pieces, all but the first of full length; repeated rows are packed each; pieces of equal
+length take their places by content, and where rows tie in all columns in any order; null ids are kept; an empty table gives an empty result; other columns are
 ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from functools import partial
 
@@ -36,7 +43,9 @@ from inkwell.llm.shared import materialize, table
 CAPACITY = 1024
 END_ID = 2
 #: Rows that a (length, salt) cell has on average, at most.
-CELL_ROWS = 20_000
+CELL_ROWS = 4096
+#: Lengths held back from the fullest combinations, as shares of the capacity; the last one holds back all.
+RESERVES = (0, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1)
 
 
 def _pieces(batches, vocabulary_path, capacity, end_id, with_ids):
@@ -103,14 +112,11 @@ def fullest(counts: dict[int, int], room: int) -> Counter:
     return found
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
-    """(pieces by length in a bin, number of such bins), so that all counts are used up."""
-    left = {length: n for length, n in counts.items() if n}
+def _fullest_bins(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
+    """(pieces by length in a bin, number of such bins): for the longest length left, the fullest combination."""
     plan = []
     while left:
         first = max(left)
-        if first > capacity:
-            raise ValueError(f"a piece of {first} tokens doesn't fit {capacity}")
         rest = dict(left)
         rest[first] -= 1
         pattern = fullest({k: n for k, n in rest.items() if n}, capacity - first)
@@ -124,6 +130,57 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Co
     return plan
 
 
+def _best_fit(plan: list[tuple[Counter, int]], reserve: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
+    """A plan with more pieces, longest first, each where it leaves the least room, else in a new bin. Equal bins are one entry."""
+    rooms, bins = [], {}
+
+    def put(room: int, pattern: Counter, times: int) -> None:
+        if times:
+            if room not in bins:
+                insort(rooms, room)
+            bins.setdefault(room, []).append((pattern, times))
+
+    for pattern, times in plan:
+        put(capacity - sum(length * k for length, k in pattern.items()), pattern, times)
+    for length in sorted(reserve, reverse=True):
+        n = reserve[length]
+        while n:
+            if (at := bisect_left(rooms, length)) < len(rooms):
+                room = rooms[at]
+                pattern, times = bins[room].pop()
+                if not bins[room]:
+                    del bins[room], rooms[at]
+            else:  # new bins
+                room, pattern, times = capacity, Counter(), n
+            # the fullest bin that has room takes all the copies it can before another has any
+            each = min(room // length, n)
+            used = min(times, n // each)
+            if pattern:
+                put(room, pattern, times - used)
+            put(room - length * each, pattern + Counter({length: each}), used)
+            n -= each * used
+    return [entry for room in rooms for entry in bins[room]]
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
+    """(pieces by length in a bin, number of such bins), so that all counts are used up."""
+    counts = {length: n for length, n in counts.items() if n}
+    if counts and max(counts) > capacity:
+        raise ValueError(f"a piece of {max(counts)} tokens doesn't fit {capacity}")
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best, fewest = [], None
+    for share in RESERVES:
+        held = {length: n for length, n in counts.items() if length <= share * capacity}
+        plan = _fullest_bins({length: n for length, n in counts.items() if length not in held}, capacity)
+        plan = _best_fit(plan, held, capacity) if held else plan
+        bins = sum(times for _, times in plan)
+        if fewest is None or bins < fewest:
+            best, fewest = plan, bins
+        if fewest == least:
+            break
+    return best
+
+
 def _slots(plan: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
     """For each (length, pattern): the first rank it takes, how many a bin, the first bin and the offset there; sorted by length, rank."""
     ranks, rows, bins = Counter(), [], 0
@@ -154,11 +211,12 @@ def _place(batches, slots):
 
 
 def pack_pieces(pieces: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a stored table of pieces (see tokenized_pieces)."""
+    """Adds sequence_id and offset to a stored table of pieces (see tokenized_pieces). Its files say which rows meet in a cell, so that equal rows are dealt out too."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = _slots(plan_bins(counts, capacity))
-    salts = max(1, -(-sum(counts.values()) // CELL_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    parts = F.expr(f"array({', '.join(str(max(1, -(-counts.get(n, 0) // CELL_ROWS))) for n in range(capacity + 1))})")
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    salted = pieces.withColumn("salt", F.pmod(place, F.get(parts, F.col("length").cast("int")).cast("long")))
     cells = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))

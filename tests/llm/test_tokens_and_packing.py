@@ -1,9 +1,11 @@
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -78,6 +80,48 @@ def test_plan_uses_every_piece_once():
     assert sum(t for _, t in plan) <= 1.01 * least + 1
 
 
+def best_fit_decreasing(counts, capacity=1024):
+    """The number of bins, one piece at a time."""
+    rooms = []
+    for length in sorted(Counter(counts).elements(), reverse=True):
+        i = bisect_left(rooms, length)
+        room = rooms.pop(i) if i < len(rooms) else capacity
+        insort(rooms, room - length)
+    return len(rooms)
+
+
+def test_never_more_bins_than_best_fit_decreasing():
+    rng = random.Random(7)
+    for n in (3, 40, 400, 4000):
+        for low, high in ((1, 1024), (1, 300), (200, 700), (400, 600), (500, 513)):
+            counts = Counter(rng.randint(low, high) for _ in range(n))
+            used, plan = Counter(), packing.plan_bins(dict(counts))
+            for pattern, times in plan:
+                assert sum(k * c for k, c in pattern.items()) <= 1024
+                used.update({k: c * times for k, c in pattern.items()})
+            assert used == counts and sum(t for _, t in plan) <= best_fit_decreasing(counts)
+    assert packing.plan_bins({}) == [] and packing.plan_bins({5: 0}) == []
+    with pytest.raises(ValueError):
+        packing.plan_bins({1025: 1})
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_documents_take_no_more_sequences_than_best_fit_decreasing(sf):
+    vocabulary, counts = bpe.vocabulary(), Counter()
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist():
+        whole, first = divmod(len(vocabulary.token_ids(text or "")) // 4, 1024)
+        counts[first + 1] += 1
+        counts[1024] += whole
+    assert sum(t for _, t in packing.plan_bins(dict(counts))) <= best_fit_decreasing(counts)
+
+
+def test_equal_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ROWS", 7)
+    found = packing.pack(frame(spark, [(5, "same text")] * 100)).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in found}
+    assert len(found) == len(places) == 100 and len({s for s, _ in places}) == -(-100 * found[0]["length"] // 1024)
+
+
 def test_packed_pieces(spark, library):
     rows = [*enumerate(TEXTS), (None, "a b"), (1, "")]
     packed = packing.pack(frame(spark, rows), with_ids=True)
