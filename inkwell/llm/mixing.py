@@ -5,16 +5,23 @@
    source's size, and the excess is shared again by weight until none is above. One number
    per source is on the driver.
 3. For each source, whole passes over all its documents use up the target but for a rest.
-   Of each length, the rest takes the same fraction of the documents, rounded up or down by a
-   seeded choice that leaves a budget of some documents' words. A bounded knapsack over the
-   documents left, as a bitset of reachable sums, meets that: exactly where the lengths can,
-   else with the sum nearest below. The input of a source is its distinct lengths, however
-   many documents it has.
+   From the documents in order of length, the rest takes every so-manieth one, from a seeded
+   start (of ``STARTS``, the one whose words come nearest): the same fraction of every length,
+   rounded up or down, by one rule for sources of any size. A few of these documents, drawn by seed, are given back, and a bounded knapsack over
+   all documents not taken, as bitsets of reachable sums by number of documents, meets the
+   remaining budget with as many documents as were given back or nearly so: exactly where the
+   lengths can, else with the sum nearest below. So the documents taken have their source's
+   mean size. Where the sum isn't exact, more are given back (``GIVEN_BACK``), at last without
+   heed of their number.
+   The input of a source is its distinct lengths, however many documents it has.
 4. Of each (source, length) the chosen number of documents with the smallest seeded hashes
    are taken once more. Ranks are counted in salted cells of bounded size, so one very common
    length is dealt out to many tasks.
 
-Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source
+The driver has one small row per source; a source is what a mix has a weight for.
+
+Defined cases: a null or empty text has size 0 and is taken 0 times; a very long text is counted
+whole; a null source is a source
 of its own, after all others; repeated rows are rows of their own; where rows tie in all columns
 the hash ranks them in any order; null ids are kept; an empty table gives an empty result; other
 columns are ignored whatever their names.
@@ -36,8 +43,12 @@ MOST_REPEATS = 2.0
 SEED = 20
 #: Rows that a (source, length, salt) cell has on average, at most.
 CELL_ROWS = 20_000
-#: The knapsack has a budget of about so many documents of the median length.
-KNAPSACK_DOCS = 64
+#: Seeded starts of the walk along the lengths.
+STARTS = 32
+#: Documents of the rest that are given back for the knapsack, tried in turn, and whether their number is heeded.
+GIVEN_BACK = ((4, True), (12, True), (128, False))
+#: Memory of a knapsack's sums; the lengths farthest from the mean go without where it is used up.
+KNAPSACK_BYTES = 128 << 20
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -63,24 +74,25 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most_repeats: fl
     return out
 
 
-def knapsack(lengths: list[int], counts: list[int], room: int) -> dict[int, int]:
-    """How many documents of each length to take for the largest sum up to room.
+def knapsack(lengths: list[int], counts: list[int], room: int, near: float = 0.0) -> dict[int, int]:
+    """How many documents of each length to take for the largest sum up to room, lengths near ``near`` first.
 
     Lengths enter in turn, in runs of powers of two; a bit of reach stands for a sum. What
     reach was before each run lets the choice be read backwards.
     """
-    reach, full, steps = 1, (1 << (room + 1)) - 1, []
-    for length, count in sorted(zip(lengths, counts), reverse=True):
+    reach, full, steps, held = 1, (1 << (room + 1)) - 1, [], 0
+    for length, count in sorted(zip(lengths, counts), key=lambda x: (abs(x[0] - near), x[0])):
         copies, run = min(count, room // length), 1
         while copies > 0:
             use = min(run, copies)
             grown = (reach | reach << (length * use)) & full
             if grown != reach:
                 steps.append((reach, length, use))
+                held += room // 8
                 reach = grown
             copies -= use
             run *= 2
-        if reach >> room & 1:
+        if reach >> room & 1 or held > KNAPSACK_BYTES:
             break
     total, found = reach.bit_length() - 1, {}
     for before, length, use in reversed(steps):
@@ -90,33 +102,65 @@ def knapsack(lengths: list[int], counts: list[int], room: int) -> dict[int, int]
     return found
 
 
+def knapsack_of(lengths: list[int], counts: list[int], room: int, wanted: int) -> dict[int, int]:
+    """The same with up to ``wanted`` + 2 documents, lengths near the mean of what is wanted first.
+
+    A bitset of sums for each number of documents. Of equal sums, the one whose number is
+    nearest to what is wanted.
+    """
+    most, near = wanted + 2, room / max(1, wanted)
+    reach, full, steps, held = [1] + [0] * most, (1 << (room + 1)) - 1, [], 0
+    for length, count in sorted(zip(lengths, counts), key=lambda x: (abs(x[0] - near), x[0])):
+        for _ in range(min(count, most, room // length)):
+            grown = [1, *((reach[c] | reach[c - 1] << length) & full for c in range(1, most + 1))]
+            if grown == reach:
+                break
+            steps.append((reach, length))
+            held += most * room // 8
+            reach = grown
+        if reach[wanted] >> room & 1 or held > KNAPSACK_BYTES:
+            break
+    total, _, c = max((reach[c].bit_length() - 1, -abs(c - wanted), c) for c in range(most + 1))
+    found: dict[int, int] = {}
+    for before, length in reversed(steps):
+        if not before[c] >> total & 1:
+            found[length] = found.get(length, 0) + 1
+            total, c = total - length, c - 1
+    return found
+
+
 def fit_rest(lengths: np.ndarray, counts: np.ndarray, rest: int, seed: int = SEED) -> np.ndarray:
-    """How many documents of each length add up to rest, or as near to it as the method gets: below it up to half of the total, else above."""
+    """How many documents of each of the ascending lengths add up to rest, or as near to it as the method gets: below it up to half of the total, else above."""
     total = int((lengths * counts).sum())
-    take = np.zeros(len(lengths), np.int64)
     if rest <= 0 or not total:
-        return take
-    if 2 * rest > total:  # the smaller side has more documents to choose among
+        return np.zeros(len(lengths), np.int64)
+    if 2 * rest > total:  # what is left out is chosen by the same rule
         return counts - fit_rest(lengths, counts, total - rest, seed)
     rng = np.random.default_rng(seed)
-    room = 1024 + KNAPSACK_DOCS * int(np.median(lengths))
-    missing = rest
-    if rest > room:
-        part = np.array([divmod(int(c) * rest, total) for c in counts.tolist()], np.int64).reshape(-1, 2)
-        take, missing = part[:, 0].copy(), rest - int((lengths * part[:, 0]).sum())
-        # the fractions are rounded up or down by chance, then others are added by chance, until the knapsack's room is left
-        up = rng.random(len(lengths)) * total < part[:, 1]
-        order = rng.permutation(len(lengths))
-        for i in (*order[up[order]], *order[~up[order]]):
-            if missing - lengths[i] >= room // 2 and take[i] < counts[i]:
-                take[i] += 1
-                missing -= int(lengths[i])
-    spare = counts - take
-    usable = [i for i in range(len(lengths)) if spare[i] > 0 and 0 < lengths[i] <= missing]
-    at = {int(n): i for i, n in enumerate(lengths)}
-    for length, n in knapsack([int(lengths[i]) for i in usable], [int(spare[i]) for i in usable], missing).items():
-        take[at[length]] += n
-    return take
+    walks = [np.minimum(np.diff(np.floor(np.cumsum(counts) * (rest / total) + start).astype(np.int64), prepend=0), counts) for start in rng.random(STARTS)]
+    share = min(walks, key=lambda taken: abs(rest - int((lengths * taken).sum())))
+    upto, step = np.cumsum(share), int(np.gcd.reduce(lengths))
+    there = int(upto[-1])
+    drawn = rng.choice(there, min(GIVEN_BACK[-1][0], there), replace=False) if there else np.zeros(0, np.int64)
+    best, nearest = np.zeros(len(lengths), np.int64), None
+    for n, heeded in GIVEN_BACK:
+        back = np.bincount(np.searchsorted(upto, drawn[:n], side="right"), minlength=len(lengths))
+        take = share - back
+        budget = rest - int((lengths * take).sum())
+        if budget < 0:
+            continue
+        spare = counts - take
+        usable = np.flatnonzero((spare > 0) & (lengths <= budget))
+        at = {int(lengths[i]): i for i in usable}
+        pool = lengths[usable].tolist(), spare[usable].tolist(), budget
+        for length, k in (knapsack_of(*pool, min(n, there)) if heeded else knapsack(*pool, near=total / int(counts.sum()))).items():
+            take[at[length]] += k
+            budget -= length * k
+        if nearest is None or budget < nearest:
+            best, nearest = take, budget
+        if nearest < step:
+            break
+    return best
 
 
 def _fit(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -133,26 +177,25 @@ def _fit(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pdf[["source", "size", "passes", "more"]]
 
 
-def _planned(rows: DataFrame, weights, share, most_repeats, seed) -> tuple[DataFrame, DataFrame]:
-    """(source, size, passes, more) and (source, source_size, target) for a written table with source and size."""
+def _planned(rows: DataFrame, weights, share, most_repeats, seed) -> tuple[DataFrame, DataFrame, int]:
+    """(source, size, passes, more), (source, source_size, target), and the most rows of one source and size, for a written table with source and size."""
     spark = rows.sparkSession
     counted = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    sizes = {r["source"]: r["s"] for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
+    told = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.max("n").alias("most")).collect()
+    sizes, largest = {r["source"]: r["s"] for r in told}, max((r["most"] for r in told), default=1)
     goal = targets(sizes, weights, share, most_repeats)
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     goals = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], schema)
     wide = counted.join(goals, counted["source"].eqNullSafe(goals["source"])).select(counted["source"], "size", "n", "source_size", "target")
     planned = wide.groupBy("source").applyInPandas(lambda pdf: _fit(pdf, seed), "source string, size long, passes long, more long")
-    return materialize(planned, "planned"), goals
+    return materialize(planned, "planned"), goals, largest
 
 
 def taken(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most_repeats: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """Adds source_size, target and repeats (how often the mix takes the row) to a written table with source, size and a number ``mark`` for each row."""
-    planned, goals = _planned(rows, weights, share, most_repeats, seed)
+    planned, goals, largest = _planned(rows, weights, share, most_repeats, seed)
     hashed = rows.withColumn("hash", F.xxhash64("mark", F.lit(seed)))
     known = planned.withColumnsRenamed({"source": "p_source", "size": "p_size"})
-    cells = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    largest = cells.agg(F.max("n")).first()[0] or 1
     salts = max(1, -(-largest // CELL_ROWS))
     # the high bits of the hash order the salts as they order the hashes
     salted = hashed.withColumn("salt", F.floor((F.shiftrightunsigned("hash", 40).cast("double") / float(1 << 24)) * salts).cast("int"))

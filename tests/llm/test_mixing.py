@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.llm import mixing
@@ -37,6 +38,49 @@ def test_the_rest_is_met_exactly_where_lengths_allow():
         assert int((take * lengths).sum()) == rest and (take <= counts).all() and (take >= 0).all()
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.7])
+@pytest.mark.parametrize("n", [50, 500, 5000])
+def test_the_rest_has_the_mean_size_of_its_source(n, share):
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        sizes = np.maximum(1, rng.lognormal(5.3, 0.8, n)).astype(np.int64)
+        lengths, counts = np.unique(sizes, return_counts=True)
+        rest = int(share * sizes.sum())
+        take = mixing.fit_rest(lengths, counts, rest)
+        words = int((take * lengths).sum())
+        assert (take >= 0).all() and (take <= counts).all() and words == rest
+        assert abs(words / take.sum() - sizes.mean()) <= 0.1 * sizes.mean(), (n, share, seed)
+
+
+def test_knapsack_of_a_number_of_documents():
+    rng = random.Random(2)
+    for _ in range(60):
+        lengths = rng.sample(range(1, 25), 4)
+        counts, room, wanted = [rng.randint(0, 3) for _ in lengths], rng.randint(0, 60), rng.randint(1, 4)
+        sums = [s for pick in product(*(range(c + 1) for c in counts)) if sum(pick) <= wanted + 2 and (s := sum(n * k for n, k in zip(lengths, pick))) <= room]
+        got = mixing.knapsack_of(lengths, counts, room, wanted)
+        assert sum(k * n for k, n in got.items()) == max(sums)
+        assert all(got.get(n, 0) <= c for n, c in zip(lengths, counts))
+
+
+def test_long_documents_are_taken_as_often_as_others():
+    rng = np.random.default_rng(1)
+    for n in (60, 600, 6000):
+        sizes = np.sort(np.maximum(1, rng.lognormal(5.3, 1.0, n)).astype(np.int64))
+        lengths, counts = np.unique(sizes, return_counts=True)
+        take = mixing.fit_rest(lengths, counts, int(0.3 * sizes.sum()))
+        long_ = lengths >= sizes[-n // 4]
+        assert abs(take[long_].sum() / counts[long_].sum() - 0.3) < (0.2 if n < 100 else 0.05)
+
+
+def test_one_very_long_document():
+    lengths, counts = np.array([3, 50, 4_000_000]), np.array([10, 10, 1])
+    take = mixing.fit_rest(lengths, counts, 400)
+    assert (take * lengths).sum() <= 400 and take[2] == 0
+    take = mixing.fit_rest(lengths, counts, 2_000_000)
+    assert 0 <= (take * lengths).sum() <= 2_000_000
+
+
 SCHEMA = "doc_id long, text string, source string, target string"
 
 
