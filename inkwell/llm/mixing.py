@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.shared import materialize, table
+from inkwell.llm.shared import materialize, passing, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -226,10 +226,12 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     text = F.col(text_column).cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_column).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(id_column, text).alias("mark"))
     rows = materialize(rows, "mixed").withColumns({"file": F.col("_metadata.file_name"), "at": F.col("_metadata.row_index")})
-    light = materialize(rows.select("file", "at", "source", "size", "mark"), "sizes")
-    chosen = taken(light, weights, share, most_repeats, seed).where("repeats > 0").select("file", "at", "repeats")
+    with passing(docs.sparkSession) as keep:
+        light = materialize(rows.select("file", "at", "source", "size", "mark"), "sizes")
+        chosen = taken(light, weights, share, most_repeats, seed).where("repeats > 0").select("file", "at", "repeats")
+        chosen = keep(materialize(chosen, "chosen"))
     # a merge at every size: chosen grows with the rows
-    out = rows.select("file", "at", "row").hint("merge").join(materialize(chosen, "chosen"), ["file", "at"])
+    out = rows.select("file", "at", "row").hint("merge").join(chosen, ["file", "at"])
     return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from inkwell.llm import audio, chat, mixing, packing, quality, simhash, sketches, token_counts, toxicity, warc
+from inkwell.llm import audio, chat, mixing, packing, pipeline, quality, simhash, sketches, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_chroma": audio.op8_chroma,
         "op9_sketches": sketches.op9_sketches,
         "op10_chat": chat.op10_chat,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +26,40 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Folders that each open ``passing`` block has asked for.
+_OPEN: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialized in the block are removed at its end, but for those given to the function that it yields.
+
+    For steps that end in written tables: nothing that outlives the block may read the others.
+    """
+    made, kept = [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._inkwell_path)
+        return df
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -38,18 +71,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a materialized table that nothing reads any more."""
     if path := getattr(df, "_inkwell_path", None):
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        remove(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Remove all tables and archives that this application has written to the shared folder, once nothing reads them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
 
 
 def trim() -> None:

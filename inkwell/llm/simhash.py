@@ -13,7 +13,7 @@ pairs. A bucket of over ``BLOCK`` fingerprints is dealt out as pairs of blocks,
 bucket of its own. Components of the forests are found by star contraction.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and
-links like any other; fewer words than a shingle make one shingle; repeated rows get a row
+links like any other; a very long text is read whole; a bit that half of the hashes have is 0; fewer words than a shingle make one shingle; repeated rows get a row
 each; a null id is in its component but never its name, and a component of null ids alone has
 a null name; an empty table gives an empty result; other columns are ignored whatever their
 names.
@@ -27,18 +27,20 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.components import components
-from inkwell.llm.shared import materialize, table, trim
+from inkwell.llm.shared import materialize, passing, table, trim
 
 RADIUS = 4
 WORDS = 4
 SEED = 42
 #: Distinct fingerprints that one block of a bucket has on average, at most.
 BLOCK = 8192
+#: Rows of the covering tables that one task makes.
+ROWS_PER_TASK = 4_000_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMN = np.arange(8, dtype=np.int64) * 256
 
@@ -144,13 +146,20 @@ def _links(batches, radius):
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that join the distinct fingerprints ``fp`` as all links do; written."""
-    masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
-    keyed = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("tab", "key"))
-    sizes = materialize(keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    shared = keyed.join(sizes, ["tab", "key"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    dealt = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    """Edges (u, v) that join the distinct fingerprints ``fp`` of a written table as all links do; written.
+
+    A fingerprint is a row in each table. One shuffle brings the rows of a bucket together and
+    counts them; singletons, nearly all, end there. Only a bucket of over ``block`` rows is dealt anew.
+    """
+    spark, kept = distinct.sparkSession, covering_masks(radius)
+    masks = F.array(*[F.lit(m) for m in kept])
+    rows = distinct.agg(F.count(F.lit(1))).first()[0]
+    spread = max(spark.sparkContext.defaultParallelism, rows * len(kept) // ROWS_PER_TASK)
+    keyed = distinct.select("fp").repartition(spread).select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("tab", "key"))
+    own = Window.partitionBy("tab", "key")
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(own)).where("n > 1")
+    shared = materialize(shared.withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int")).select("tab", "key", "fp", "parts"), "buckets")
+    dealt = shared.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("tab", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     dealt = dealt.repartition("tab", "key", "lo", "hi").sortWithinPartitions("tab", "key", "lo", "hi")
     return materialize(dealt.mapInArrow(partial(_links, radius=radius), "u long, v long").distinct(), "links")
@@ -166,9 +175,10 @@ def classes(found: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, words_each: int = WORDS, block: int = BLOCK) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits), component_id of each row."""
     found = materialize(fingerprints(docs, id_column, text_column, words_each), "fingerprints")
-    labelled = materialize(classes(found, radius, block), "classes")
-    names = materialize(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
-    named = materialize(labelled.join(names, "root").select("fp", "component_id"), "named")
+    with passing(docs.sparkSession) as keep:
+        labelled = materialize(classes(found, radius, block), "classes")
+        names = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        named = keep(materialize(labelled.join(names, "root").select("fp", "component_id"), "named"))
     out = found.join(named, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out.withColumnRenamed("id", id_column)
 
@@ -190,11 +200,13 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = materialize(rows, "rows").withColumns({"file": F.col("_metadata.file_name"), "at": F.col("_metadata.row_index")})
     # rows that are equal in all columns tie up to their place in the written table, which tells them apart
     order = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "file", "at")
-    labelled = materialize(classes(rows.select("id", "fp"), radius, block).select("fp", "root"), "classes")
-    firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    winners = firsts.join(labelled, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at")
+    with passing(docs.sparkSession) as keep:
+        labelled = materialize(classes(rows.select("id", "fp"), radius, block).select("fp", "root"), "classes")
+        firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
+        winners = firsts.join(labelled, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.file", "first.at")
+        winners = keep(materialize(winners, "winners"))
     # a merge at every size: winners grow with the rows
-    return rows.hint("merge").join(materialize(winners, "winners"), ["file", "at"], "left_semi").select("row.*")
+    return rows.hint("merge").join(winners, ["file", "at"], "left_semi").select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
