@@ -1,58 +1,7 @@
-"""A corpus pipeline of five stages over ``documents``; each calls one operator of inkwell.llm.
-
-Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All
-but the last return the columns of documents. A stage's output is written as Parquet and read
-again as the next one's input.
-"""
+"""The corpus pipeline: STAGES, run() and ORACLE_SQL, as inkwell.llm.pipeline has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from inkwell.llm import mixing, near_copies, packing, quality, toxicity
-from inkwell.llm.shared import materialize, table
-from inkwell.shipping import ship
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
-
-
-def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return quality.keep_selected(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return near_copies.keep_one(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return mixing.mixed(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality", drop_poor),
-    ("simhash near-dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: SQL has neither the classifiers nor the tokenizer; tests hold each stage against brute force.
-ORACLE_SQL = None
-
+from inkwell.llm.pipeline import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
