@@ -3,7 +3,9 @@
 A capture is written as a request, a response (or a revisit of an earlier response with the
 same payload) and a metadata record. Request and metadata name the response or revisit in
 ``WARC-Concurrent-To``. ``assemble`` joins the records of an archive by these identifiers and
-emits one nested row per capture, with all of its concurrent records and their contents.
+emits one nested row per capture, with all of its concurrent records and their contents. It
+follows the identifiers both ways and over other records: a request may name its response or be
+named by it, a header may be repeated, and metadata of a request belong to the request's capture.
 
 Archives are parts written by Spark's own committer into a shared folder, so retried tasks
 leave no halves behind. A part is a valid WARC/1.1 file: records with CRLF header lines and an
@@ -16,26 +18,41 @@ Defined cases: a null or empty payload is a response of 0 bytes; payloads under
 are never revisited; rows that share the largest id of their payload are all responses; a null
 id ranks below all others and is kept; a null URL is written as an empty one; repeated rows are
 captures of their own; an empty table gives an empty result; other columns are ignored whatever
-their names. A revisit has no payload of its own; its digest and size are in its headers.
+their names. A revisit has no payload of its own; its digest and size are in its headers. A very
+long payload is one record in one cell, and an archive is below 2 GiB, as Spark reads it whole.
+
+Of archives written elsewhere: a record without identifier or type is damaged, and so is what
+follows a broken header, a missing or wrong length or a broken gzip stream; it gives a row with
+``damage`` alone, which ``assemble`` leaves out, and the rest of that archive after the last three
+isn't read. Records that name a record the archives don't have, and records that neither name
+another nor are named, are orphans: a row of kind ``orphan`` for what they name, or for themselves.
+A record that names several captures is nested in each. Records that name each other in a circle
+without a capture are orphans each.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import zlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import materialize, new_folder, table
+from inkwell.llm.shared import materialize, new_folder, passing, table
 
 MINIMUM = 1000
 PART_BYTES = 16 << 20
+#: What a capture's three records have beside its payload and URL, about.
+RECORD_BYTES = 1400
 #: Every capture has the same date: the tables have none.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, payload_digest string, fields map<string,string>, http binary, payload binary, block binary"
+RECORD = "record_id string, record_type string, concurrent_to array<string>, target_uri string, date string, refers_to string, payload_digest string, fields map<string,string>, http binary, payload binary, block binary, damage string"
+#: Records that are a capture; all others are beside one.
+CAPTURES = ("response", "revisit", "resource")
 #: What a concurrent record has in a capture's row.
 NESTED = ("record_id", "record_type", "fields", "http", "block")
 
@@ -81,63 +98,103 @@ def records(captures: DataFrame) -> DataFrame:
     return captures.select(F.explode(F.array(request, F.when(F.col("first_id").isNull(), response).otherwise(revisit), metadata)).alias("value"))
 
 
-def write(captures: DataFrame, path: str, part_bytes: int = PART_BYTES, compressed: bool = True) -> None:
+def write(captures: DataFrame, path: str, part_bytes: int = PART_BYTES, compressed: bool = True, mean_bytes: float | None = None) -> None:
     """Write captures (see plan_captures) as WARC parts into a folder, in the partitions that they are in.
 
+    mean_bytes: of a capture's three records, where it is known without working out the captures.
+
     A row's number tells its capture from others with the same id. All records of a capture
     come from one evaluation of its row, so they agree on it whichever attempt of a task is
     committed.
     """
-    row = captures.agg(F.count(F.lit(1)), F.sum(F.col("size") + F.octet_length("url") * 4 + 1400)).first()
-    per_part = max(1, int(3 * row[0] * part_bytes / row[1])) if row[0] else 1
+    if mean_bytes is None:
+        mean_bytes = captures.agg(F.avg(F.col("size") + F.octet_length("url") * 4 + RECORD_BYTES)).first()[0] or RECORD_BYTES
+    per_part = max(1, int(3 * part_bytes / mean_bytes))
     uid = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string"))
     rows = records(captures.withColumn("uid", uid))
     rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_part).option("compression", "gzip" if compressed else "none").text(path)
 
 
+Header = tuple[str, str]
+
+
 def parse(data: bytes):
-    """The records of an archive: (headers by lower-case name, block) in turn."""
+    """The records of an archive in turn: (headers in order, names in lower case; block). Raises ValueError where it is damaged."""
     stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"a record was expected, not {line[:40]!r}")
-        headers = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        size = int(headers["content-length"])
-        block = stream.read(size)
-        if len(block) != size:
-            raise ValueError("the archive ends inside a record")
-        yield headers, block
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"a record was expected, not {line[:40]!r}")
+            headers: list[Header] = []
+            while (line := stream.readline()).strip():
+                name, colon, value = line.decode("utf-8", "replace").partition(":")
+                if line[:1] in b" \t" and headers:  # a header goes on
+                    headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.decode('utf-8', 'replace').strip()}")
+                elif colon:
+                    headers.append((name.strip().lower(), value.strip()))
+                else:
+                    raise ValueError(f"a header was expected, not {line[:40]!r}")
+            size = header(headers, "content-length")
+            if size is None or not size.isdecimal():
+                raise ValueError(f"a record has the length {size!r}")
+            block = stream.read(int(size))
+            if len(block) != int(size):
+                raise ValueError("the archive ends inside a record")
+            yield headers, block
+    except (EOFError, gzip.BadGzipFile, zlib.error) as broken:
+        raise ValueError(f"broken gzip stream: {broken}") from broken
+
+
+def header(headers: list[Header], name: str) -> str | None:
+    """The first header of a name."""
+    return next((value for key, value in headers if key == name), None)
+
+
+def _row(headers: list[Header], block: bytes) -> tuple:
+    of = partial(header, headers)
+    if not of("warc-record-id") or not of("warc-type"):
+        return (*[None] * 11, "a record has no identifier or type")
+    kind, fields, http = of("warc-type"), None, None
+    if (of("content-type") or "").startswith("application/http"):
+        http, _, block = block.partition(b"\r\n\r\n")
+    elif (of("content-type") or "").startswith("application/warc-fields"):
+        fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode("utf-8", "replace").splitlines() if ":" in line]
+    beside = [value for key, value in headers if key == "warc-concurrent-to"]
+    content = (block, None) if kind in ("response", "resource") else (None, block)
+    return (of("warc-record-id"), kind, beside, of("warc-target-uri"), of("warc-date"), of("warc-refers-to"), of("warc-payload-digest"), fields, http, *content, None)
 
 
 def _read(batches):
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("http", pa.binary()), ("payload", pa.binary()), ("block", pa.binary())])
+    text, blob = pa.string(), pa.binary()
+    types = [text, text, pa.list_(text), text, text, text, text, pa.map_(text, text), blob, blob, blob, text]
+    schema = pa.schema([(column.split()[0], kind) for column, kind in zip(RECORD.split(", "), types)])
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), types)], schema=schema)
+
     for batch in batches:
         for content in batch.column(0):
-            rows, held = [], 0
-            for headers, block in parse(content.as_py()):
-                kind = headers.get("warc-type")
-                fields = http = None
-                if headers.get("content-type", "").startswith("application/http"):
-                    head, _, block = block.partition(b"\r\n\r\n")
-                    http = head
-                elif headers.get("content-type", "").startswith("application/warc-fields"):
-                    fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode("utf-8", "replace").splitlines() if ":" in line]
-                rows.append((headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-refers-to"), headers.get("warc-payload-digest"), fields, http, *((block, None) if kind in ("response", "resource") else (None, block))))
-                held += len(block) + len(http or b"")
+            rows, held, records = [], 0, parse(content.as_py())
+            while True:
+                try:
+                    rows.append(_row(*next(records)))
+                except StopIteration:
+                    break
+                except ValueError as damage:
+                    rows.append((*[None] * 11, str(damage)))
+                    break
+                held += sum(len(x) for x in rows[-1][8:11] if x)
                 if held > 4 << 20:
-                    yield pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(schema, zip(*rows))}, schema=schema)
+                    yield out(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(schema, zip(*rows))}, schema=schema)
+                yield out(rows)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in a folder.
+    """One row per record of the archives in a folder; of a damaged one, what stands before the damage, and a row with it.
 
     http: the request or status line and the headers of an HTTP message, without the empty line
     that ends them. What follows, or the whole block of any other record, is the payload of a
@@ -147,30 +204,60 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read, RECORD)
 
 
+def transactions(found: DataFrame) -> DataFrame:
+    """(record_id, capture) of the records beside captures, from a stored table of records; written.
+
+    capture is a capture's identifier, or one that is named but that no record has. Nearly all
+    records name their capture, or are named by it; only where some are linked through others
+    does a round follow for each further step.
+    """
+    light = found.where("record_id is not null").select("record_id", F.col("record_type").isin(*CAPTURES).alias("main"), "concurrent_to")
+    links = light.select("record_id", "main", F.explode("concurrent_to").alias("to"))
+    kinds = light.groupBy(F.col("record_id").alias("to")).agg(F.max("main").alias("to_main"))
+    linked = materialize(links.join(kinds, "to", "left"), "linked")
+    named = linked.where(~F.col("main") & F.coalesce("to_main", F.lit(True))).select("record_id", F.col("to").alias("capture"))
+    naming = linked.where(F.col("main") & ~F.col("to_main")).select(F.col("to").alias("record_id"), F.col("record_id").alias("capture"))
+    known = newest = materialize(named.unionByName(naming).distinct(), "known")
+    steps = linked.where(~F.col("main") & ~F.col("to_main")).select(F.col("record_id").alias("a"), F.col("to").alias("b"))
+    if steps.isEmpty():
+        return known
+    steps = materialize(steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "steps")
+    while not newest.isEmpty():
+        reached = steps.join(newest, steps["b"] == newest["record_id"]).select(F.col("a").alias("record_id"), "capture").distinct()
+        newest = materialize(reached.join(known.select("record_id"), "record_id", "left_anti"), "newest")
+        known = materialize(known.unionByName(newest), "known")
+    return known
+
+
 def assemble(found: DataFrame, carried: Column | None = None) -> DataFrame:
     """One row per capture: record_id, target_uri, date, kind, refers_to, payload_digest, http, payload, concurrent, request and metadata.
 
-    concurrent has every other record that names the capture, in order of record_id, with its
-    contents; request and metadata are the first of each kind. They meet their response or
-    revisit in a join on its identifier; each identifier is one capture, so no key is common.
-    carried: what goes along as payload, an expression over the record; by default its bytes.
+    concurrent has every other record of the capture's transaction, in order of record_id, with its
+    contents; request and metadata are the first of each kind. Each transaction is one capture,
+    so no key is common. Records are written once before they are joined, so archives are
+    read once. carried: what goes along as payload, an expression over the record; by default
+    its bytes.
     """
-    main = found.where(F.col("record_type").isin("response", "revisit", "resource"))
     payload = F.col("payload") if carried is None else carried
-    main = main.select("record_id", "target_uri", "date", F.col("record_type").alias("kind"), "refers_to", "payload_digest", "http", payload.alias("payload"))
-    beside = found.where(~F.col("record_type").isin("response", "revisit", "resource") & F.col("concurrent_to").isNotNull())
+    found = materialize(found.where("damage is null").withColumn("payload", payload).drop("damage"), "records")
+    is_main = F.col("record_type").isin(*CAPTURES)
+    main = found.where(is_main).select("record_id", "target_uri", "date", F.col("record_type").alias("kind"), "refers_to", "payload_digest", "http", "payload")
+    with passing(found.sparkSession) as keep:
+        known = keep(transactions(found))
+    beside = found.where(~is_main).select(*NESTED).join(known, "record_id", "left").withColumn("capture", F.coalesce("capture", "record_id"))
     nested = F.struct(*NESTED)
     order = lambda of: F.struct(F.coalesce(of("record_id"), F.lit("")), of("record_type"), F.to_json(F.struct(of("fields"))), of("http"), of("block"))
     first = lambda kind: F.min_by(nested, F.when(F.col("record_type") == kind, order(F.col)))
     after = lambda x, y: F.when(order(x.getField) < order(y.getField), -1).when(order(x.getField) > order(y.getField), 1).otherwise(0)
-    beside = beside.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.collect_list(nested).alias("concurrent"), first("request").alias("request"), first("metadata").alias("metadata"))
-    joined = main.join(beside, "record_id", "left")
+    beside = beside.groupBy(F.col("capture").alias("record_id")).agg(F.collect_list(nested).alias("concurrent"), first("request").alias("request"), first("metadata").alias("metadata"))
+    joined = main.join(beside, "record_id", "full").withColumn("kind", F.coalesce("kind", F.lit("orphan")))
     return joined.withColumn("concurrent", F.coalesce(F.array_sort("concurrent", after), F.array()))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "archives")
-    write(plan_captures(table(spark, sf_dir, "pages")), path)
+    path, pages = new_folder(spark, "archives"), table(spark, sf_dir, "pages")
+    sizes = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) * 4 + RECORD_BYTES
+    write(plan_captures(pages), path, mean_bytes=pages.agg(F.avg(sizes)).first()[0] or RECORD_BYTES)
     payload = F.coalesce(F.col("payload"), F.lit("").cast("binary"))
     captures = assemble(read(spark, path), F.struct(F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("sha1")))
     about = F.col("metadata.fields")

@@ -81,3 +81,73 @@ def test_captures_keep_all_records_and_their_contents(spark, tmp_path):
     assert bytes(a["request"]["http"]) == b"POST /x HTTP/1.1\r\nHost: a" and bytes(a["request"]["block"]) == b"q=1"
     assert [(x["record_id"], bytes(x["block"])) for x in a["concurrent"]] == [("<m1>", b"via: u\r\nvia: v\r\n"), ("<m2>", b'{"k": 1}'), ("<r>", b"q=1")]
     assert a["metadata"]["record_id"] == "<m1>" and rows["<b>"]["concurrent"] == [] and rows["<b>"]["request"] is None
+
+
+def record(kind, name, block=b"x", *beside, extra=()):
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *([f"WARC-Record-ID: <{name}>"] if name else []), "Content-Type: text/plain", f"Content-Length: {len(block)}", *(f"WARC-Concurrent-To: <{b}>" for b in beside), *extra]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def found(spark, folder):
+    rows = warc.assemble(warc.read(spark, str(folder))).collect()
+    return sorted((r["record_id"], r["kind"], [c["record_id"] for c in r["concurrent"]]) for r in rows)
+
+
+def test_links_are_followed_both_ways_and_over_records(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(
+        record("response", "a", b"1", "ra")  # names its request
+        + record("request", "ra")
+        + record("metadata", "ma", b"m", "ra")  # of the request
+        + record("metadata", "na", b"n", "ma")
+        + record("response", "b", b"2")
+        + record("request", "rb", b"r", "b", "c")  # a repeated header: two captures
+        + record("resource", "c", b"3")
+    )
+    (tmp_path / "b.warc").write_bytes(record("metadata", "oa", b"o", "na") + record("response", "d", b"4"))
+    assert found(spark, tmp_path) == [("<a>", "response", ["<ma>", "<na>", "<oa>", "<ra>"]), ("<b>", "response", ["<rb>"]), ("<c>", "resource", ["<rb>"]), ("<d>", "response", [])]
+
+
+def test_orphans(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(
+        record("request", "r1", b"r", "gone")
+        + record("metadata", "m1", b"m", "r1")
+        + record("warcinfo", "w")
+        + record("metadata", "x", b"x", "y")
+        + record("metadata", "y", b"y", "x")
+        + record("response", "a")
+    )
+    assert found(spark, tmp_path) == [("<a>", "response", []), ("<gone>", "orphan", ["<m1>", "<r1>"]), ("<w>", "orphan", ["<w>"]), ("<x>", "orphan", ["<x>"]), ("<y>", "orphan", ["<y>"])]
+
+
+def test_repeated_and_folded_headers():
+    data = record("metadata", "m", b"x", "a", "b", extra=["X-Long: one", "  two"])
+    ((headers, block),) = warc.parse(data)
+    assert [v for k, v in headers if k == "warc-concurrent-to"] == ["<a>", "<b>"] and warc.header(headers, "x-long") == "one two" and block == b"x"
+
+
+def test_damaged_archives(spark, tmp_path):
+    good = record("response", "ok", b"fine")
+    whole = gzip.compress(record("response", "zipped", b"z" * 5000))
+    damaged = {
+        "cut": good.replace(b"ok", b"o1") + record("response", "late", b"0123456789")[:-9],
+        "length": good.replace(b"ok", b"o2") + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nx\r\n\r\n" + good.replace(b"ok", b"unread"),
+        "noise": b"something else\r\n",
+        "header": b"WARC/1.1\r\nno header\r\n\r\n",
+        "anonymous": record("response", None) + good.replace(b"ok", b"o3"),
+        "zip": whole[:-12],
+        "empty": b"",
+    }
+    for name, data in damaged.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r["record_id"] for r in rows if r["record_id"]) == ["<o1>", "<o2>", "<o3>"]
+    assert sum(r["damage"] is not None for r in rows) == 6 and all((r["damage"] is None) != (r["record_id"] is None) for r in rows)
+    assert found(spark, tmp_path) == [("<o1>", "response", []), ("<o2>", "response", []), ("<o3>", "response", [])]
+
+
+def test_a_long_payload(spark):
+    path = new_folder(spark, "test-long")
+    html = "<p>é</p>" * 2_000_000
+    warc.write(warc.plan_captures(spark.createDataFrame([(1, "u", html, ""), (2, "u", html, "")], SCHEMA)), path)
+    rows = {r["kind"]: r for r in warc.assemble(warc.read(spark, path)).collect()}
+    assert bytes(rows["response"]["payload"]).decode() == html and rows["revisit"]["payload"] is None
