@@ -18,7 +18,9 @@ at most ``MOST_RANGES``). A row that starts a range also visits the range before
 very first row the last range, so that each range finds its rows' successors alone, in one
 shuffle of the texts.
 
-Defined cases: a null text is empty; a null id has no place in the order, and such a row is its
+Beyond 8.4 million rows ranges have more than ``ROWS_PER_RANGE`` rows each; sorting one spills.
+
+Defined cases: a null text is empty; a very long text is sketched whole; a null id has no place in the order, and such a row is its
 own next document, as is a single row; repeated ids follow each other by text; an empty table
 gives an empty result; other columns are ignored whatever their names.
 """
@@ -89,27 +91,27 @@ def _cuts(rows: DataFrame) -> list[int]:
     return sorted({least, *found})
 
 
-def _range_of(id_: F.Column, cuts: list[int]) -> F.Column:
-    """How many cuts are at or below the id, found in two steps of about the square root of their number."""
+def _range_of(id_: F.Column, cuts: list[int]) -> tuple[F.Column, F.Column]:
+    """How many cuts are at or below the id, found in two steps of about the square root of their number; and whether the last of these is the id."""
     step = max(1, int(len(cuts) ** 0.5))
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    inner = F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks])
+    numbers = lambda some: f"array({', '.join(f'{c}L' for c in some)})"
+    heads, inner = F.expr(numbers([b[0] for b in blocks])), F.expr(f"array({', '.join(map(numbers, blocks))})")
     block = F.size(F.filter(heads, lambda c: c <= id_))
-    return F.when(block > 0, (block - 1) * step + F.size(F.filter(F.get(inner, block - 1), lambda c: c <= id_))).otherwise(0)
+    own = F.get(inner, block - 1)
+    inside = F.size(F.filter(own, lambda c: c <= id_))
+    return F.when(block > 0, (block - 1) * step + inside).otherwise(0), F.coalesce(F.get(own, inside - 1) == id_, F.lit(False))
 
 
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows of (id, text) by range, with ``range`` and ``visits``; rows of a range are together."""
     cuts = _cuts(rows)
-    own = _range_of(F.col("id"), cuts) if cuts else F.lit(0)
+    number, first = _range_of(F.col("id"), cuts) if cuts else (F.lit(0), F.lit(False))
     lone = -1 - F.pmod(F.xxhash64("text"), F.lit(1024)).cast("int")
-    own = F.when(F.col("id").isNull(), lone).otherwise(own)
-    ranged = rows.withColumn("own", own)
-    starts = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    first = F.array_contains(starts, F.col("id")) if cuts else F.lit(False)
+    ranged = rows.withColumns({"own": F.when(F.col("id").isNull(), lone).otherwise(number), "first": first})
     before = F.when(F.col("own") > 1, F.col("own") - 1).otherwise(F.lit(len(cuts)))
-    places = F.when(F.coalesce(first, F.lit(False)), F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("visits")), F.struct(before.alias("range"), F.lit(True).alias("visits")))).otherwise(F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("visits"))))
+    place = lambda range_, visits: F.struct(range_.alias("range"), F.lit(visits).alias("visits"))
+    places = F.when(F.col("first"), F.array(place(F.col("own"), False), place(before, True))).otherwise(F.array(place(F.col("own"), False)))
     placed = ranged.select("id", "text", F.explode(places).alias("place"))
     return placed.select("id", "text", "place.range", "place.visits").repartition("range")
 
