@@ -13,11 +13,12 @@ texts, so that the output can be read back (``turns_of``).
 
 A conversation is one result row, so its turns meet in one task, but a partition streams
 through its conversations and holds one at a time. As every prefix is rendered, the cost
-of one conversation grows with the square of its turns.
+of one conversation grows with the square of its turns, and its texts are in memory at once. A
+conversation that holds a third of all rows is one task: a prefix can't be rendered in parts.
 
 Defined cases: a null role or text is empty; turns are in order of turn (nulls first), then role
 and text; repeated rows are turns of their own; rows with a null conversation id are one
-conversation; an empty table gives an empty result; other columns are ignored whatever their
+conversation; very long texts are kept whole; an empty table gives an empty result; other columns are ignored whatever their
 names.
 """
 
@@ -27,7 +28,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,10 @@ _ESCAPED = re.compile("|".join([r"\\", *map(re.escape, CONTROLS)]))
 _TURN = re.compile(r"<s>(.*?)\[INST\] (.*?) \[/INST\]</s>", re.DOTALL)
 
 
-@lru_cache(4096)
 def escape(text: str) -> str:
     """Doubles backslashes and puts one after the first character of a control string."""
+    if "\\" not in text and not any(c in text for c in CONTROLS):  # nearly all texts, at once
+        return text
     return _ESCAPED.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
 
 
