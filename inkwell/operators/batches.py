@@ -35,6 +35,12 @@ def positions(lengths: Column) -> Column:
     return F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0).cast("long"), n - 1)))
 
 
+def loss_positions(batch: DataFrame) -> DataFrame:
+    """(batch, slot, id, target, position) of a materialized batch's places that bear a loss."""
+    places = batch.select("batch", F.posexplode(F.arrays_zip("ids", "targets", "positions")).alias("slot", "x"))
+    return places.where(F.col("x.targets") != X.IGNORED).select("batch", "slot", F.col("x.ids").alias("id"), F.col("x.targets").alias("target"), F.col("x.positions").alias("position"))
+
+
 def materialize(placed: DataFrame, documents: DataFrame, window: int, longest: int, pad: int = X.PAD) -> DataFrame:
     """(batch, ids, targets, positions, bounds) of next_fit's result and documents (ord, tokens), tokens framed.
 

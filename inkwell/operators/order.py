@@ -9,21 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.prefix import rank_by_chunk
+from inkwell.session import scratch
+
 #: Documents that an exact permutation is drawn for on the driver, at 8 bytes each.
 EXACT_LIMIT = 100_000_000
+#: Positions that go from the driver to a written table at once.
+POSITIONS_AT_ONCE = 1 << 22
+#: Documents that a range of hashes has, about.
+RANGE_DOCUMENTS = 1 << 16
 
 
 def permutation(spark: SparkSession, n: int, shuffle_seed: int, part: int = 0) -> DataFrame:
     """(position, ord): the seeded permutation of n documents that numpy's generator of [seed, part] draws."""
     if n > EXACT_LIMIT:
         raise ValueError(f"an exact permutation is drawn for {EXACT_LIMIT} documents at most; hash_order has no limit")
-    order = np.random.default_rng([shuffle_seed, part]).permutation(n)
-    return spark.createDataFrame(pd.DataFrame({"position": np.arange(n, dtype=np.int64), "ord": order.astype(np.int64)}), "position long, ord long")
-
-
-def hash_order(rows: DataFrame, seed: int, order: str = "ord") -> DataFrame:
-    """Rows globally sorted by a seeded hash of their number: a seeded order at any size."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(order)), order)
+    drawn = np.random.default_rng([shuffle_seed, part]).permutation(n)
+
+    def piece(at: int) -> DataFrame:
+        some = drawn[at : at + POSITIONS_AT_ONCE].astype(np.int64, copy=False)
+        return spark.createDataFrame(pd.DataFrame({"position": np.arange(at, at + len(some), dtype=np.int64), "ord": some}), "position long, ord long")
+
+    if n <= POSITIONS_AT_ONCE:
+        return piece(0)
+    path = scratch(spark, "permutation")
+    for at in range(0, n, POSITIONS_AT_ONCE):
+        piece(at).write.mode("append").parquet(path)
+    return spark.read.schema("position long, ord long").parquet(path)
+
+
+def hash_order(documents: DataFrame, shuffle_seed: int, part: int = 0, range_documents: int = RANGE_DOCUMENTS) -> DataFrame:
+    """(position, ord) of documents (ord): a seeded order at any size, that of a hash of the number.
+
+    The hash's high bits cut it into ranges; ranges are counted, their counts added up, and each
+    range numbers its documents. Nothing but one number is on the driver.
+    """
+    hashed = documents.select("ord", F.xxhash64(F.lit(shuffle_seed), F.lit(part), "ord").alias("hash"))
+    ranges = max(1, -(-documents.count() // range_documents))
+    # the hash as a share of its range, from the least on
+    share = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 11).cast("double") / float(1 << 53)
+    hashed = hashed.withColumn("range", F.least(F.floor(share * ranges), F.lit(ranges - 1)))
+    return rank_by_chunk(hashed, "range", "hash", "ord").select(F.col("rank").alias("position"), "ord")
 
 
 def reordered(documents: DataFrame, order: DataFrame) -> DataFrame:

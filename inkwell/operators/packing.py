@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.session import scratch
+
 CHUNK = 1 << 16
 #: Chunks whose lengths are fetched at once, at 8 bytes a document.
 FETCHED = 64
@@ -119,6 +121,13 @@ def _chain_totals(rows: DataFrame, room: int, totals: list[tuple[int, int]], at_
     return states
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """Lengths alone, written once in order of chunks: the passes below read no text, and those for some chunks skip the others."""
+    path = scratch(rows.sparkSession, "lengths")
+    rows.repartitionByRange("chunk").sortWithinPartitions("chunk", "ord").write.parquet(path)
+    return rows.sparkSession.read.schema("ord long, n long, chunk long").parquet(path)
+
+
 def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int = CHUNK) -> DataFrame:
     """(ord, n, batch) for documents (ord, n) numbered from 0 without gaps; batches are numbered from 0.
 
@@ -132,6 +141,7 @@ def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int
         n = F.when(n > room, F.raise_error(F.concat(F.lit("document "), F.col("ord").cast("string"), F.lit(f" doesn't fit {room}")))).otherwise(n)
     n = F.when(n <= 0, F.raise_error(F.lit("a document has no token"))).otherwise(n)
     rows = lengths.select(F.col("ord").cast("long").alias("ord"), n.alias("n"), F.floor(F.col("ord") / chunk).cast("long").alias("chunk"))
+    rows = _written(rows)
     totals = sorted((r["chunk"], r["t"]) for r in rows.groupBy("chunk").agg(F.sum("n").alias("t")).collect())
     wide = room * len(totals) > sum(t for _, t in totals) // 8
     states = (_chain_totals(rows, room, totals) if wide else _chain_tables(rows, room)) or [(0, 0, 0)]

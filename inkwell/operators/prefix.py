@@ -41,3 +41,16 @@ def within_budget(rows: DataFrame, cost: str, budget: int, order: str = "ord") -
 def bytes_within(rows: DataFrame, budget: int, text: str = "text", order: str = "ord") -> DataFrame:
     """The prefix of lines (text and line end) whose bytes use up the budget."""
     return within_budget(rows.withColumn("__cost", F.octet_length(text).cast("long") + 1), "__cost", budget, order).drop("__cost")
+
+
+def rank_by_chunk(rows: DataFrame, chunk: str, *order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds rank, from 0: rows by chunk, then by the order, in each group of ``within``.
+
+    Chunks are counted and their counts added up; only rows of one chunk are sorted together.
+    """
+    key = [*within, chunk]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*within).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*key, F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    return rows.withColumn("__own", own).join(starts, key).withColumn("rank", F.col("__before") + F.col("__own")).drop("__own", "__before")

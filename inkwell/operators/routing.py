@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.prefix import CHUNK, rank_by_chunk
+
 #: The smallest normal 32-bit float; probabilities are clamped to it in logarithms.
 TINY = 2.0**-126
 
@@ -45,12 +47,39 @@ def offsets(counts: DataFrame) -> DataFrame:
     return counts.withColumn("upto", F.sum("n").over(Window.orderBy("expert").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def dispatch(chosen: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row, slot, expert, place): places by expert, then by row and slot; ranked inside each expert."""
-    inside = Window.partitionBy("expert").orderBy("row", "slot")
+def dispatch(chosen: DataFrame, counts: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(row, slot, expert, place): places by expert, then by row and slot; an expert's rows are ranked chunk by chunk, so that few experts are many tasks."""
     begun = offsets(counts).select("expert", (F.col("upto") - F.col("n")).alias("__begin"))
-    ranked = chosen.withColumn("__rank", F.row_number().over(inside) - 1)
-    return ranked.join(begun, "expert").select("row", "slot", "expert", (F.col("__begin") + F.col("__rank")).alias("place"))
+    chunked = chosen.select("row", "slot", "expert", F.floor(F.col("row") / chunk).alias("__chunk"))
+    ranked = rank_by_chunk(chunked, "__chunk", "row", "slot", within=("expert",))
+    return ranked.join(begun, "expert").select("row", "slot", "expert", (F.col("__begin") + F.col("rank")).alias("place"))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows with their entries of a table that has one row per key, such as token vectors or rotary angles by position; a key without an entry fails the query."""
+    found = rows.join(table.withColumn("__there", F.lit(True)), key, "left")
+    there = F.coalesce("__there", F.raise_error(F.concat(F.lit(f"the table has no {key} "), F.col(key).cast("string"))))
+    return found.where(there).drop("__there")
+
+
+def rotary_table(spark: SparkSession, positions: int, width: int, base: float = 10000.0) -> DataFrame:
+    """(position, cos, sin) of rotary embeddings for vectors of that width."""
+    angles = F.transform(F.sequence(F.lit(0), F.lit(width // 2 - 1)), lambda i: F.col("id") * F.pow(F.lit(base), -(i / (width // 2))))
+    return spark.range(positions).select(F.col("id").alias("position"), F.transform(angles, F.cos).alias("cos"), F.transform(angles, F.sin).alias("sin"))
+
+
+def rotate_with(values: Column, cos: Column, sin: Column) -> Column:
+    """Halves of an array rotated by angles that were looked up."""
+    half = (F.size(values) / 2).cast("int")
+    at = F.sequence(F.lit(0), half - 1)
+    first = F.transform(at, lambda i: F.get(values, i) * F.get(cos, i) - F.get(values, i + half) * F.get(sin, i))
+    second = F.transform(at, lambda i: F.get(values, i + half) * F.get(cos, i) + F.get(values, i) * F.get(sin, i))
+    return F.concat(first, second)
+
+
+def frobenius_norm(values: str) -> Column:
+    """Of a matrix whose rows are arrays in a column: an aggregate."""
+    return F.sqrt(F.sum(F.aggregate(F.col(values), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
 
 def combine(outputs: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -1,30 +1,38 @@
 """The corpus build: filter, split, tokenize, order and write caches with manifests; and reading them.
 
 A cache is a folder of Parquet, one row per document (ord, shard, tokens, n_bytes), partitioned by
-shard, and a manifest that is written last. It lies at a path that all machines mount. All narrow steps are one stage; the split is decided
-before tokenizing; both sides are written from one written table of kept documents.
+shard, and a manifest that is written last and names the folder of the rows. It may be on any store
+that Spark reads. All narrow steps are one stage; the split is decided before tokenizing; both
+sides are written from one written table of kept documents. Two builds of one cache don't meet:
+each has rows of its own, and the first manifest stays.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import shutil
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.functions.splitting import is_validation
 from inkwell.functions.tokenize import encoder as find_encoder
-from inkwell.operators.order import permutation, reordered
+from inkwell.operators.order import hash_order, permutation, reordered
 from inkwell.operators.packing import next_fit
-from inkwell.sources.documents import MANIFEST, describe_source, is_cache, manifest, read_jsonl, read_parquet
+from inkwell.operators.prefix import CHUNK, rank_by_chunk
+from inkwell.sources import storage
+from inkwell.sources.documents import MANIFEST, describe_source, is_cache, manifest, read_source, read_within
 
 FORMAT = "inkwell-cache-v1"
-#: The folder of the rows, beside the manifest.
-ROWS = "rows"
+#: A cache's copy of its tokenizer file.
+TOKENIZER = "tokenizer.json"
+#: Seeded orders: the exact permutation, up to its limit, or that of a hash, at any size.
+SHUFFLES = {"exact": lambda docs, seed, part: permutation(docs.sparkSession, docs.count(), seed, part), "hash": hash_order}
 
 
 def kept_documents(docs: DataFrame, encoder, max_docs: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, val_frac: float = 0.0, split_seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -62,74 +70,92 @@ def counters(rows: DataFrame) -> DataFrame:
 
 def numbered(kept: DataFrame) -> DataFrame:
     """ord anew, from 0 without gaps, in the order of ord; chunk by chunk."""
-    from inkwell.operators.prefix import CHUNK
-
     chunked = kept.withColumn("__chunk", F.floor(F.col("ord") / CHUNK))
-    counts = chunked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))  # a row for each 65,536 documents
-    starts = counts.select("__chunk", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__chunk").orderBy("ord")) - 1
-    return chunked.withColumn("__own", own).join(starts, "__chunk").withColumn("ord", F.col("__before") + F.col("__own")).drop("__chunk", "__own", "__before")
+    return rank_by_chunk(chunked, "__chunk", "ord").withColumn("ord", F.col("rank")).drop("__chunk", "rank")
 
 
 def digest(found: dict) -> str:
     """Of a manifest's content: not of its paths, names or shards."""
     named = {**found, "source": [(f["bytes"], f["sha256"]) for f in found["source"]["files"]]}
-    for left_out in ("shards",):
+    for left_out in ("shards", "rows"):
         named.pop(left_out, None)
     return hashlib.sha256(json.dumps(named, sort_keys=True).encode()).hexdigest()
 
 
-def write_cache(documents: DataFrame, out: str | Path, header: dict, shard_tokens: int) -> dict:
+def write_cache(documents: DataFrame, out: str | Path, header: dict, shard_tokens: int, tokenizer_file: bytes | None = None) -> dict:
     """Write documents (ord, tokens, n_bytes), cut before a shard exceeds its tokens; the manifest comes last."""
-    out = Path(out)
     if is_cache(out):
         raise FileExistsError(f"{out} holds a cache already")
+    rows = f"rows-{uuid.uuid4().hex[:12]}"
     placed = next_fit(documents.select("ord", F.size("tokens").cast("long").alias("n")), shard_tokens, oversized="alone").select("ord", F.col("batch").alias("shard"))
-    rows = documents.join(placed, "ord").select("ord", "tokens", "n_bytes", "shard")
-    rows.repartitionByRange("shard", "ord").sortWithinPartitions("shard", "ord").write.mode("overwrite").partitionBy("shard").parquet(str(out / ROWS))
-    written = documents.sparkSession.read.parquet(str(out / ROWS)) if any((out / ROWS).glob("shard=*")) else None
-    shards = [] if written is None else [r.asDict() for r in written.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.sum("n_bytes").alias("text_bytes")).orderBy("shard").collect()]
-    docs, tokens = sum(s["docs"] for s in shards), sum(s["tokens"] for s in shards)
-    found = {"format": FORMAT, **header, "docs": docs, "tokens": tokens, "loss_tokens": tokens - docs, "text_bytes": sum(s["text_bytes"] for s in shards), "shards": shards}
-    (out / MANIFEST).write_text(json.dumps(found, indent=2) + "\n")
+    sharded = documents.join(placed, "ord").select("ord", "tokens", "n_bytes", "shard")
+    sharded.repartitionByRange("shard", "ord").sortWithinPartitions("shard", "ord").write.partitionBy("shard").parquet(storage.child(out, rows))
+    written = documents.sparkSession.read.schema("ord long, tokens array<int>, n_bytes long, shard int").parquet(storage.child(out, rows))
+    shards = [r.asDict() for r in written.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.sum("n_bytes").alias("text_bytes")).orderBy("shard").collect()]
+    total = lambda name: sum(s[name] for s in shards)
+    found = {"format": FORMAT, **header, "rows": rows, "docs": total("docs"), "tokens": total("tokens"), "loss_tokens": total("tokens") - total("docs"), "text_bytes": total("text_bytes"), "shards": shards}
+    try:
+        storage.publish(storage.child(out, MANIFEST), json.dumps(found, indent=1).encode())
+    except FileExistsError:  # another build was first
+        storage.remove(storage.child(out, rows))
+        raise
+    if tokenizer_file is not None:
+        storage.replace(storage.child(out, TOKENIZER), tokenizer_file)
     return found
 
 
-def build(spark: SparkSession, src: str | Path, out: str | Path, *, tokenizer: str = "bytes", specials: tuple[int, int, int] | None = None, shard_tokens: int = 1_000_000_000, max_docs: int | None = None, max_tokens: int | None = None, max_bytes: int | None = None, shuffle_seed: int | None = None, val_frac: float = 0.0, split_seed: int = 0, val_out: str | Path | None = None) -> dict:
+@dataclass(frozen=True)
+class Selection:
+    """What a build takes from its source, and in which order."""
+
+    max_docs: int | None = None
+    max_tokens: int | None = None
+    max_bytes: int | None = None
+    shuffle_seed: int | None = None
+    val_frac: float = 0.0
+    split_seed: int = 0
+    shuffle: str = "exact"
+
+    def check(self, val_out: str | Path | None) -> None:
+        """A validation side has a place of its own, and its order is drawn, as the sides of a source in order wouldn't be alike."""
+        missing = [name for name, given in (("val_out", val_out), ("shuffle_seed", self.shuffle_seed)) if given is None]
+        if self.val_frac and missing:
+            raise ValueError(f"to split off validation documents, give {' and '.join(missing)}")
+        if not 0 <= self.val_frac < 1:
+            raise ValueError(f"{self.val_frac} is no share that leaves documents to train on")
+        if self.shuffle not in SHUFFLES:
+            raise ValueError(f"orders are {', '.join(SHUFFLES)}")
+
+
+def build(spark: SparkSession, src: str | Path, out: str | Path, *, tokenizer: str = "bytes", specials: tuple[int, int, int] | None = None, shard_tokens: int = 1_000_000_000, val_out: str | Path | None = None, log: Callable[[str], None] = lambda line: None, **selection) -> dict:
     """Build the train cache, and with a split the validation cache; returns the train manifest.
 
-    An empty side is an empty cache with a manifest.
+    selection: the fields of ``Selection``. An empty side is an empty cache with a manifest.
     """
-    if not 0 <= val_frac < 1:
-        raise ValueError("val_frac must be in [0, 1)")
-    if val_frac and (val_out is None or shuffle_seed is None):
-        raise ValueError("a validation split needs val_out and shuffle_seed")
-    parts = [("train", Path(out))] + ([("val", Path(val_out))] if val_frac else [])
-    for _, path in parts:
-        if is_cache(path):
-            raise FileExistsError(f"{path} holds a cache already")
+    chosen = Selection(**selection)
+    chosen.check(val_out)
+    sides = {"train": out} | ({"val": val_out} if chosen.val_frac else {})
+    if full := [str(path) for path in sides.values() if is_cache(path)]:
+        raise FileExistsError(f"{full[0]} holds a cache already")
     encode = find_encoder(tokenizer, specials)
     source = describe_source(spark, src)
-    docs = read_jsonl(spark, str(src)) if str(src).endswith(".jsonl") else read_parquet(spark, str(src))
-    rows, _ = kept_documents(docs, encode, max_docs, max_bytes, max_tokens, val_frac, split_seed)
-    scratch = Path(out).parent / f".{Path(out).name}.rows"
-    spec = encode.spec
-    rows.select("ord", X.framed(F.col("ids"), spec.bos, spec.eos).alias("tokens"), "n_bytes", "n_tokens", "is_val", "fate").write.mode("overwrite").parquet(str(scratch))
+    log(f"{src}: {len(source['files'])} files, {sum(f['bytes'] for f in source['files']):,} bytes")
+    rows, _ = kept_documents(read_source(spark, str(src)), encode, chosen.max_docs, chosen.max_bytes, chosen.max_tokens, chosen.val_frac, chosen.split_seed)
+    held_in, spec, found = storage.child(out, f"held-{uuid.uuid4().hex[:12]}"), encode.spec, {}
+    rows.select("ord", X.framed(F.col("ids"), spec.bos, spec.eos).alias("tokens"), "n_bytes", "n_tokens", "is_val", "fate").write.parquet(held_in)
     try:
-        held = spark.read.parquet(str(scratch))
+        held = spark.read.parquet(held_in)
         stats = counters(held).first().asDict()
-        found = {}
-        for i, (part, path) in enumerate(parts):
-            side = numbered(held.where((F.col("fate") == "kept") & (F.col("is_val") == (part == "val"))).select("ord", "tokens", "n_bytes"))
-            if shuffle_seed is not None:
-                side = reordered(side, permutation(spark, side.count(), shuffle_seed, i))
-            selection = {"max_docs": max_docs, "max_tokens": max_tokens, "max_bytes": max_bytes, "shuffle_seed": shuffle_seed, "val_frac": val_frac, "split_seed": split_seed, "part": part}
-            found[part] = write_cache(side, path, {"tokenizer": spec.as_dict(), "source": source, "selection": selection, "filter_stats": stats}, shard_tokens)
-            if encode.path:
-                shutil.copyfile(encode.path, path / "tokenizer.json")
+        log(f"{stats['read_docs']:,} documents read, {stats['dropped_docs']:,} dropped")
+        for number, (side, path) in enumerate(sides.items()):
+            docs = numbered(held.where((F.col("fate") == "kept") & (F.col("is_val") == (side == "val"))).select("ord", "tokens", "n_bytes"))
+            if chosen.shuffle_seed is not None:
+                docs = reordered(docs, SHUFFLES[chosen.shuffle](docs, chosen.shuffle_seed, number))
+            header = {"tokenizer": spec.as_dict(), "source": source, "selection": {**vars(chosen), "part": side}, "filter_stats": stats}
+            found[side] = write_cache(docs, path, header, shard_tokens, Path(encode.path).read_bytes() if encode.path else None)
+            log(f"{side}: {found[side]['docs']:,} documents, {found[side]['tokens']:,} tokens in {len(found[side]['shards'])} shards")
     finally:
-        shutil.rmtree(scratch, ignore_errors=True)
+        storage.remove(held_in)
     return found["train"]
 
 
@@ -138,54 +164,83 @@ def load(spark: SparkSession, path: str | Path) -> DataFrame:
     said = manifest(path)
     if said["format"] != FORMAT:
         raise ValueError(f"{path} has the format {said['format']!r}")
-    if not said["docs"]:
-        return spark.createDataFrame([], "ord long, shard int, tokens array<int>, n_bytes long")
-    docs = spark.read.parquet(str(Path(path) / ROWS)).select("ord", "shard", "tokens", "n_bytes")
-    row = docs.agg(F.count(F.lit(1)), F.sum(F.size("tokens")), F.sum("n_bytes"), F.min(F.size("tokens"))).first()
+    docs = spark.read.schema("ord long, tokens array<int>, n_bytes long, shard int").parquet(storage.child(path, said["rows"])).select("ord", "shard", "tokens", "n_bytes")
+    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.min(F.size("tokens")), F.lit(2))).first()
     if tuple(row)[:3] != (said["docs"], said["tokens"], said["text_bytes"]) or row[3] < 2:
         raise ValueError(f"{path} doesn't match its manifest")
     return docs
 
 
-def read_documents(spark: SparkSession, path: str | Path, tokenizer: str = "bytes", specials: tuple[int, int, int] | None = None) -> DataFrame:
-    """(ord, tokens, n_bytes) of a cache, or of JSON lines or Parquet tokenized here."""
+def open_documents(spark: SparkSession, path: str | Path, tokenizer: str = "bytes", specials: tuple[int, int, int] | None = None, budget: int | None = None) -> tuple[DataFrame, dict]:
+    """Documents (ord, tokens, n_bytes) and the tokenizer they are in: that of a cache's manifest, else the one named.
+
+    budget: loss tokens; documents until it is used up, with the one that crosses it. Of a source
+    that is tokenized here into bytes, only the files that hold the budget are read.
+    """
+    from inkwell.operators.prefix import within_budget
+
     if is_cache(path):
-        return load(spark, path).select("ord", "tokens", "n_bytes")
-    docs = read_jsonl(spark, str(path)) if str(path).endswith(".jsonl") else read_parquet(spark, str(path))
-    return kept_documents(docs, find_encoder(tokenizer, specials))[1].select("ord", "tokens", "n_bytes")
+        docs, spec = load(spark, path).select("ord", "tokens", "n_bytes"), manifest(path)["tokenizer"]
+    else:
+        encode = find_encoder(tokenizer, specials)
+        spec = encode.spec.as_dict()
+        part = read_within(spark, path, budget) if budget is not None and tokenizer == "bytes" else read_source(spark, str(path))
+        docs = kept_documents(part, encode)[1].select("ord", "tokens", "n_bytes")
+    if budget is None:
+        return docs, spec
+    return within_budget(docs.withColumn("__cost", F.size("tokens").cast("long") - 1), "__cost", budget).drop("__cost"), spec
+
+
+def read_documents(spark: SparkSession, path: str | Path, tokenizer: str = "bytes", specials: tuple[int, int, int] | None = None, budget: int | None = None) -> DataFrame:
+    """(ord, tokens, n_bytes) of a cache, or of JSON lines or Parquet tokenized here."""
+    return open_documents(spark, path, tokenizer, specials, budget)[0]
+
+
+def shard_name(number: int, kind: str) -> str:
+    return f"shard_{number:05d}.{kind}"
 
 
 def export_shards(spark: SparkSession, path: str | Path, out: str | Path) -> None:
-    """Each shard as flat little-endian files: 16-bit tokens, 64-bit offsets, 32-bit byte lengths. A shard is written by one task, in order; the folder must be one that all executors share."""
-    out = Path(out)
-    out.mkdir(parents=True, exist_ok=True)
-    folder = str(out)
+    """Each shard as flat little-endian files: 16-bit tokens, 64-bit offsets, 32-bit byte lengths.
+
+    A shard is written by one task, in order, under names of the attempt's own, and renamed when
+    it is whole: of two attempts at a task each leaves whole files. The folder must be one that
+    all machines mount.
+    """
+    folder = storage.mounted(out)
+    Path(folder).mkdir(parents=True, exist_ok=True)
 
     def write(batches):
+        import os
+
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        shard, tokens, offsets, sizes = None, None, [0], []
+        suffix, shard, drafts, offsets, sizes = f".attempt-{TaskContext.get().taskAttemptId()}", None, None, [0], []
 
-        def close():
-            tokens.close()
-            np.array(offsets, "<i8").tofile(f"{folder}/shard_{shard:05d}.offsets.i64")
-            np.array(sizes, "<i4").tofile(f"{folder}/shard_{shard:05d}.bytes.i32")
+        def finish():
+            drafts["tokens.u16"].close()
+            for kind, values in (("offsets.i64", np.array(offsets, "<i8")), ("bytes.i32", np.array(sizes, "<i4"))):
+                values.tofile(f"{folder}/{shard_name(shard, kind)}{suffix}")
+            for kind in ("tokens.u16", "offsets.i64", "bytes.i32"):
+                name = f"{folder}/{shard_name(shard, kind)}"
+                os.replace(name + suffix, name)
 
         for batch in batches:
             for number, doc, size in zip(*(batch.column(i) for i in range(3))):
                 if number.as_py() != shard:
                     if shard is not None:
-                        close()
+                        finish()
                     shard, offsets, sizes = number.as_py(), [0], []
-                    tokens = open(f"{folder}/shard_{shard:05d}.tokens.u16", "wb")
+                    drafts = {"tokens.u16": open(f"{folder}/{shard_name(shard, 'tokens.u16')}{suffix}", "wb")}
                 values = doc.values.to_numpy().astype("<u2")
-                tokens.write(values.tobytes())
+                drafts["tokens.u16"].write(values.tobytes())
                 offsets.append(offsets[-1] + len(values))
                 sizes.append(size.as_py())
         if shard is not None:
-            close()
+            finish()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
 
-    rows = load(spark, path).select(F.col("shard").cast("int").alias("shard"), "ord", "tokens", "n_bytes").repartition("shard").sortWithinPartitions("shard", "ord")
+    rows = load(spark, path).select("shard", "ord", "tokens", "n_bytes").repartition("shard").sortWithinPartitions("shard", "ord")
     rows.select("shard", "tokens", "n_bytes").mapInArrow(write, "shard int").count()

@@ -38,7 +38,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that spark.checkpoint.dir names, which all machines share; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
-        return f"{found.removeprefix('file://').rstrip('/')}/{sc.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+        return f"{found.rstrip('/')}/{sc.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{tempfile.mkdtemp(prefix='inkwell-')}/{label}"

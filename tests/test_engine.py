@@ -14,12 +14,12 @@ from inkwell.plans import build
 from inkwell.sources import documents as S
 from inkwell.streaming import incremental
 
-WORDS = ["plain", "naïve", "日本語", "😀", "line\nbreak", "12345", "it's", "two  spaces", "<|eos|>", "<|bos|>"]
+WORDS = ["harbour", "Größe", "čaj", "한국어", "🦉", "a\tb\r\nc", "7 of 9", "can't", "wide   gap", "<|pad|>", "<|eos|>"]
 
 
 def corpus(n=120, seed=0):
     rng = random.Random(seed)
-    return ["", "x", "<|eos|> and <|bos|>"] + [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 59))) for _ in range(n)]
+    return ["", "?", "<|bos|>after<|eos|>"] + [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 47))) for _ in range(n)]
 
 
 @pytest.fixture(scope="module")
@@ -72,9 +72,9 @@ def test_oversized_and_empty_documents_are_refused(spark):
 
 
 def test_hand_made_plan(spark):
-    frame = spark.createDataFrame(list(enumerate([6, 4, 7, 3])), "ord long, n long")
-    plan = packing.batches(packing.next_fit(frame, 10)).orderBy("batch").collect()
-    assert [tuple(r) for r in plan] == [(0, 0, 2, 10), (1, 2, 4, 10)]
+    frame = spark.createDataFrame(list(enumerate([5, 8, 4, 9, 1, 1])), "ord long, n long")
+    plan = packing.batches(packing.next_fit(frame, 13)).orderBy("batch").collect()
+    assert [tuple(r) for r in plan] == [(0, 0, 2, 13), (1, 2, 4, 13), (2, 4, 6, 2)]
 
 
 def test_filler_never_exceeds_a_segment(spark):
@@ -99,7 +99,7 @@ def test_running_sums_and_budgets(spark):
 
 
 def test_split_is_the_public_hash(spark):
-    keys = [f"<urn:uuid:{i:08d}>" for i in range(20_000)]
+    keys = [f"page/{i * 37}" for i in range(12_000)]
     frame = spark.createDataFrame([(k,) for k in keys], "key string")
 
     def flags(frac, seed):
@@ -230,13 +230,24 @@ def test_incremental_build(spark, tmp_path):
 
 
 def test_schedules(spark):
-    assert schedules.resolve_schedule(2067) == (2067, 42, 104) and schedules.resolve_schedule(100, 20_644)[1] == 413
-    assert schedules.resolve_steps(20_644, 1000) == 1000
-    for bad in (lambda: schedules.resolve_steps(5, 6), lambda: schedules.resolve_schedule(10, 5), lambda: schedules.resolve_schedule(0)):
+    assert schedules.resolve_schedule(900) == (900, 18, 45) and schedules.resolve_schedule(30) == (30, 10, 2)
+    assert schedules.resolve_schedule(90, 40_001, 0.001, val_every=7) == (40_001, 41, 7)
+    assert schedules.resolve_steps(17, None) == 17 and schedules.resolve_steps(17, 17) == 17
+    for bad in (lambda: schedules.resolve_steps(5, 6), lambda: schedules.resolve_steps(0, None), lambda: schedules.resolve_steps(5, 0), lambda: schedules.resolve_schedule(10, 5), lambda: schedules.resolve_schedule(0), lambda: schedules.resolve_schedule(9, val_frac=0.0), lambda: schedules.resolve_schedule(9, val_every=0), lambda: schedules.resolve_schedule(9, warmup_frac=-0.1)):
         with pytest.raises(ValueError):
             bad()
-    rows = spark.range(100).select(schedules.learning_rate(F.col("id"), 10, 100, 0.1)).collect()
-    assert rows[0][0] == 0.1 and rows[9][0] == 1.0 and abs(rows[99][0] - 0.1) < 1e-3
+    rows = spark.range(80).select(schedules.learning_rate(F.col("id"), 16, 80, 0.25)).collect()
+    assert rows[0][0] == 1 / 16 and rows[15][0] == 1.0 and abs(rows[48][0] - 0.625) < 1e-9 and abs(rows[79][0] - 0.25) < 1e-3
+
+
+def test_names_and_widths():
+    assert schedules.names_of(" a, b ,,c") == ["a", "b", "c"] and schedules.names_of("") == []
+    with pytest.raises(ValueError, match="more than once: b"):
+        schedules.names_of("a,b, b")
+    got = schedules.width_scaled(1024, 256, 8, 0.02, 0.01)
+    assert got == {"hidden_std": 0.01, "residual_std": 0.0025, "hidden_rate": 0.0025}
+    with pytest.raises(ValueError):
+        schedules.width_scaled(0, 256, 8, 0.02, 0.01)
 
 
 def test_routing_against_numpy(spark):
@@ -256,3 +267,242 @@ def test_routing_against_numpy(spark):
     assert abs(stats["router_entropy"] + (p * np.log(p)).sum() / 40) < 1e-9
     none = routing.balance(probs.where("row < 0"), chosen.where("row < 0"), 5, 2).first()
     assert none["aux_loss"] == 0 and none["unused_experts"] == 5
+
+
+def plan_of(frame):
+    """The plan as it ran, so that adaptive changes are in it."""
+    frame.write.format("noop").mode("overwrite").save()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_numbered_without_moving_text(spark, tmp_path):
+    import pandas as pd
+
+    for k in range(5):
+        pd.DataFrame({"id": [f"{k}-{i}" for i in range(40)], "text": [f"{k} {i} " * 50 for i in range(40)]}).to_parquet(tmp_path / f"{k}.parquet")
+        (tmp_path / f"{k}.jsonl").write_text("".join(json.dumps({"text": f"{k} {i}"}) + "\n" for i in range(30)))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for docs, n in ((S.read_parquet(spark, str(tmp_path)), 200), (S.read_jsonl(spark, *(str(tmp_path / f"{k}.jsonl") for k in range(5))), 150)):
+            plan = plan_of(docs)
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+            assert not [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+            assert sorted(r["ord"] for r in docs.select("ord").collect()) == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert [r["text"] for r in S.read_jsonl(spark, *(str(tmp_path / f"{k}.jsonl") for k in range(5))).orderBy("ord").collect()] == [f"{k} {i}" for k in range(5) for i in range(30)]
+
+
+def test_checksums_of_a_file_beyond_a_cell(spark, tmp_path):
+    path = tmp_path / "large file %20.parquet"
+    with open(path, "wb") as f:
+        f.truncate((1 << 31) + 12_345)  # sparse
+    want = hashlib.file_digest(open(path, "rb"), "sha256").hexdigest()
+    row = S.file_checksums(spark, str(path)).first()
+    assert tuple(row) == (path.name, (1 << 31) + 12_345, want)
+    from inkwell.sources import storage
+
+    small = tmp_path / "small"
+    small.write_bytes(b"abc")
+    assert storage.sha256(small) == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_describe_source(spark, tmp_path):
+    import pandas as pd
+
+    (tmp_path / "in/b").mkdir(parents=True)
+    for name in ("b/x.parquet", "a.parquet"):
+        pd.DataFrame({"text": [name]}).to_parquet(tmp_path / "in" / name)
+    found = S.describe_source(spark, tmp_path / "in")["files"]
+    assert [f["name"] for f in found] == ["a.parquet", "b/x.parquet"]
+    assert all(f["sha256"] == hashlib.sha256((tmp_path / "in" / f["name"]).read_bytes()).hexdigest() and f["bytes"] == (tmp_path / "in" / f["name"]).stat().st_size for f in found)
+    one = S.describe_source(spark, tmp_path / "in/a.parquet")["files"]
+    assert [f["name"] for f in one] == ["a.parquet"]
+
+
+def test_budgeted_source_opens_only_the_files_it_needs(spark, tmp_path):
+    import pandas as pd
+
+    for k in range(9):
+        pd.DataFrame({"text": ["x" * 9] * 10}).to_parquet(tmp_path / f"{k}.parquet")  # a cost of 100 a file
+    (tmp_path / "9.parquet").write_bytes(b"not a Parquet file")
+    for budget, n in ((0, 1), (1, 1), (95, 10), (101, 11), (250, 25)):
+        got = S.read_within(spark, tmp_path, budget)
+        assert sorted(r["ord"] for r in got.select("ord").collect()) == list(range(n))
+        assert all(not f.endswith("9.parquet") for f in got.inputFiles())
+
+
+def test_document_by_number(spark, jsonl):
+    docs = S.read_jsonl(spark, str(jsonl))
+    assert S.document(docs, 2).first()["text"] == corpus()[2] and S.document(docs, 10_000).count() == 0
+    with pytest.raises(ValueError):
+        S.document(docs, -1)
+
+
+def test_hash_order_is_a_seeded_permutation(spark):
+    frame = spark.range(3000).withColumnRenamed("id", "ord")
+    a, b, c = (order.hash_order(f, seed, range_documents=64).orderBy("position").collect() for f, seed in ((frame, 1), (frame.repartition(7), 1), (frame, 2)))
+    assert a == b != c and [r["position"] for r in a] == list(range(3000)) == sorted(r["ord"] for r in a)
+    gaps = np.abs(np.diff([r["ord"] for r in a]))
+    assert 800 < gaps.mean() < 1200
+    assert order.hash_order(frame.where("ord < 0"), 1).count() == 0
+
+
+def test_permutation_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(order, "POSITIONS_AT_ONCE", 7)
+    got = order.permutation(spark, 40, 4, 1).orderBy("position").collect()
+    assert [r["ord"] for r in got] == np.random.default_rng([4, 1]).permutation(40).tolist()
+    monkeypatch.setattr(order, "EXACT_LIMIT", 39)
+    with pytest.raises(ValueError, match="hash_order"):
+        order.permutation(spark, 40, 4, 1)
+
+
+def test_build_in_hash_order(spark, tmp_path, jsonl):
+    made = build.build(spark, jsonl, tmp_path / "h", shuffle_seed=5, shuffle="hash")
+    docs = [bytes(r["tokens"][1:-1]).decode() for r in build.load(spark, tmp_path / "h").orderBy("ord").collect()]
+    assert made["selection"]["shuffle"] == "hash" and docs != corpus() and sorted(docs) == sorted(corpus())
+    with pytest.raises(ValueError):
+        build.build(spark, jsonl, tmp_path / "i", shuffle="other")
+
+
+def test_build_with_a_tokenizer_file(spark, tmp_path, jsonl):
+    import public_tokenizers
+
+    file, lines = public_tokenizers.path("byte_bpe_50k.json"), []
+    made = build.build(spark, jsonl, tmp_path / "b", tokenizer=file, specials=(50256, 50256, 50256), log=lines.append)
+    assert (tmp_path / "b/tokenizer.json").read_bytes() == open(file, "rb").read() and len(lines) == 3
+    docs, spec = build.open_documents(spark, tmp_path / "b")
+    assert spec == made["tokenizer"] and spec["sha256"] == hashlib.sha256(open(file, "rb").read()).hexdigest()
+    library = BPEEncoder(tmp_path / "b", (50256, 50256, 50256))
+    back = docs.orderBy("ord").select(library.decoded(F.slice("tokens", 2, F.size("tokens") - 2))).collect()
+    assert [r[0] for r in back] == corpus()
+    with pytest.raises(ValueError, match="must end with"):
+        BPEEncoder(file)
+    with pytest.raises(ValueError, match="aren't in"):
+        BPEEncoder(file, (1, 2, 70_000))
+
+
+def test_two_builds_of_one_cache_leave_one(spark, tmp_path, jsonl):
+    first = build.build(spark, jsonl, tmp_path / "c", max_docs=9)
+    docs = build.load(spark, tmp_path / "c").select("ord", "tokens", "n_bytes")
+    from unittest import mock
+
+    with mock.patch.object(build, "is_cache", return_value=False), pytest.raises(FileExistsError):
+        build.write_cache(docs.limit(3), tmp_path / "c", {}, 100)
+    assert S.manifest(tmp_path / "c") == first and build.load(spark, tmp_path / "c").count() == 9
+    assert len([p for p in (tmp_path / "c").iterdir() if p.name.startswith("rows-")]) == 1
+
+
+def test_budgets_of_caches_and_sources_agree(spark, tmp_path, jsonl):
+    build.build(spark, jsonl, tmp_path / "c", shard_tokens=3000)
+    sizes = np.cumsum([len(t.encode()) + 1 for t in corpus()])
+    for budget in (0, 1, int(sizes[4]), int(sizes[-1]) - 1, 10**9):
+        n = min(len(sizes), int(np.searchsorted(sizes, budget)) + 1)
+        for path in (tmp_path / "c", jsonl):
+            got = build.read_documents(spark, path, budget=budget).select("ord").collect()
+            assert sorted(r["ord"] for r in got) == list(range(n)), (budget, path)
+
+
+def test_exported_shards_leave_no_drafts(spark, tmp_path, jsonl):
+    build.build(spark, jsonl, tmp_path / "c", shard_tokens=3000)
+    build.export_shards(spark, tmp_path / "c", tmp_path / "flat")
+    build.export_shards(spark, tmp_path / "c", tmp_path / "flat")
+    names = sorted(p.name for p in (tmp_path / "flat").iterdir())
+    shards = len(S.manifest(tmp_path / "c")["shards"])
+    assert names == sorted(build.shard_name(i, k) for i in range(shards) for k in ("tokens.u16", "offsets.i64", "bytes.i32"))
+
+
+def test_command_line(spark, tmp_path, jsonl, capsys):
+    from inkwell.__main__ import main
+
+    main(["build", str(jsonl), str(tmp_path / "t"), "--val-out", str(tmp_path / "v"), "--val-frac", "0.3", "--shuffle-seed", "2", "--max-bytes", "500"])
+    said = json.loads(capsys.readouterr().out)
+    assert said["docs"] == build.load(spark, tmp_path / "t").count() and S.is_cache(tmp_path / "v")
+    main(["sample", str(jsonl), "--sample-frac", "1", "--val-frac", "0.3"])
+    said = json.loads(capsys.readouterr().out)
+    assert said["docs"] == len(corpus()) == said["val_docs_skipped"] + said["sampled_docs"]
+    with pytest.raises(SystemExit):
+        main(["build", str(jsonl)])
+
+
+def test_incremental_counters_and_refusals(spark, tmp_path):
+    import pandas as pd
+
+    (tmp_path / "in").mkdir()
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+    for k in range(2):
+        pd.DataFrame({"id": [f"{k}a", f"{k}b", f"{k}c"], "text": ["short", "x" * 50, "y" * 500]}).to_parquet(tmp_path / f"in/{k}.parquet")
+        totals = incremental.build_incrementally(*args, max_bytes=100, max_tokens=20)
+        assert totals == {"read_docs": 3 * (k + 1), "val_docs": 0, "dropped_docs": 2 * (k + 1), "dropped_text_tokens": 50 * (k + 1), "dropped_text_bytes": 550 * (k + 1)}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    with pytest.raises(ValueError, match="other arguments"):
+        incremental.build_incrementally(*args, max_bytes=101, max_tokens=20)
+
+
+def test_runs(spark, tmp_path, jsonl):
+    from inkwell.plans import runs
+
+    build.build(spark, jsonl, tmp_path / "t", max_docs=20)
+    build.build(spark, jsonl, tmp_path / "v", max_docs=5)
+    said = runs.configure(spark, tmp_path / "run", tmp_path / "t", tmp_path / "v", batches=101, world=4, max_steps=20, val_frac=0.1)
+    assert json.loads((tmp_path / "run/config.json").read_text()) == said and (said["steps"], said["warmup"], said["val_every"]) == (20, 10, 2) and said["val"]["docs"] == 5
+    with pytest.raises(FileExistsError):
+        runs.configure(spark, tmp_path / "run", tmp_path / "t", None, batches=1, world=1)
+    from inkwell.functions.tokenize import same_tokenizer
+
+    with pytest.raises(ValueError, match="different tokenizers"):
+        same_tokenizer({"type": "bytes", "vocab_size": 259}, {"type": "bpe", "vocab_size": 9})
+    log = spark.createDataFrame([("r", s, 5.0 - s, 100 * s, 2.0 * s + (s > 2), 1.0 if s == 3 else 0.0) for s in range(1, 5)], "run string, step long, loss double, tokens long, seconds double, validation_seconds double")
+    assert runs.summarize(log, tmp_path / "run") == {"steps": 4, "tokens": 400, "last_loss": 1.0, "tokens_per_second": 200 / 5}
+    assert [r["train_seconds"] for r in runs.elapsed(log).orderBy("step").collect()] == [2.0, 4.0, 6.0, 8.0]
+    assert runs.renamed(log, {"step": "train/step", "loss": "train/loss"}).columns == ["train/step", "train/loss"]
+    assert log.select(runs.shown(F.col("tokens") * 12345)).first()[0] == "1,234,500"
+
+
+def test_metrics_log_goes_on_where_it_stopped(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / f"in/{k}.json").write_text("".join(json.dumps({"step": 10 * k + i, "loss": 0.5}) + "\n" for i in range(3)))
+        for _ in range(2):
+            stream = spark.readStream.schema("step long, loss double").json(str(tmp_path / "in"))
+            incremental.append_metrics(stream, str(tmp_path / "log"), str(tmp_path / "state"))
+        assert spark.read.schema("step long, loss double").json(str(tmp_path / "log")).count() == 3 * (k + 1)
+
+
+def test_byte_tokenizer_file(tmp_path):
+    from tokenizers import Tokenizer
+
+    from inkwell.functions.tokenize import byte_tokenizer_json, trailing_specials
+
+    library = Tokenizer.from_str(json.dumps(byte_tokenizer_json()))
+    assert trailing_specials(library) == (X.BOS, X.EOS, X.PAD)
+    library.encode_special_tokens = True
+    for text in corpus(40):
+        assert library.encode(text).ids == list(text.encode()) and library.decode(library.encode(text).ids) == text
+
+
+def test_loss_positions(spark):
+    frame = spark.createDataFrame([(0, 3), (1, 4)], "ord long, n long")
+    docs = spark.createDataFrame([(0, [256, 7, 8, 257]), (1, [256, 1, 2, 3, 257])], "ord long, tokens array<int>")
+    made = batches.materialize(packing.next_fit(frame, 9), docs, 9, 4)
+    got = [tuple(r) for r in batches.loss_positions(made).orderBy("batch", "slot").collect()]
+    assert got == [(0, i, x, t, p) for i, (x, t, p) in enumerate([(256, 7, 0), (7, 8, 1), (8, 257, 2), (256, 1, 0), (1, 2, 1), (2, 3, 2), (3, 257, 3)])]
+
+
+def test_lookups_and_norms(spark):
+    rows = spark.createDataFrame([(i, i % 7, [float(i), 2.0, -1.0, 0.5]) for i in range(20)], "row long, position long, v array<double>")
+    turned = routing.looked_up(rows, routing.rotary_table(spark, 7, 4), "position")
+    got = turned.select(routing.rotate_with(F.col("v"), F.col("cos"), F.col("sin")).alias("a"), routing.rotate_half(F.col("v"), F.col("position")).alias("b")).collect()
+    assert len(got) == 20 and all(np.allclose(r["a"], r["b"]) for r in got)
+    with pytest.raises(Exception, match="no position"):
+        routing.looked_up(rows, routing.rotary_table(spark, 3, 4), "position").collect()
+    want = np.linalg.norm(np.array([[float(i), 2.0, -1.0, 0.5] for i in range(20)]))
+    assert abs(rows.select(routing.frobenius_norm("v")).first()[0] - want) < 1e-9
+
+
+def test_dispatch_in_chunks(spark):
+    rng = random.Random(3)
+    chosen = spark.createDataFrame([(r, s, rng.randrange(2)) for r in range(300) for s in range(2)], "row long, slot int, expert int")
+    got = routing.dispatch(chosen, routing.histogram(chosen, 3), chunk=16).orderBy("place").collect()
+    assert [(r["expert"], r["row"], r["slot"]) for r in got] == sorted((r["expert"], r["row"], r["slot"]) for r in chosen.collect()) and [r["place"] for r in got] == list(range(600))
