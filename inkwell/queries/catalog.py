@@ -22,6 +22,7 @@ from inkwell.plans import build
 from inkwell.session import scratch
 from inkwell.sources import documents as S
 
+#: Positions of a batch, at least: as many as the longest document needs if that is more, since a whole document is never cut or left out.
 WINDOW = 49_152
 SEGMENT = 4_096
 SHARD = 200_000
@@ -61,16 +62,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("n_bytes", X.byte_length(F.col("text"))).withColumn("n", F.col("n_bytes") + 1)
 
 
-def _fitting(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
-    """(ord, n) of documents that fit the window, numbered anew."""
-    return build.numbered(_documents(spark, sf_dir).where(F.col("n") <= window).select("ord", "n"))
+def _lengths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(ord, n) of all documents, and a window that each of them fits."""
+    docs = _documents(spark, sf_dir).select("ord", "n")
+    return docs, max(WINDOW, docs.agg(F.max("n")).first()[0] or 0)
 
 
 # The documents in order, for oracles: n is the number of (input, target) pairs.
 DOCS = "docs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, *, strlen(text) AS n_bytes, strlen(text) + 1 AS n FROM documents)"
 
 
-def _packing_sql(lengths: str, room: int, name: str = "packed") -> str:
+def _packing_sql(lengths: str, room, name: str = "packed") -> str:
     """Next-fit, one step per document."""
     return f"""{name}_d AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, n FROM {lengths} WHERE n <= {room}),
 {name} AS (
@@ -81,7 +83,8 @@ def _packing_sql(lengths: str, room: int, name: str = "packed") -> str:
 )"""
 
 
-PACKED = f"WITH RECURSIVE {DOCS}, {_packing_sql('docs', WINDOW)}, plan AS (SELECT batch, min(ord) AS start_doc, max(ord) + 1 AS end_doc, sum(n) AS real_tokens FROM packed GROUP BY batch)"
+WIN = "(SELECT w FROM win)"
+PACKED = f"WITH RECURSIVE {DOCS}, win AS (SELECT greatest({WINDOW}, max(n)) AS w FROM docs), {_packing_sql('docs', WIN)}, plan AS (SELECT batch, min(ord) AS start_doc, max(ord) + 1 AS end_doc, sum(n) AS real_tokens FROM packed GROUP BY batch)"
 
 
 # Text
@@ -170,6 +173,18 @@ def jsonl_source(spark, sf_dir):
     return S.read_jsonl(spark, out).select("ord", "text")
 
 
+@_query(f"WITH {DOCS} SELECT ord, doc_id, text FROM docs WHERE ord = 137")
+def document_by_number(spark, sf_dir):
+    docs = S.read_parquet(spark, f"{sf_dir}/documents.parquet", key_column="doc_id")
+    return S.document(docs, 137).select("ord", F.col("key").cast("long").alias("doc_id"), "text")
+
+
+@_query(f"WITH {DOCS}, s AS (SELECT ord, text, n, sum(n) OVER (ORDER BY ord) AS upto FROM docs) SELECT ord, text FROM s WHERE upto - n < {BUDGET} OR ord = 0")
+def budgeted_source(spark, sf_dir):
+    """Only the files that hold the budget are read."""
+    return S.read_within(spark, f"{sf_dir}/documents.parquet", BUDGET).select("ord", "text")
+
+
 @_query()
 def file_checksums(spark, sf_dir):
     return S.file_checksums(spark, *(f"{sf_dir}/{t}.parquet" for t in ("documents", "benchmark", "pages", "conversations")))
@@ -292,6 +307,17 @@ def shard_layout(spark, sf_dir):
     return placed.groupBy(F.col("batch").alias("shard")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"), F.sum(F.col("n") - 2).alias("text_bytes"))
 
 
+@_query(f"""WITH RECURSIVE {DOCS}, s AS (
+  SELECT ord, n + 1 AS n, 0 AS shard, n + 1 AS used FROM docs WHERE ord = 0
+  UNION ALL SELECT d.ord, d.n + 1, CASE WHEN s.used + d.n + 1 > {SHARD} THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.used + d.n + 1 > {SHARD} THEN d.n + 1 ELSE s.used + d.n + 1 END
+  FROM s JOIN docs d ON d.ord = s.ord + 1)
+SELECT 'shard_' || lpad(CAST(shard AS VARCHAR), 5, '0') || '.tokens.u16' AS name, format('{{:,}}', CAST(sum(n) AS BIGINT)) AS tokens FROM s GROUP BY shard""")
+def shard_names(spark, sf_dir):
+    """Shards as a listing shows them."""
+    shards = shard_layout(spark, sf_dir)
+    return shards.select(F.format_string("shard_%05d.tokens.u16", "shard").alias("name"), F.format_number("tokens", 0).alias("tokens"))
+
+
 @_query(f"WITH {DOCS} SELECT count(*) AS docs, CAST(sum(n + 1) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS loss_tokens, CAST(sum(n_bytes) AS BIGINT) AS text_bytes FROM docs")
 def manifest_totals(spark, sf_dir):
     tokens = F.size(X.framed(encoder().tokens(F.col("text")))).cast("long")
@@ -310,7 +336,7 @@ def longest_document(spark, sf_dir):
 
 @_query(f"{PACKED} SELECT CAST(batch AS BIGINT) AS batch, start_doc, end_doc, CAST(real_tokens AS BIGINT) AS real_tokens FROM plan")
 def packed_batches(spark, sf_dir):
-    return P.batches(P.next_fit(_fitting(spark, sf_dir), WINDOW))
+    return P.batches(P.next_fit(*_lengths(spark, sf_dir)))
 
 
 @_query(f"""WITH RECURSIVE lines AS (SELECT l_orderkey AS ord, count(*) AS n FROM lineitem GROUP BY l_orderkey), {_packing_sql('lines', 64)}
@@ -320,13 +346,13 @@ def packed_orders(spark, sf_dir):
     return P.batches(P.next_fit(build.numbered(lines), 64))
 
 
-@_query(f"{PACKED} SELECT round(sum(real_tokens) / (count(*) * {WINDOW}), 6) AS utilization, count(*) AS n_batches FROM plan")
+@_query(f"{PACKED} SELECT round(sum(real_tokens) / (count(*) * {WIN}), 6) AS utilization, count(*) AS n_batches FROM plan")
 def packing_utilization(spark, sf_dir):
-    plan = P.batches(P.next_fit(_fitting(spark, sf_dir), WINDOW))
-    return P.utilization(plan, WINDOW).select(F.round("utilization", 6).alias("utilization"), "n_batches")
+    lengths, window = _lengths(spark, sf_dir)
+    return P.utilization(P.batches(P.next_fit(lengths, window)), window).select(F.round("utilization", 6).alias("utilization"), "n_batches")
 
 
-SEGMENTS = f"""{PACKED}, f AS (SELECT batch, real_tokens, {WINDOW} - real_tokens AS remaining FROM plan),
+SEGMENTS = f"""{PACKED}, f AS (SELECT batch, real_tokens, {WIN} - real_tokens AS remaining FROM plan),
 seg AS (
   SELECT batch, CAST(ord AS BIGINT) AS place, n AS length, false AS filler FROM packed
   UNION ALL SELECT batch, 1000000000 + i, least({SEGMENT}, remaining - i * {SEGMENT}), true FROM f, LATERAL (SELECT unnest(generate_series(0, CAST(ceil(remaining / {SEGMENT}) AS BIGINT) - 1)) AS i) WHERE remaining > 0
@@ -334,25 +360,26 @@ seg AS (
 
 
 def _placed(spark, sf_dir):
-    return P.next_fit(_fitting(spark, sf_dir), WINDOW)
+    lengths, window = _lengths(spark, sf_dir)
+    return P.next_fit(lengths, window), window
 
 
 @_query(f"{SEGMENTS} SELECT CAST(batch AS BIGINT) AS batch, segment, CAST(upto AS BIGINT) AS upto FROM numbered")
 def segment_bounds(spark, sf_dir):
-    found = B.segments(_placed(spark, sf_dir), WINDOW, SEGMENT)
+    found = B.segments(*_placed(spark, sf_dir), SEGMENT)
     return found.select("batch", F.posexplode(F.slice(B.bounds(F.col("lengths")), 2, F.size("lengths"))).alias("segment", "upto")).select("batch", F.col("segment").cast("long").alias("segment"), "upto")
 
 
 @_query(f"{SEGMENTS} SELECT CAST(batch AS BIGINT) AS batch, count(*) AS chunks, CAST(sum(length) AS BIGINT) AS filler, CAST(max(length) AS BIGINT) AS longest FROM numbered WHERE filler GROUP BY batch")
 def filler_chunks(spark, sf_dir):
-    plan = P.batches(_placed(spark, sf_dir))
-    chunks = plan.select("batch", F.explode(B.filler_chunks(F.lit(WINDOW) - F.col("real_tokens"), SEGMENT)).alias("c"))
+    placed, window = _placed(spark, sf_dir)
+    chunks = P.batches(placed).select("batch", F.explode(B.filler_chunks(F.lit(window) - F.col("real_tokens"), SEGMENT)).alias("c"))
     return chunks.groupBy("batch").agg(F.count(F.lit(1)).alias("chunks"), F.sum("c").alias("filler"), F.max("c").alias("longest"))
 
 
 @_query(f"{SEGMENTS} SELECT CAST(batch AS BIGINT) AS batch, CAST(sum(length) AS BIGINT) AS n, CAST(sum(length * (length - 1) // 2) AS BIGINT) AS total, CAST(max(length) - 1 AS BIGINT) AS highest FROM numbered GROUP BY batch")
 def positions(spark, sf_dir):
-    found = B.segments(_placed(spark, sf_dir), WINDOW, SEGMENT).select("batch", B.positions(F.col("lengths")).alias("p"))
+    found = B.segments(*_placed(spark, sf_dir), SEGMENT).select("batch", B.positions(F.col("lengths")).alias("p"))
     return found.select("batch", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("p").alias("highest"))
 
 
@@ -423,20 +450,31 @@ def document_pairs(spark, sf_dir):
 
 @_query()
 def document_batches(spark, sf_dir):
-    docs = _documents(spark, sf_dir).where(F.col("n") <= WINDOW)
-    fitting = build.numbered(docs.select("ord", "n", F.col("ord").alias("was")))
-    placed = P.next_fit(fitting.select("ord", "n"), WINDOW).select("ord", "n", "batch").join(fitting.select("ord", "was"), "ord")
-    # texts are dealt out by batch and become tokens there, which are four times as large
-    texts = placed.join(docs.select(F.col("ord").alias("was"), "text"), "was").repartition("batch")
-    made = B.filled(texts.select("batch", "ord", "n", X.framed(encoder().tokens(F.col("text"))).alias("tokens")), WINDOW, SEGMENT)
+    made = _made(spark, sf_dir)
     return made.select("batch", *[_digest(c).alias(f"{c}_sha256") for c in ("ids", "targets", "positions", "bounds")])
 
 
+def _made(spark, sf_dir):
+    """Materialized batches of all documents: texts are dealt out by batch and become tokens there, which are four times as large."""
+    placed, window = _placed(spark, sf_dir)
+    texts = placed.join(_documents(spark, sf_dir).select("ord", "text"), "ord").repartition("batch")
+    return B.filled(texts.select("batch", "ord", "n", X.framed(encoder().tokens(F.col("text"))).alias("tokens")), window, SEGMENT)
+
+
+@_query(f"""{PACKED}, h AS (SELECT ord, n_bytes, hex(encode(text)) AS h FROM docs),
+s AS (SELECT ord, list_sum(list_transform(range(n_bytes), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS s FROM h)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(sum(n) AS BIGINT) AS places, CAST(sum(256 + coalesce(s, 0)) AS BIGINT) AS ids, CAST(sum(257 + coalesce(s, 0)) AS BIGINT) AS targets FROM packed JOIN s USING (ord) GROUP BY batch""")
+def loss_positions(spark, sf_dir):
+    """What bears a loss in each batch."""
+    places = B.loss_positions(_made(spark, sf_dir))
+    return places.groupBy("batch").agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("id").cast("long")).alias("ids"), F.sum(F.col("target").cast("long")).alias("targets"))
+
+
 # Orders and schedules
 
 
 def _schedule(spark, sf_dir, seed):
-    plan = P.batches(_placed(spark, sf_dir))
+    plan = P.batches(_placed(spark, sf_dir)[0])
     return O.rank_schedule(spark, O.batch_order(plan.count(), seed), 4), plan
 
 
@@ -464,6 +502,12 @@ def seeded_permutation(spark, sf_dir):
     return O.reordered(docs, O.permutation(spark, docs.count(), 0))
 
 
+@_query()
+def hash_order(spark, sf_dir):
+    """A seeded order at any size; tests hold it against its own definition."""
+    return O.hash_order(_documents(spark, sf_dir).select("ord"), 0)
+
+
 @_query("""WITH s AS (SELECT unnest(range(2000)) AS step) SELECT CAST(step AS BIGINT) AS step, round(CASE WHEN step < 40 THEN (step + 1) / 40.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (step - 40) / 1960.0))) END, 6) AS scale FROM s""")
 def lr_schedule(spark, sf_dir):
     total, warmup, _ = schedules.resolve_schedule(2000)
@@ -490,6 +534,19 @@ def throughput_deltas(spark, sf_dir):
     return rates.select("user_id", "step", F.round("tokens_per_second", 6).alias("tokens_per_second"))
 
 
+@_query("""WITH l AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events),
+t AS (SELECT *, moment - first_value(moment) OVER (PARTITION BY user_id ORDER BY step) AS seconds, CASE WHEN step % 3 = 0 THEN 0.25 ELSE 0 END AS spent FROM l)
+SELECT user_id, CAST(step AS BIGINT) AS step, round(seconds - sum(spent) OVER (PARTITION BY user_id ORDER BY step), 4) AS train_seconds FROM t""")
+def train_seconds(spark, sf_dir):
+    """Each third step of a user's log has spent a quarter of a second on validation."""
+    own = Window.partitionBy("user_id").orderBy("step")
+    log = _table(spark, sf_dir, "events").withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    log = log.withColumn("seconds", at - F.first(at).over(own)).withColumn("spent", F.when(F.col("step") % 3 == 0, 0.25).otherwise(0.0))
+    done = M.without_validation(log, "user_id", "step", "seconds", "spent")
+    return done.select("user_id", "step", F.round("train_seconds", 4).alias("train_seconds"))
+
+
 @_query("SELECT lang, round(sum(length(text) * 0.7) / ln(2) / greatest(1, sum(strlen(text))), 6) AS bits_per_byte FROM documents GROUP BY lang")
 def bits_per_byte(spark, sf_dir):
     """The loss is 0.7 nats a code point: there is no model here."""
@@ -497,9 +554,11 @@ def bits_per_byte(spark, sf_dir):
     return rows.groupBy("lang").agg(F.round(M.bits_per_byte(), 6).alias("bits_per_byte"))
 
 
-@_query("SELECT event_type, round(sum(value) / greatest(1, count(*)), 6) AS loss FROM events GROUP BY event_type")
+@_query("SELECT event_type, round(sum(value * (1 + event_id % 5)) / greatest(1, sum(1 + event_id % 5)), 6) AS loss FROM events GROUP BY event_type")
 def mean_loss(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("event_type", F.col("value").alias("loss"), F.lit(1).alias("tokens"))
+    """An event's value is the mean loss of 1 to 5 tokens."""
+    tokens = 1 + F.col("event_id") % 5
+    rows = _table(spark, sf_dir, "events").select("event_type", (F.col("value") * tokens).alias("loss"), tokens.alias("tokens"))
     return rows.groupBy("event_type").agg(F.round(M.mean_loss(), 6).alias("loss"))
 
 
@@ -591,6 +650,24 @@ def rotary_positions(spark, sf_dir):
     return rows.select("vec_id", F.round(weighted(F.slice("y", 1, 32)), 4).alias("first"), F.round(weighted(F.slice("y", 33, 32)), 4).alias("second"))
 
 
+@_query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), i AS (SELECT vec_id, v, unnest(range(32)) AS i FROM e),
+r AS (SELECT vec_id, i, v[i + 1] AS a, v[i + 33] AS b, (vec_id % 100) * pow(10000.0, -(i / 32.0)) AS t FROM i)
+SELECT vec_id, round(sum(i * (a * cos(t) - b * sin(t))), 4) AS first, round(sum(i * (b * cos(t) + a * sin(t))), 4) AS second FROM r GROUP BY vec_id""")
+def rotary_lookup(spark, sf_dir):
+    """Angles come from a table by position instead of from arithmetic."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 100).alias("position"), v.alias("v"))
+    turned = E.looked_up(rows, E.rotary_table(spark, 100, 64), "position").select("vec_id", E.rotate_with(F.col("v"), F.col("cos"), F.col("sin")).alias("y"))
+    weighted = lambda part: F.aggregate(F.transform(part, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return turned.select("vec_id", F.round(weighted(F.slice("y", 1, 32)), 4).alias("first"), F.round(weighted(F.slice("y", 33, 32)), 4).alias("second"))
+
+
+@_query("SELECT label, round(sqrt(sum(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding]))), 6) AS norm FROM embeddings GROUP BY label")
+def frobenius_norms(spark, sf_dir):
+    """Of the matrix of each label's vectors."""
+    return _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(E.frobenius_norm("embedding"), 6).alias("norm"))
+
+
 @_query("SELECT event_id, round(value / (1 + exp(-value)), 6) AS silu FROM events")
 def silu_values(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.round(E.silu(F.col("value")), 6).alias("silu"))
