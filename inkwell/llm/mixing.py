@@ -15,7 +15,8 @@
    heed of their number.
    The input of a source is its distinct lengths, however many documents it has.
 4. Of each (source, length) the chosen number of documents with the smallest seeded hashes
-   are taken once more. Ranks are counted in salted cells of bounded size, so one very common
+   are taken once more. Documents are counted in cells by their hash, as many as the length
+   has documents for; only the one cell that is taken in part is ranked, so one very common
    length is dealt out to many tasks.
 
 The driver has one small row per source; a source is what a mix has a weight for.
@@ -42,7 +43,7 @@ SHARE = 1.5
 MOST_REPEATS = 2.0
 SEED = 20
 #: Rows that a (source, length, salt) cell has on average, at most.
-CELL_ROWS = 20_000
+CELL_ROWS = 512
 #: Seeded starts of the walk along the lengths.
 STARTS = 32
 #: Documents of the rest that are given back for the knapsack, tried in turn, and whether their number is heeded.
@@ -174,41 +175,42 @@ def _fit(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     some = lengths > 0
     if total:
         pdf.loc[some, "more"] = fit_rest(lengths[some], counts[some], words - passes * total, seed)
-    return pdf[["source", "size", "passes", "more"]]
+    return pdf[["source", "size", "n", "passes", "more"]]
 
 
-def _planned(rows: DataFrame, weights, share, most_repeats, seed) -> tuple[DataFrame, DataFrame, int]:
-    """(source, size, passes, more), (source, source_size, target), and the most rows of one source and size, for a written table with source and size."""
+def _planned(rows: DataFrame, weights, share, most_repeats, seed) -> tuple[DataFrame, DataFrame]:
+    """(source, size, n, passes, more) and (source, source_size, target) for a written table with source and size."""
     spark = rows.sparkSession
     counted = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    told = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.max("n").alias("most")).collect()
-    sizes, largest = {r["source"]: r["s"] for r in told}, max((r["most"] for r in told), default=1)
+    sizes = {r["source"]: r["s"] for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
     goal = targets(sizes, weights, share, most_repeats)
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     goals = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], schema)
     wide = counted.join(goals, counted["source"].eqNullSafe(goals["source"])).select(counted["source"], "size", "n", "source_size", "target")
-    planned = wide.groupBy("source").applyInPandas(lambda pdf: _fit(pdf, seed), "source string, size long, passes long, more long")
-    return materialize(planned, "planned"), goals, largest
+    planned = wide.groupBy("source").applyInPandas(lambda pdf: _fit(pdf, seed), "source string, size long, n long, passes long, more long")
+    return materialize(planned, "planned"), goals
 
 
 def taken(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most_repeats: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """Adds source_size, target and repeats (how often the mix takes the row) to a written table with source, size and a number ``mark`` for each row."""
-    planned, goals, largest = _planned(rows, weights, share, most_repeats, seed)
-    hashed = rows.withColumn("hash", F.xxhash64("mark", F.lit(seed)))
-    known = planned.withColumnsRenamed({"source": "p_source", "size": "p_size"})
-    salts = max(1, -(-largest // CELL_ROWS))
+    planned, goals = _planned(rows, weights, share, most_repeats, seed)
+    lengths = planned.withColumnsRenamed({"source": "p_source", "size": "p_size"}).withColumn("parts", F.ceil(F.col("n") / CELL_ROWS)).drop("n")
+    known = rows["source"].eqNullSafe(lengths["p_source"]) & (rows["size"] == lengths["p_size"])
+    hashed = rows.withColumns({"hash": F.xxhash64("mark", F.lit(seed)), "place": F.col("_metadata.row_index")}).join(lengths, known).drop("p_source", "p_size")
     # the high bits of the hash order the salts as they order the hashes
-    salted = hashed.withColumn("salt", F.floor((F.shiftrightunsigned("hash", 40).cast("double") / float(1 << 24)) * salts).cast("int"))
-    counts = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("source", "size", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    counts = counts.join(known, counts["source"].eqNullSafe(known["p_source"]) & (counts["size"] == known["p_size"])).drop("p_source", "p_size")
+    salted = hashed.withColumn("salt", F.floor((F.shiftrightunsigned("hash", 40).cast("double") / float(1 << 24)) * F.col("parts")).cast("int"))
+    counts = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("in_cell"))
+    before = F.sum("in_cell").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("source", "size", "salt", "in_cell", F.coalesce(before, F.lit(0)).alias("before"))
     counts = materialize(counts.withColumnsRenamed({"source": "c_source", "size": "c_size", "salt": "c_salt"}), "cells")
     joined = salted.join(counts, salted["source"].eqNullSafe(counts["c_source"]) & (salted["size"] == counts["c_size"]) & (salted["salt"] == counts["c_salt"]))
-    order = Window.partitionBy("source", "size", "salt").orderBy(F.expr("shiftrightunsigned(hash, 1)"), "hash", "mark")
-    ranked = joined.withColumn("rank", F.col("before") + F.row_number().over(order))
+    # one cell of a length is taken in part; rows of others need no rank and are dealt out by place
+    split = (F.col("before") < F.col("more")) & (F.col("more") < F.col("before") + F.col("in_cell"))
+    joined = joined.withColumn("dealt", F.when(split, F.lit(-1)).otherwise(F.pmod(F.xxhash64("place"), F.lit(1 << 20)).cast("int")))
+    order = Window.partitionBy("source", "size", "salt", "dealt").orderBy(F.expr("shiftrightunsigned(hash, 1)"), "hash", "mark")
+    ranked = joined.withColumn("rank", F.col("before") + F.when(split, F.row_number().over(order)).otherwise(1))
     repeats = F.when(F.col("size") > 0, F.col("passes") + (F.col("rank") <= F.col("more")).cast("long")).otherwise(0)
-    ranked = ranked.withColumn("repeats", repeats).drop("hash", "salt", "c_source", "c_size", "c_salt", "before", "passes", "more", "rank")
+    ranked = ranked.withColumn("repeats", repeats).drop("hash", "place", "parts", "salt", "dealt", "c_source", "c_size", "c_salt", "before", "in_cell", "passes", "more", "rank")
     named = goals.withColumnRenamed("source", "g_source")
     return ranked.join(named, ranked["source"].eqNullSafe(named["g_source"])).drop("g_source")
 
