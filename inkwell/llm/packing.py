@@ -43,7 +43,7 @@ from inkwell.llm.shared import materialize, table
 CAPACITY = 1024
 END_ID = 2
 #: Rows that a (length, salt) cell has on average, at most.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 #: Lengths held back from the fullest combinations, as shares of the capacity; the last one holds back all.
 RESERVES = (0, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1)
 
