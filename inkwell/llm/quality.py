@@ -24,7 +24,6 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,12 +81,13 @@ def fit(sample: Sample, steps: int = 400, rate: float = 0.05, decay: float = 1e-
     return Grader(grades.astype(float), thresholds, flat[cuts:].copy(), sample.slots[chosen])
 
 
-def _scale(texts, g: Grader) -> np.ndarray:
+def _scale(texts: pa.Array, g: Grader) -> np.ndarray:
+    """One text at a time is a Python string."""
     at = columns("style", g.kept)
     repeat = at.at.get(REPEAT)
     out = np.zeros(len(texts))
     for i, text in enumerate(texts):
-        tokens = (text or "").split()
+        tokens = (text.as_py() or "").split()
         if not tokens:
             continue
         counts = np.zeros(len(g.kept))
@@ -102,7 +102,7 @@ def _scale(texts, g: Grader) -> np.ndarray:
 
 def _grade(batches, g, at_least):
     for batch in batches:
-        tails = g.tails(_scale(batch.column(1).to_pylist(), g))
+        tails = g.tails(_scale(batch.column(1), g))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(g.expected(tails), pa.float64()), pa.array(g.reaching(tails, at_least), pa.float64())], names=["id", "expected_grade", "tail_probability"])
 
 
@@ -121,11 +121,11 @@ def grade(docs: DataFrame, g: Grader, id_column: str = "doc_id", text_column: st
 def keep_selected(docs: DataFrame, g: Grader, text_column: str = "text", at_least: float | None = None, selected: float = SELECTED) -> DataFrame:
     """The rows whose tail probability is high enough, with all their columns."""
 
-    @F.pandas_udf(T.DoubleType())
-    def reaching(texts: pd.Series) -> pd.Series:
-        scale = _scale(list(texts), g)
+    @F.arrow_udf(T.DoubleType())
+    def reaching(texts: pa.Array) -> pa.Array:
+        scale = _scale(texts, g)
         trim()
-        return pd.Series(g.reaching(g.tails(scale), at_least), dtype=float)
+        return pa.array(g.reaching(g.tails(scale), at_least), pa.float64())
 
     return docs.where(reaching(F.coalesce(F.col(text_column).cast("string"), F.lit(""))) >= selected)
 

@@ -186,13 +186,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = 6, words_each: int = 5, block: int = BLOCK) -> DataFrame:
     """One row of each component with all its columns: that of the least id (nulls last), of equal ids the least by hash."""
 
-    @F.pandas_udf(T.LongType())
-    def printed(texts):
-        import pandas as pd
-
-        found = np.array([fingerprint(x, words_each) for x in texts], np.uint64).view(np.int64)
+    @F.arrow_udf(T.LongType())
+    def printed(texts: pa.Array) -> pa.Array:
+        found = np.fromiter((fingerprint(x.as_py(), words_each) for x in texts), np.uint64, len(texts)).view(np.int64)
         trim()
-        return pd.Series(found)
+        return pa.array(found, pa.int64())
 
     names = docs.columns
     other = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text_column]))

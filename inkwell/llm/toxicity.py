@@ -23,7 +23,6 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +55,6 @@ class Machine:
         return float(sigmoid(logit))
 
 
-def _logits(m: Machine, row, column, n):
-    """Logits of n rows, and their sums of factors."""
-    v = m.factors[column]
-    sums = np.stack([np.bincount(row, v[:, f], n) for f in range(v.shape[1])], 1) if len(column) else np.zeros((n, m.factors.shape[1]))
-    squares = np.bincount(row, (v * v).sum(1), n)
-    return m.bias + np.bincount(row, m.weights[column], n) + 0.5 * ((sums**2).sum(1) - squares), sums
-
-
 def outstanding_pairs(matrix: Matrix, error: np.ndarray, most: int = PAIR_SLOTS, least_z: float = PAIR_Z, block: int = 1000) -> np.ndarray:
     """Columns, among the most frequent ones, whose joint presence goes with the error of a model by ``least_z`` standard errors."""
     frequency = np.bincount(matrix.column, minlength=matrix.k)
@@ -102,19 +93,23 @@ def fit(sample: Sample, factors: int = FACTORS, steps: int = 800, rate: float =
     m = Machine(float(np.log(y.mean() / (1 - y.mean()))), np.zeros(k), rng.normal(0, 0.02, (k, factors)), kept)
     flat = np.concatenate([[m.bias], m.weights, m.factors.ravel()])
     first, second, t = np.zeros_like(flat), np.zeros_like(flat), 0
+    there = np.zeros((min(batch, n), k), np.float32)  # a batch as a dense matrix: its products are fast
     while t < steps:
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             picked = order[lo : lo + batch]
             lengths = bounds[picked + 1] - bounds[picked]
             at = np.repeat(bounds[picked] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            r, c = np.repeat(np.arange(len(picked)), lengths), column[at]
-            logit, sums = _logits(m, r, c, len(picked))
-            error = (sigmoid(logit) - y[picked]) / len(picked)
-            e = error[r]
-            pull = e[:, None] * (sums[r] - m.factors[c])
-            grown = np.stack([np.bincount(c, pull[:, f], k) for f in range(factors)], 1)
-            gradient = np.concatenate([[error.sum()], np.bincount(c, e, k) + decay * m.weights, (grown + decay * m.factors).ravel()])
+            x = there[: len(picked)]
+            x[:] = 0
+            x[np.repeat(np.arange(len(picked)), lengths), column[at]] = 1
+            v = m.factors.astype(np.float32)
+            sums = x @ v
+            logit = m.bias + x @ m.weights.astype(np.float32) + 0.5 * ((sums**2).sum(1) - x @ (v * v).sum(1))
+            error = ((sigmoid(logit) - y[picked]) / len(picked)).astype(np.float32)
+            by_term = x.T @ error
+            grown = x.T @ (error[:, None] * sums) - by_term[:, None] * v  # without a term's pair with itself
+            gradient = np.concatenate([[error.sum()], by_term + decay * m.weights, (grown + decay * m.factors).ravel()])
             t += 1
             first = 0.9 * first + 0.1 * gradient
             second = 0.999 * second + 0.001 * gradient**2
@@ -123,14 +118,15 @@ def fit(sample: Sample, factors: int = FACTORS, steps: int = 800, rate: float =
     return Machine(m.bias, m.weights.copy(), m.factors.copy(), kept)
 
 
-def _scores(texts, m: Machine) -> list[float]:
+def _scores(texts: pa.Array, m: Machine) -> list[float]:
+    """One text at a time is a Python string."""
     at = columns("words", m.kept)
-    return [m.score(sorted(set().union(*map(at.__getitem__, set((text or "").split()))))) for text in texts]
+    return [m.score(sorted(set().union(*map(at.__getitem__, set((text.as_py() or "").split()))))) for text in texts]
 
 
 def _score(batches, m):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_scores(batch.column(2).to_pylist(), m), pa.float64())], names=["id", "held_out", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_scores(batch.column(2), m), pa.float64())], names=["id", "held_out", "score"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text") -> Machine:
@@ -148,11 +144,11 @@ def score(docs: DataFrame, m: Machine, id_column: str = "doc_id", text_column: s
 def keep_clean(docs: DataFrame, m: Machine, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is below the threshold, with all their columns."""
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
-        found = _scores(texts, m)
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
+        found = pa.array(_scores(texts, m), pa.float64())
         trim()
-        return pd.Series(found, dtype=float)
+        return found
 
     return docs.where(scored(F.coalesce(F.col(text_column).cast("string"), F.lit(""))) < threshold)
 
