@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import materialize, new_folder, passing, table
+from inkwell.llm.shared import materialize, new_folder, table
 
 MINIMUM = 1000
 PART_BYTES = 16 << 20
@@ -205,7 +205,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transactions(found: DataFrame) -> DataFrame:
-    """(record_id, capture) of the records beside captures, from a stored table of records; written.
+    """(record_id, capture) of the records beside captures, from a stored table of records.
 
     capture is a capture's identifier, or one that is named but that no record has. Nearly all
     records name their capture, or are named by it; only where some are linked through others
@@ -214,13 +214,14 @@ def transactions(found: DataFrame) -> DataFrame:
     light = found.where("record_id is not null").select("record_id", F.col("record_type").isin(*CAPTURES).alias("main"), "concurrent_to")
     links = light.select("record_id", "main", F.explode("concurrent_to").alias("to"))
     kinds = light.groupBy(F.col("record_id").alias("to")).agg(F.max("main").alias("to_main"))
-    linked = materialize(links.join(kinds, "to", "left"), "linked")
+    linked = links.join(kinds, "to", "left")
     named = linked.where(~F.col("main") & F.coalesce("to_main", F.lit(True))).select("record_id", F.col("to").alias("capture"))
     naming = linked.where(F.col("main") & ~F.col("to_main")).select(F.col("to").alias("record_id"), F.col("record_id").alias("capture"))
-    known = newest = materialize(named.unionByName(naming).distinct(), "known")
+    direct = named.unionByName(naming).distinct()
     steps = linked.where(~F.col("main") & ~F.col("to_main")).select(F.col("record_id").alias("a"), F.col("to").alias("b"))
     if steps.isEmpty():
-        return known
+        return direct
+    known = newest = materialize(direct, "known")
     steps = materialize(steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "steps")
     while not newest.isEmpty():
         reached = steps.join(newest, steps["b"] == newest["record_id"]).select(F.col("a").alias("record_id"), "capture").distinct()
@@ -242,8 +243,7 @@ def assemble(found: DataFrame, carried: Column | None = None) -> DataFrame:
     found = materialize(found.where("damage is null").withColumn("payload", payload).drop("damage"), "records")
     is_main = F.col("record_type").isin(*CAPTURES)
     main = found.where(is_main).select("record_id", "target_uri", "date", F.col("record_type").alias("kind"), "refers_to", "payload_digest", "http", "payload")
-    with passing(found.sparkSession) as keep:
-        known = keep(transactions(found))
+    known = transactions(found)
     beside = found.where(~is_main).select(*NESTED).join(known, "record_id", "left").withColumn("capture", F.coalesce("capture", "record_id"))
     nested = F.struct(*NESTED)
     order = lambda of: F.struct(F.coalesce(of("record_id"), F.lit("")), of("record_type"), F.to_json(F.struct(of("fields"))), of("http"), of("block"))
