@@ -41,15 +41,34 @@ Turn = tuple[str, str]
 PROBE = "\ue000"
 #: Control strings of the built-in template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
+#: Characters of texts and escapes that a worker keeps, at most.
+KEPT_CHARS = 1 << 22
 _ESCAPED = re.compile("|".join([r"\\", *map(re.escape, CONTROLS)]))
 _TURN = re.compile(r"<s>(.*?)\[INST\] (.*?) \[/INST\]</s>", re.DOTALL)
 
 
+class Escapes(dict):
+    """Texts and their escapes, as every prefix of a conversation renders them anew; emptied when they are ``KEPT_CHARS`` long."""
+
+    held = 0
+
+    def __missing__(self, text: str) -> str:
+        found = _ESCAPED.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+        self.held += len(text) + len(found)
+        if self.held > KEPT_CHARS:
+            self.clear()
+            self.held = 0
+        else:
+            self[text] = found
+        return found
+
+
+_ESCAPES = Escapes()
+
+
 def escape(text: str) -> str:
     """Doubles backslashes and puts one after the first character of a control string."""
-    if "\\" not in text and not any(c in text for c in CONTROLS):  # nearly all texts, at once
-        return text
-    return _ESCAPED.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    return _ESCAPES[text]
 
 
 def unescape(text: str) -> str:
