@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import audio, chat, mixing, packing, pipeline, quality, simhash, sketches, token_counts, toxicity, warc
+from inkwell.llm import audio, chat, mixing, packing, pipeline, quality, ranking, simhash, sketches, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_chroma": audio.op8_chroma,
         "op9_sketches": sketches.op9_sketches,
         "op10_chat": chat.op10_chat,
+        "op13_ranking": ranking.op13_ranking,
         "pipeline": pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc": warc.OP6_SQL, "op10_chat": chat.OP10_SQL}
+    return {"op6_warc": warc.OP6_SQL, "op10_chat": chat.OP10_SQL, "op13_ranking": ranking.OP13_SQL}
