@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import audio, chat, mixing, packing, pipeline, quality, ranking, simhash, sketches, token_counts, toxicity, warc
+from inkwell.llm import audio, chat, licenses, mixing, packing, pipeline, quality, ranking, simhash, sketches, token_counts, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,10 +17,12 @@ def queries() -> dict:
         "op8_chroma": audio.op8_chroma,
         "op9_sketches": sketches.op9_sketches,
         "op10_chat": chat.op10_chat,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_licenses": licenses.op12_licenses,
         "op13_ranking": ranking.op13_ranking,
         "pipeline": pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc": warc.OP6_SQL, "op10_chat": chat.OP10_SQL, "op13_ranking": ranking.OP13_SQL}
+    return {"op6_warc": warc.OP6_SQL, "op10_chat": chat.OP10_SQL, "op11_vector_codes": vector_codes.OP11_SQL, "op12_licenses": licenses.OP12_SQL, "op13_ranking": ranking.OP13_SQL}
