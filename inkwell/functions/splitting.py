@@ -7,6 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,21 @@ def is_validation(key: Column, val_frac: float, split_seed: int = 0) -> Column:
     return validates(key)
 
 
+def in_share(val_frac: float, split_seed: int = 0) -> Callable[[pa.Array], np.ndarray]:
+    """As is_validation, of a batch of keys in a worker."""
+    if not 0 <= val_frac < 1:
+        raise ValueError(f"a validation share of {val_frac} leaves nothing to train on, or is none")
+    end = int(val_frac * PLACES)
+
+    def flags(keys: pa.Array) -> np.ndarray:
+        if not end:
+            return np.zeros(len(keys), bool)
+        place = place_of(split_seed)
+        return np.fromiter((place(k.as_py()) < end for k in keys), bool, len(keys))
+
+    return flags
+
+
 def sampled(ord_: Column, sample_frac: float, seed: int = 0) -> Column:
     """Whether draw number ``ord`` of the seeded PCG64 stream is below sample_frac, whatever the partitions.
 

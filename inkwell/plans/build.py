@@ -1,10 +1,16 @@
 """The corpus build: filter, split, tokenize, order and write caches with manifests; and reading them.
 
-A cache is a folder of Parquet, one row per document (ord, shard, tokens, n_bytes), partitioned by
-shard, and a manifest that is written last and names the folder of the rows. It may be on any store
-that Spark reads. All narrow steps are one stage; the split is decided before tokenizing; both
-sides are written from one written table of kept documents. Two builds of one cache don't meet:
-each has rows of its own, and the first manifest stays.
+A cache is a folder of Parquet, one row per document (ord, tokens, n_tokens, n_bytes), partitioned by
+shard, and a manifest that is written last and names the folder of the rows. Tokens are cells of
+16-bit numbers; ``load`` reads them as arrays. It may be on any store that Spark reads. Two builds of one
+cache don't meet: each has rows of its own, and the first manifest stays.
+
+Tokens move once at most. One pass over the source decides the split, filters, tokenizes and
+numbers the kept documents of each side within a run, which is what a task reads of consecutive documents;
+its table is written, and its counters are observed on the way. A number in all is then that in
+the run plus what the runs before have, a table of a row a run. Places, lengths and shards are
+found on numbers alone: a shard is a range of places. At last each row computes its place and shard, and
+in a shuffled build goes to its place's part in one exchange; in a build in order it stays where it is.
 """
 
 from __future__ import annotations
@@ -16,23 +22,34 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.functions import text as X
 from inkwell.functions.splitting import is_validation
+from inkwell.functions.splitting import in_share
 from inkwell.functions.tokenize import encoder as find_encoder
-from inkwell.operators.order import hash_order, permutation, reordered
+from inkwell.functions.tokenize import packed, unpacked
+from inkwell.operators.order import Bijection, hash_order, permutation
 from inkwell.operators.packing import next_fit
 from inkwell.operators.prefix import CHUNK, rank_by_chunk
 from inkwell.sources import storage
-from inkwell.sources.documents import MANIFEST, describe_source, is_cache, manifest, read_source, read_within
+from inkwell.sources.documents import MANIFEST, MOST_BROADCAST, describe_source, is_cache, manifest, read_source, read_within
 
-FORMAT = "inkwell-cache-v1"
+FORMAT = "inkwell-cache-v2"
 #: A cache's copy of its tokenizer file.
 TOKENIZER = "tokenizer.json"
-#: Seeded orders: the exact permutation, up to its limit, or that of a hash, at any size.
-SHUFFLES = {"exact": lambda docs, seed, part: permutation(docs.sparkSession, docs.count(), seed, part), "hash": hash_order}
+#: Seeded orders: the exact permutation, up to its limit; that of a hash, or a keyed bijection, at any size.
+SHUFFLES = ("bijection", "exact", "hash")
+#: Bytes of tokens that a part of a shuffled cache has, about.
+PART_BYTES = 128 << 20
+#: Bytes of tokens that a worker hands over at once, about.
+CELL_BYTES = 64 << 20
+STORED = "ord long, tokens binary, n_tokens long, n_bytes long, shard int"
 
 
 def kept_documents(docs: DataFrame, encoder, max_docs: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, val_frac: float = 0.0, split_seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -55,17 +72,22 @@ def kept_documents(docs: DataFrame, encoder, max_docs: int | None = None, max_by
     return rows, kept
 
 
-def counters(rows: DataFrame) -> DataFrame:
-    """One row: documents read, validation documents kept, and what was dropped. Tokens of documents over the byte limit are unknown."""
+def counts() -> list[Column]:
+    """Documents read, validation documents kept, and what was dropped. Tokens of documents over the byte limit are unknown."""
     dropped = F.col("fate") != "kept"
     total = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast("long")
-    return rows.agg(
+    return [
         F.count(F.lit(1)).alias("read_docs"),
         F.count_if(F.col("is_val") & ~dropped).alias("val_docs"),
         F.count_if(dropped).alias("dropped_docs"),
         total(F.col("fate") == "over_tokens", F.col("n_tokens")).alias("dropped_text_tokens"),
         total(dropped, F.col("n_bytes")).alias("dropped_text_bytes"),
-    )
+    ]
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """One row of these counts."""
+    return rows.agg(*counts())
 
 
 def numbered(kept: DataFrame) -> DataFrame:
@@ -82,16 +104,135 @@ def digest(found: dict) -> str:
     return hashlib.sha256(json.dumps(named, sort_keys=True).encode()).hexdigest()
 
 
-def write_cache(documents: DataFrame, out: str | Path, header: dict, shard_tokens: int, tokenizer_file: bytes | None = None) -> dict:
-    """Write documents (ord, tokens, n_bytes), cut before a shard exceeds its tokens; the manifest comes last."""
+HELD = T.StructType(
+    [
+        T.StructField("ord", T.LongType()),
+        T.StructField("run", T.LongType()),
+        T.StructField("own", T.LongType()),
+        T.StructField("is_val", T.BooleanType()),
+        T.StructField("fate", T.StringType()),
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("tokens", T.BinaryType()),
+    ]
+)
+
+
+class _Runs:
+    """Numbers kept rows of each side within runs of consecutive ord, over a task's batches."""
+
+    def __init__(self):
+        self.last, self.run, self.had = None, None, {False: 0, True: 0}
+
+    def number(self, ords: np.ndarray, kept: np.ndarray, is_val: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the run of each row: its first ord; kept rows of the row's side before it in the run)."""
+        begins = np.diff(ords, prepend=ords[0] - 2 if self.last is None else self.last) != 1
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(ords)), -1))
+        run = np.where(at >= 0, ords[at], self.run)
+        own = np.zeros(len(ords), np.int64)
+        for side in (False, True):
+            mine = kept & (is_val == side)
+            before = np.cumsum(mine) - mine
+            here = before - np.where(at >= 0, before[at], -self.had[side])
+            own = np.where(is_val == side, here, own)
+            self.had[side] = int(here[-1] + mine[-1])
+        self.last, self.run = int(ords[-1]), int(run[-1])
+        return run, own
+
+
+def encoded(docs: DataFrame, encoder, max_docs: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, val_frac: float = 0.0, split_seed: int = 0) -> DataFrame:
+    """As kept_documents, a row per document in one pass, with ``run`` and ``own``, and framed tokens as cells (null where dropped)."""
+    spec, in_val = encoder.spec, in_share(val_frac, split_seed)
+
+    def run(batches):
+        runs, bos, eos = _Runs(), np.array([spec.bos], "<u2"), np.array([spec.eos], "<u2")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ords = batch.column("ord").to_numpy()
+            texts = batch.column("text").cast(pa.large_binary())
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            is_val = in_val(batch.column("key"))
+            fits = np.ones(len(sizes), bool) if max_bytes is None else sizes <= max_bytes
+            at = 0
+            while at < len(sizes):  # a few rows at a time where texts are long
+                end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), CELL_BYTES // 4, side="right")) + at)
+                ids = encoder.ids([t.as_py() if ok else b"" for t, ok in zip(texts[at:end], fits[at:end])])
+                n = np.fromiter((len(x) for x in ids), np.int64, len(ids))
+                few = np.ones(len(ids), bool) if max_tokens is None else n <= max_tokens
+                kept = fits[at:end] & few
+                number, own = runs.number(ords[at:end], kept, is_val[at:end])
+                fate = np.where(kept, "kept", np.where(fits[at:end], "over_tokens", "over_bytes"))
+                cells = packed([np.concatenate([bos, x, eos]) if ok else x[:0] for x, ok in zip(ids, kept)])
+                tokens = pc.if_else(pa.array(kept), cells, pa.scalar(None, pa.binary()))
+                columns = [ords[at:end], number, own, is_val[at:end], fate, sizes[at:end]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n, mask=~fits[at:end]), tokens], names=HELD.names)
+                at = end
+
+    rows = docs if max_docs is None else docs.where(F.col("ord") < max_docs)
+    return rows.select("ord", "text", "key").mapInArrow(run, HELD)
+
+
+def ranked_runs(held: DataFrame, is_val: bool) -> tuple[DataFrame, int]:
+    """(kept documents of a side with ``rank``, their number from 0 without gaps; how many there are). No row moves: a table of runs is joined."""
+    mine = held.where((F.col("fate") == "kept") & (F.col("is_val") == is_val))
+    found = mine.groupBy("run").agg((F.max("own") + 1).alias("n")).collect()
+    begun, total = [], 0
+    for run, n in sorted((r["run"], r["n"]) for r in found):
+        begun.append((run, total))
+        total += n
+    bases = held.sparkSession.createDataFrame(begun, "run long, base long")
+    return mine.join(F.broadcast(bases) if len(begun) <= MOST_BROADCAST else bases, "run").withColumn("rank", F.col("base") + F.col("own")), total
+
+
+def placed(rows: DataFrame, n: int, shuffle: str, seed: int | None, part: int) -> DataFrame:
+    """Adds ``ord``, a document's place: its rank, or the place that a seeded order of n gives it."""
+    rows = rows.drop("ord")
+    if seed is None:
+        return rows.withColumn("ord", F.col("rank"))
+    if shuffle == "bijection":
+        return rows.withColumn("ord", Bijection(n, seed, part).place(F.col("rank")))
+    order = permutation(rows.sparkSession, n, seed, part) if shuffle == "exact" else hash_order(rows.select(F.col("rank").alias("ord")), seed, part)
+    order = order.select(F.col("ord").alias("rank"), F.col("position").alias("ord"))
+    # 16 bytes a document: beyond a million, such an order is joined, which moves rows once more
+    return rows.join(F.broadcast(order) if n <= MOST_BROADCAST else order, "rank")
+
+
+def shard_starts(rows: DataFrame, shard_tokens: int) -> list[int]:
+    """The place at which each shard begins, of rows (ord, n_tokens): next-fit over framed documents, in which one beyond the size is alone."""
+    fitted = next_fit(rows.select("ord", (F.col("n_tokens") + 2).alias("n")), shard_tokens, oversized="alone")
+    return [r["start"] for r in fitted.groupBy("batch").agg(F.min("ord").alias("start")).orderBy("batch").collect()]
+
+
+def shard_of(place: Column, starts: list[int]) -> Column:
+    """How many starts after the first are at or below the place, by bisection."""
+    if len(starts) < 2:
+        return F.lit(0)
+    held = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")
+    half = lambda s: F.call_function("div", s["lo"] + s["hi"] + 1, F.lit(2)).cast("int")
+    turn = lambda s, _: F.struct(F.when(F.get(held, half(s)) <= place, half(s)).otherwise(s["lo"]).alias("lo"), F.when(F.get(held, half(s)) <= place, s["hi"]).otherwise(half(s) - 1).alias("hi"))
+    begun = F.struct(F.lit(0).alias("lo"), F.lit(len(starts) - 1).alias("hi"))
+    return F.aggregate(F.array_repeat(F.lit(0), len(starts).bit_length()), begun, turn, lambda s: s["lo"])
+
+
+def cut_into_shards(rows: DataFrame, starts: list[int], n: int, n_bytes: int, shuffled: bool) -> DataFrame:
+    """Rows (ord, tokens, n_tokens, n_bytes) with their shard, those of a part together and in order; n of them with so many bytes of tokens."""
+    sharded = rows.select("ord", "tokens", "n_tokens", "n_bytes", shard_of(F.col("ord"), starts).cast("int").alias("shard"))
+    if shuffled and n:
+        parts = max(-(-n_bytes // PART_BYTES), min(n, rows.sparkSession.sparkContext.defaultParallelism))
+        # places are dense: a part is a range of them, and needs no sample
+        sharded = sharded.repartitionById(parts, F.call_function("div", F.col("ord") * F.lit(parts), F.lit(n)).cast("int"))
+    return sharded.sortWithinPartitions("shard", "ord")
+
+
+def write_cache(sharded: DataFrame, out: str | Path, header: dict, tokenizer_file: bytes | None = None) -> dict:
+    """Write rows (ord, tokens as cells, n_tokens, n_bytes, shard); the manifest comes last."""
     if is_cache(out):
         raise FileExistsError(f"{out} holds a cache already")
     rows = f"rows-{uuid.uuid4().hex[:12]}"
-    placed = next_fit(documents.select("ord", F.size("tokens").cast("long").alias("n")), shard_tokens, oversized="alone").select("ord", F.col("batch").alias("shard"))
-    sharded = documents.join(placed, "ord").select("ord", "tokens", "n_bytes", "shard")
-    sharded.repartitionByRange("shard", "ord").sortWithinPartitions("shard", "ord").write.partitionBy("shard").parquet(storage.child(out, rows))
-    written = documents.sparkSession.read.schema("ord long, tokens array<int>, n_bytes long, shard int").parquet(storage.child(out, rows))
-    shards = [r.asDict() for r in written.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.sum("n_bytes").alias("text_bytes")).orderBy("shard").collect()]
+    sharded.write.partitionBy("shard").parquet(storage.child(out, rows))
+    written = sharded.sparkSession.read.schema(STORED).parquet(storage.child(out, rows))
+    shards = [r.asDict() for r in written.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("n_tokens") + 2).alias("tokens"), F.sum("n_bytes").alias("text_bytes")).orderBy("shard").collect()]
     total = lambda name: sum(s[name] for s in shards)
     found = {"format": FORMAT, **header, "rows": rows, "docs": total("docs"), "tokens": total("tokens"), "loss_tokens": total("tokens") - total("docs"), "text_bytes": total("text_bytes"), "shards": shards}
     try:
@@ -140,37 +281,43 @@ def build(spark: SparkSession, src: str | Path, out: str | Path, *, tokenizer: s
     encode = find_encoder(tokenizer, specials)
     source = describe_source(spark, src)
     log(f"{src}: {len(source['files'])} files, {sum(f['bytes'] for f in source['files']):,} bytes")
-    rows, _ = kept_documents(read_source(spark, str(src)), encode, chosen.max_docs, chosen.max_bytes, chosen.max_tokens, chosen.val_frac, chosen.split_seed)
-    held_in, spec, found = storage.child(out, f"held-{uuid.uuid4().hex[:12]}"), encode.spec, {}
-    rows.select("ord", X.framed(F.col("ids"), spec.bos, spec.eos).alias("tokens"), "n_bytes", "n_tokens", "is_val", "fate").write.parquet(held_in)
+    rows = encoded(read_source(spark, str(src)), encode, chosen.max_docs, chosen.max_bytes, chosen.max_tokens, chosen.val_frac, chosen.split_seed)
+    held_in, spec, found, seen = storage.child(out, f"held-{uuid.uuid4().hex[:12]}"), encode.spec, {}, Observation()
     try:
-        held = spark.read.parquet(held_in)
-        stats = counters(held).first().asDict()
+        rows.observe(seen, *counts()).write.parquet(held_in)
+        held, stats = spark.read.schema(HELD).parquet(held_in), seen.get
         log(f"{stats['read_docs']:,} documents read, {stats['dropped_docs']:,} dropped")
         for number, (side, path) in enumerate(sides.items()):
-            docs = numbered(held.where((F.col("fate") == "kept") & (F.col("is_val") == (side == "val"))).select("ord", "tokens", "n_bytes"))
-            if chosen.shuffle_seed is not None:
-                docs = reordered(docs, SHUFFLES[chosen.shuffle](docs, chosen.shuffle_seed, number))
+            ranked, n = ranked_runs(held, side == "val")
+            docs = placed(ranked, n, chosen.shuffle, chosen.shuffle_seed, number)
+            starts = shard_starts(docs, shard_tokens)
+            n_bytes = 2 * (ranked.agg(F.coalesce(F.sum(F.col("n_tokens") + 2), F.lit(0))).first()[0])
             header = {"tokenizer": spec.as_dict(), "source": source, "selection": {**vars(chosen), "part": side}, "filter_stats": stats}
-            found[side] = write_cache(docs, path, header, shard_tokens, Path(encode.path).read_bytes() if encode.path else None)
+            sharded = cut_into_shards(docs, starts, n, n_bytes, chosen.shuffle_seed is not None)
+            found[side] = write_cache(sharded, path, header, Path(encode.path).read_bytes() if encode.path else None)
             log(f"{side}: {found[side]['docs']:,} documents, {found[side]['tokens']:,} tokens in {len(found[side]['shards'])} shards")
     finally:
         storage.remove(held_in)
     return found["train"]
 
 
-def load(spark: SparkSession, path: str | Path) -> DataFrame:
-    """(ord, shard, tokens, n_bytes) of a cache; what it holds must match its manifest."""
+def stored(spark: SparkSession, path: str | Path) -> DataFrame:
+    """(ord, tokens as cells, n_tokens, n_bytes, shard) of a cache; what it holds must match its manifest. n_tokens are those of the text."""
     said = manifest(path)
     if said["format"] != FORMAT:
         raise ValueError(f"{path} has the format {said['format']!r}")
-    docs = spark.read.schema("ord long, tokens array<int>, n_bytes long, shard int").parquet(storage.child(path, said["rows"])).select("ord", "shard", "tokens", "n_bytes")
-    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.min(F.size("tokens")), F.lit(2))).first()
-    if tuple(row)[:3] != (said["docs"], said["tokens"], said["text_bytes"]) or row[3] < 2:
+    docs = spark.read.schema(STORED).parquet(storage.child(path, said["rows"]))
+    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n_tokens") + 2), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.min("n_tokens"), F.lit(0))).first()
+    if tuple(row)[:3] != (said["docs"], said["tokens"], said["text_bytes"]) or row[3] < 0:
         raise ValueError(f"{path} doesn't match its manifest")
     return docs
 
 
+def load(spark: SparkSession, path: str | Path) -> DataFrame:
+    """(ord, shard, tokens, n_bytes) of a cache, tokens as arrays of ids."""
+    return stored(spark, path).select("ord", "shard", unpacked("tokens").alias("tokens"), "n_bytes")
+
+
 def open_documents(spark: SparkSession, path: str | Path, tokenizer: str = "bytes", specials: tuple[int, int, int] | None = None, budget: int | None = None) -> tuple[DataFrame, dict]:
     """Documents (ord, tokens, n_bytes) and the tokenizer they are in: that of a cache's manifest, else the one named.
 

@@ -508,6 +508,24 @@ def hash_order(spark, sf_dir):
     return O.hash_order(_documents(spark, sf_dir).select("ord"), 0)
 
 
+def _bijection_sql(seed: int, part: int = 0) -> str:
+    """places(ord, place) of the keyed bijection of all documents: its rounds as one fold, its walks as a recursion."""
+    prime, keys = O.Bijection.PRIME, O.Bijection(1, seed, part).keys
+    mixed = lambda v: f"(({v} % {prime} * k[2] + k[3]) % {prime} * (({v} % {prime} * k[2] + k[3]) % {prime}) + k[4]) % {prime}"
+    rounds = ", ".join(f"[{i % 2}, {', '.join(map(str, key))}]" for i, key in enumerate(keys))
+    folded = lambda x: f"list_reduce([[{x} // b, {x} % b], {rounds}], lambda s, k: CASE WHEN k[1] = 0 THEN [(s[1] + {mixed('s[2]')}) % a, s[2]] ELSE [s[1], (s[2] + {mixed('s[1]')}) % b] END)"
+    step = lambda x, rest: f"SELECT ord, s[1] * b + s[2] AS place FROM (SELECT ord, b, {folded(x)} AS s {rest})"
+    return f"""sides AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM docs)),
+walk AS ({step("ord", "FROM docs, sides")} UNION ALL {step("place", "FROM walk, sides WHERE place >= n")}),
+places AS (SELECT ord, CAST(place AS BIGINT) AS place FROM walk, sides WHERE place < n)"""
+
+
+@_query(f"WITH RECURSIVE {DOCS}, {_bijection_sql(0)} SELECT place AS position, ord FROM places")
+def bijection_order(spark, sf_dir):
+    """A seeded order at any size, in a row: no rank, no look-up."""
+    return O.bijection_order(_documents(spark, sf_dir).select("ord"), 0)
+
+
 @_query("""WITH s AS (SELECT unnest(range(2000)) AS step) SELECT CAST(step AS BIGINT) AS step, round(CASE WHEN step < 40 THEN (step + 1) / 40.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (step - 40) / 1960.0))) END, 6) AS scale FROM s""")
 def lr_schedule(spark, sf_dir):
     total, warmup, _ = schedules.resolve_schedule(2000)
@@ -682,3 +700,13 @@ def cache_roundtrip(spark, sf_dir):
     out = scratch(spark, "cache")
     build.build(spark, f"{sf_dir}/documents.parquet", out, max_bytes=BYTE_LIMIT, shard_tokens=SHARD)
     return build.load(spark, out).select("ord", F.size("tokens").cast("long").alias("n_tokens"), "n_bytes")
+
+
+@_query(f"""WITH RECURSIVE {DOCS.replace("FROM documents", f"FROM documents WHERE strlen(text) <= {BYTE_LIMIT}")}, {_bijection_sql(7)}
+SELECT place AS ord, CAST(n + 1 AS BIGINT) AS n_tokens, n_bytes, sha256(text) AS text_sha256 FROM docs JOIN places USING (ord)""")
+def shuffled_cache(spark, sf_dir):
+    """A cache in a keyed order, built and read back: its tokens are those of the texts."""
+    out = scratch(spark, "cache")
+    build.build(spark, f"{sf_dir}/documents.parquet", out, max_bytes=BYTE_LIMIT, shard_tokens=SHARD, shuffle_seed=7, shuffle="bijection")
+    text = X.decode_bytes(F.slice("tokens", F.lit(2), F.size("tokens") - 2))
+    return build.load(spark, out).select("ord", F.size("tokens").cast("long").alias("n_tokens"), "n_bytes", F.sha2(text.cast("binary"), 256).alias("text_sha256"))

@@ -385,11 +385,11 @@ def test_build_with_a_tokenizer_file(spark, tmp_path, jsonl):
 
 def test_two_builds_of_one_cache_leave_one(spark, tmp_path, jsonl):
     first = build.build(spark, jsonl, tmp_path / "c", max_docs=9)
-    docs = build.load(spark, tmp_path / "c").select("ord", "tokens", "n_bytes")
+    docs = build.stored(spark, tmp_path / "c")
     from unittest import mock
 
     with mock.patch.object(build, "is_cache", return_value=False), pytest.raises(FileExistsError):
-        build.write_cache(docs.limit(3), tmp_path / "c", {}, 100)
+        build.write_cache(docs.limit(3), tmp_path / "c", {})
     assert S.manifest(tmp_path / "c") == first and build.load(spark, tmp_path / "c").count() == 9
     assert len([p for p in (tmp_path / "c").iterdir() if p.name.startswith("rows-")]) == 1
 
