@@ -1,7 +1,8 @@
 """Running sums and budget prefixes over documents in order, without a single-partition window.
 
 Documents are numbered, so a chunk is ``ord`` div a constant. Chunk totals are one aggregate;
-their running sum has one row per chunk; a window within each chunk does the rest.
+their running sum has one row per chunk; a window within each chunk does the rest. A budget becomes
+one number, found on costs alone, and a filter by it.
 """
 
 from __future__ import annotations
@@ -32,10 +33,26 @@ def first_documents(rows: DataFrame, n: int, order: str = "ord") -> DataFrame:
     return rows.where(F.col(order) < n)
 
 
+def budget_end(rows: DataFrame, cost: str, budget: int, order: str = "ord", chunk: int = CHUNK) -> int:
+    """The number after the last document that a budget takes: the one that crosses it is taken, and always the first.
+
+    Only numbers and costs are read: totals by chunk, the chunk in which their running sum crosses the
+    budget, then that chunk's documents.
+    """
+    narrow = rows.select(F.col(order).alias("ord"), F.col(cost).cast("long").alias("cost"))
+    totals = narrow.groupBy(F.floor(F.col("ord") / chunk).alias("chunk")).agg(F.sum("cost").alias("cost"))
+    summed = with_running_sum(totals, "cost", "upto", "chunk", chunk)
+    crossed = summed.where(F.col("upto") >= budget).agg(F.min(F.struct("chunk", (F.col("upto") - F.col("cost")).alias("before"))).alias("at")).first()["at"]
+    if crossed is None:  # all of them
+        return (narrow.agg(F.max("ord")).first()[0] or 0) + 1
+    inside = narrow.where((F.col("ord") >= crossed["chunk"] * chunk) & (F.col("ord") < (crossed["chunk"] + 1) * chunk))
+    upto = F.sum("cost").over(Window.partitionBy(F.floor(F.col("ord") / chunk)).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("upto", upto + crossed["before"]).where(F.col("upto") >= budget).agg(F.min("ord")).first()[0] + 1
+
+
 def within_budget(rows: DataFrame, cost: str, budget: int, order: str = "ord") -> DataFrame:
-    """Documents until the budget is reached, with the one that crosses it; always the first."""
-    summed = with_running_sum(rows, cost, "__upto", order)
-    return summed.where((F.col("__upto") - F.col(cost) < budget) | (F.col(order) == 0)).drop("__upto")
+    """Documents until the budget is reached, with the one that crosses it; always the first. A filter by number: no row moves."""
+    return first_documents(rows, budget_end(rows, cost, budget, order), order)
 
 
 def bytes_within(rows: DataFrame, budget: int, text: str = "text", order: str = "ord") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.sources import storage
+from inkwell.sources.pieces import first_pieces, read_pieces
 
 MANIFEST = "manifest.json"
 #: Beginnings that are broadcast, at most: some 100 bytes each. Beyond, Spark picks the join.
@@ -96,19 +97,25 @@ def read_source(spark: SparkSession, *paths: str) -> DataFrame:
 def read_within(spark: SparkSession, src: str | Path, budget: int, cost: str = "octet_length(text) + 1") -> DataFrame:
     """(ord, text, key) of the source's first documents whose cost uses the budget up, with the one that crosses it; always the first.
 
-    Files are taken in order, 1, 2, 4 and so on at a time, and only lengths are added up, until
-    they hold the budget. No later file is opened.
+    Row groups, or ranges of JSON lines, are taken in order, 1, 2, 4 and so on at a time, and only lengths are added up, until
+    they hold the budget; nothing after them is read. On a file system that isn't mounted, whole files are
+    taken so. The cut is a number: no text moves.
     """
     from inkwell.operators.prefix import within_budget
 
-    every = source_files(src) if not str(src).endswith(".jsonl") else [str(src)]
-    taken, spent, step = 0, 0, 1
-    while taken < len(every) and (spent < budget or not taken):
-        part = every[taken : taken + step]
-        spent += read_source(spark, *part).select(F.sum(F.expr(cost))).first()[0] or 0
-        taken, step = taken + len(part), step * 2
-    docs = read_source(spark, *every[:taken]).withColumn("__cost", F.expr(cost).cast("long"))
-    return within_budget(docs, "__cost", budget).drop("__cost")
+    every = source_files(src) if not str(src).endswith(".jsonl") else [storage.qualified(src)]
+    if all(map(storage.is_local, every)):
+        taken, before = first_pieces(spark, every, budget, cost)
+        bases = _beginnings(spark, list(enumerate(before)), "piece long, __base long")
+        docs = required(read_pieces(spark, taken).join(bases, "piece").select((F.col("__base") + F.col("row")).alias("ord"), "text", "key"))
+    else:
+        taken, spent, step = 0, 0, 1
+        while taken < len(every) and (spent < budget or not taken):
+            part = every[taken : taken + step]
+            spent += read_source(spark, *part).select(F.sum(F.expr(cost))).first()[0] or 0
+            taken, step = taken + len(part), step * 2
+        docs = read_source(spark, *every[:taken])
+    return within_budget(docs.withColumn("__cost", F.expr(cost).cast("long")), "__cost", budget).drop("__cost")
 
 
 def document(docs: DataFrame, number: int) -> DataFrame:

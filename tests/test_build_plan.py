@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tests_plans import exchanges
 
 from inkwell.functions.tokenize import encoder, packed, unpacked
 from inkwell.operators import order
@@ -45,20 +46,6 @@ def folder(tmp_path_factory):
     return path, texts
 
 
-def exchanges(frame):
-    """The plan's exchanges, each as its line with the columns that go through it."""
-    plan = frame._jdf.queryExecution().executedPlan()
-    found, left = [], [plan]
-    while left:
-        node = left.pop()
-        if "AdaptiveSparkPlan" in node.nodeName():
-            left.append(node.inputPlan())
-        if node.nodeName() == "Exchange":
-            found.append(node.output().mkString(","))
-        left += [node.children().apply(i) for i in range(node.children().size())]
-    return found
-
-
 def test_tokens_move_once(spark, folder, tmp_path):
     path, texts = folder
     rows = build.encoded(S.read_source(spark, str(path)), encoder(), val_frac=0.2, max_bytes=95)
