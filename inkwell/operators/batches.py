@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
+from inkwell.operators.prefix import interval_of
+
+#: Parts that documents are dealt out to, at most: a part's first document and batch are two numbers on the driver.
+MOST_PARTS = 1 << 16
+#: Bytes of documents that a part has, about.
+PART_BYTES = 64 << 20
+#: Numbers of finished batches that a worker hands over at once, about.
+EMITTED = 1 << 21
 
 
 def filler_chunks(remaining: Column, longest: int) -> Column:
@@ -62,3 +75,75 @@ def filled(joined: DataFrame, window: int, longest: int, pad: int = X.PAD) -> Da
         positions(F.col("lengths")).alias("positions"),
         bounds(F.col("lengths")).alias("bounds"),
     )
+
+
+def part_starts(placed: DataFrame, n: int, parts: int) -> list[tuple[int, int]]:
+    """(first document, its batch) of parts of next_fit's result over n documents: each begins with a batch, near an even cut."""
+    begun = placed.groupBy("batch").agg(F.min("ord").alias("start"))
+    cut = begun.groupBy(F.call_function("div", F.col("start") * F.lit(parts), F.lit(n)).alias("part")).agg(F.min(F.struct("start", "batch")).alias("first"))
+    return sorted((r["first"]["start"], r["first"]["batch"]) for r in cut.collect())
+
+
+class _Window:
+    """A batch as it fills; numbers are copied once."""
+
+    def __init__(self, batch: int, window: int, longest: int, pad: int):
+        self.batch, self.window, self.longest, self.used, self.lengths = batch, window, longest, 0, []
+        self.ids, self.targets = np.full(window, pad, np.int32), np.full(window, X.IGNORED, np.int32)
+
+    def add(self, tokens: np.ndarray) -> None:
+        n = len(tokens) - 1
+        self.ids[self.used : self.used + n] = tokens[:-1]
+        self.targets[self.used : self.used + n] = tokens[1:]
+        self.used += n
+        self.lengths.append(n)
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rest = self.window - self.used
+        lengths = np.array(self.lengths + [min(self.longest, rest - i) for i in range(0, rest, self.longest)], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids, self.targets, np.arange(self.window, dtype=np.int64) - np.repeat(bounds[:-1], lengths), bounds
+
+
+def _filling(starts: list[tuple[int, int]], tokens_of: Callable[[pa.Array], list[np.ndarray]], window: int, longest: int, pad: int):
+    firsts = [first for first, _ in starts]
+
+    def run(batches):
+        open_, held = None, []
+
+        def emitted():
+            lists = lambda k, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(w[k]) for _, w in held])]), pa.int32()), pa.array(np.concatenate([w[k] for _, w in held]), kind))
+            out = pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), *(lists(k, kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64())))], names=["batch", "ids", "targets", "positions", "bounds"])
+            held.clear()
+            return out
+
+        for rows in batches:
+            for number, tokens in zip(rows.column("ord").to_pylist(), tokens_of(rows.column(1))):
+                if open_ is None:
+                    open_ = _Window(starts[bisect_right(firsts, number) - 1][1], window, longest, pad)
+                elif open_.used + len(tokens) - 1 > window:
+                    held.append((open_.batch, open_.done()))
+                    open_ = _Window(open_.batch + 1, window, longest, pad)
+                    if len(held) * window * 4 >= EMITTED:
+                        yield emitted()
+                open_.add(tokens)
+        if open_ is not None:
+            held.append((open_.batch, open_.done()))
+            yield emitted()
+
+    return run
+
+
+def streamed(placed: DataFrame, documents: DataFrame, tokens_of: Callable[[pa.Array], list[np.ndarray]], n: int, n_bytes: int, window: int, longest: int, pad: int = X.PAD) -> DataFrame:
+    """(batch, ids, targets, positions, bounds) of next_fit's result over documents (ord, a column that ``tokens_of`` makes framed tokens of).
+
+    Documents are dealt out to ranges of ord that begin with a batch, in one exchange, and sorted there.
+    A task fills one window after the other and hands each over when the next document
+    doesn't fit: it never holds more than the open one and a few that are done.
+    """
+    if longest <= 0:
+        raise ValueError("a segment has a position at least")
+    parts = min(MOST_PARTS, max(-(-n_bytes // PART_BYTES), documents.sparkSession.sparkContext.defaultParallelism))
+    starts = part_starts(placed, max(1, n), parts)
+    dealt = documents.repartitionById(max(1, len(starts)), interval_of(F.col("ord"), [first for first, _ in starts]).cast("int")).sortWithinPartitions("ord")
+    return dealt.mapInArrow(_filling(starts, tokens_of, window, longest, pad), "batch long, ids array<int>, targets array<int>, positions array<long>, bounds array<long>")

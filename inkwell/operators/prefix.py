@@ -7,7 +7,9 @@ one number, found on costs alone, and a filter by it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
@@ -71,3 +73,14 @@ def rank_by_chunk(rows: DataFrame, chunk: str, *order: str, within: tuple[str, .
     starts = counts.select(*key, F.coalesce(before, F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
     return rows.withColumn("__own", own).join(starts, key).withColumn("rank", F.col("__before") + F.col("__own")).drop("__own", "__before")
+
+
+def interval_of(place: Column, starts: list[int]) -> Column:
+    """How many starts after the first are at or below the place, by bisection; starts ascend."""
+    if len(starts) < 2:
+        return F.lit(0)
+    held = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")
+    half = lambda s: F.call_function("div", s["lo"] + s["hi"] + 1, F.lit(2)).cast("int")
+    turn = lambda s, _: F.struct(F.when(F.get(held, half(s)) <= place, half(s)).otherwise(s["lo"]).alias("lo"), F.when(F.get(held, half(s)) <= place, s["hi"]).otherwise(half(s) - 1).alias("hi"))
+    begun = F.struct(F.lit(0).alias("lo"), F.lit(len(starts) - 1).alias("hi"))
+    return F.aggregate(F.array_repeat(F.lit(0), len(starts).bit_length()), begun, turn, lambda s: s["lo"])

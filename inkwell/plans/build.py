@@ -36,7 +36,7 @@ from inkwell.functions.tokenize import encoder as find_encoder
 from inkwell.functions.tokenize import packed, unpacked
 from inkwell.operators.order import Bijection, hash_order, permutation
 from inkwell.operators.packing import next_fit
-from inkwell.operators.prefix import CHUNK, rank_by_chunk
+from inkwell.operators.prefix import CHUNK, interval_of, rank_by_chunk
 from inkwell.sources import storage
 from inkwell.sources.documents import MANIFEST, MOST_BROADCAST, describe_source, is_cache, manifest, read_source, read_within
 
@@ -204,20 +204,9 @@ def shard_starts(rows: DataFrame, shard_tokens: int) -> list[int]:
     return [r["start"] for r in fitted.groupBy("batch").agg(F.min("ord").alias("start")).orderBy("batch").collect()]
 
 
-def shard_of(place: Column, starts: list[int]) -> Column:
-    """How many starts after the first are at or below the place, by bisection."""
-    if len(starts) < 2:
-        return F.lit(0)
-    held = F.from_json(F.lit(json.dumps(starts)), "array<bigint>")
-    half = lambda s: F.call_function("div", s["lo"] + s["hi"] + 1, F.lit(2)).cast("int")
-    turn = lambda s, _: F.struct(F.when(F.get(held, half(s)) <= place, half(s)).otherwise(s["lo"]).alias("lo"), F.when(F.get(held, half(s)) <= place, s["hi"]).otherwise(half(s) - 1).alias("hi"))
-    begun = F.struct(F.lit(0).alias("lo"), F.lit(len(starts) - 1).alias("hi"))
-    return F.aggregate(F.array_repeat(F.lit(0), len(starts).bit_length()), begun, turn, lambda s: s["lo"])
-
-
 def cut_into_shards(rows: DataFrame, starts: list[int], n: int, n_bytes: int, shuffled: bool) -> DataFrame:
     """Rows (ord, tokens, n_tokens, n_bytes) with their shard, those of a part together and in order; n of them with so many bytes of tokens."""
-    sharded = rows.select("ord", "tokens", "n_tokens", "n_bytes", shard_of(F.col("ord"), starts).cast("int").alias("shard"))
+    sharded = rows.select("ord", "tokens", "n_tokens", "n_bytes", interval_of(F.col("ord"), starts).cast("int").alias("shard"))
     if shuffled and n:
         parts = max(-(-n_bytes // PART_BYTES), min(n, rows.sparkSession.sparkContext.defaultParallelism))
         # places are dense: a part is a range of them, and needs no sample

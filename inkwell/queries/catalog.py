@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import schedules, splitting
 from inkwell.functions import text as X
-from inkwell.functions.tokenize import encoder
+from inkwell.functions.tokenize import encoder, framed_ids
 from inkwell.operators import batches as B
 from inkwell.operators import metrics as M
 from inkwell.operators import order as O
@@ -448,17 +448,23 @@ def document_pairs(spark, sf_dir):
     return rows.select("ord", (F.size("ids") - 1).cast("long").alias("n_pairs"), _digest(X.inputs(F.col("ids"))).alias("inputs_sha256"), _digest(X.targets(F.col("ids"))).alias("targets_sha256"))
 
 
-@_query()
+@_query(f"""{PACKED}, h AS (SELECT ord, n_bytes, hex(encode(text)) AS h FROM docs),
+f AS (SELECT ord, list_concat([256], list_transform(range(n_bytes), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)), [257]) AS ids FROM h),
+b AS (SELECT batch, flatten(list(ids[1:len(ids) - 1] ORDER BY ord)) AS ids, flatten(list(ids[2:] ORDER BY ord)) AS targets, list(CAST(n AS BIGINT) ORDER BY ord) AS own, {WIN} - CAST(sum(n) AS BIGINT) AS room FROM packed JOIN f USING (ord) GROUP BY batch),
+l AS (SELECT *, list_concat(own, list_transform(range(CAST(ceil(room / {SEGMENT}) AS BIGINT)), lambda i: least({SEGMENT}, room - i * {SEGMENT}))) AS lengths FROM b)
+SELECT CAST(batch AS BIGINT) AS batch, sha256(array_to_string(list_concat(ids, list_transform(range(room), lambda i: 258)), ',')) AS ids_sha256, sha256(array_to_string(list_concat(targets, list_transform(range(room), lambda i: -100)), ',')) AS targets_sha256,
+sha256(array_to_string(flatten(list_transform(lengths, lambda n: range(n))), ',')) AS positions_sha256, sha256(array_to_string(list_transform(range(len(lengths) + 1), lambda i: coalesce(CAST(list_sum(lengths[1:i]) AS BIGINT), 0)), ',')) AS bounds_sha256 FROM l""")
 def document_batches(spark, sf_dir):
     made = _made(spark, sf_dir)
     return made.select("batch", *[_digest(c).alias(f"{c}_sha256") for c in ("ids", "targets", "positions", "bounds")])
 
 
 def _made(spark, sf_dir):
-    """Materialized batches of all documents: texts are dealt out by batch and become tokens there, which are four times as large."""
+    """Materialized batches of all documents: texts are dealt out and become tokens where a batch is filled."""
     placed, window = _placed(spark, sf_dir)
-    texts = placed.join(_documents(spark, sf_dir).select("ord", "text"), "ord").repartition("batch")
-    return B.filled(texts.select("batch", "ord", "n", X.framed(encoder().tokens(F.col("text"))).alias("tokens")), window, SEGMENT)
+    docs = _documents(spark, sf_dir)
+    n, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    return B.streamed(placed, docs.select("ord", "text"), framed_ids(encoder()), n, n_bytes, window, SEGMENT)
 
 
 @_query(f"""{PACKED}, h AS (SELECT ord, n_bytes, hex(encode(text)) AS h FROM docs),

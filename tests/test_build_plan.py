@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests_plans import exchanges
 
 from inkwell.functions.tokenize import encoder, packed, unpacked
-from inkwell.operators import order
+from inkwell.operators import order, prefix
 from inkwell.plans import build
 from inkwell.sources import documents as S
 
@@ -83,9 +83,9 @@ def test_ranks_over_runs(spark, folder, split_bytes):
 
 def test_shards_by_bisection(spark):
     starts = [0, 1, 5, 6, 40, 99]
-    got = [r[0] for r in spark.range(120).orderBy("id").select(build.shard_of(F.col("id"), starts)).collect()]
+    got = [r[0] for r in spark.range(120).orderBy("id").select(prefix.interval_of(F.col("id"), starts)).collect()]
     assert got == (np.searchsorted(starts, np.arange(120), side="right") - 1).tolist()
-    assert spark.range(3).select(build.shard_of(F.col("id"), [0])).distinct().collect() == spark.range(1).select(F.lit(0)).collect()
+    assert spark.range(3).select(prefix.interval_of(F.col("id"), [0])).distinct().collect() == spark.range(1).select(F.lit(0)).collect()
 
 
 def test_cells(spark):
