@@ -38,6 +38,8 @@ from inkwell.operators.order import Bijection, hash_order, permutation
 from inkwell.operators.packing import next_fit
 from inkwell.operators.prefix import CHUNK, interval_of, rank_by_chunk
 from inkwell.sources import storage
+from inkwell.sources.flat_shards import FORMAT as FLAT
+from inkwell.sources.flat_shards import register, shard_name  # noqa: F401
 from inkwell.sources.documents import MANIFEST, MOST_BROADCAST, describe_source, is_cache, manifest, read_source, read_within
 
 FORMAT = "inkwell-cache-v2"
@@ -332,51 +334,15 @@ def read_documents(spark: SparkSession, path: str | Path, tokenizer: str = "byte
     return open_documents(spark, path, tokenizer, specials, budget)[0]
 
 
-def shard_name(number: int, kind: str) -> str:
-    return f"shard_{number:05d}.{kind}"
-
-
 def export_shards(spark: SparkSession, path: str | Path, out: str | Path) -> None:
-    """Each shard as flat little-endian files: 16-bit tokens, 64-bit offsets, 32-bit byte lengths.
-
-    A shard is written by one task, in order, under names of the attempt's own, and renamed when
-    it is whole: of two attempts at a task each leaves whole files. The folder must be one that
-    all machines mount.
-    """
-    folder = storage.mounted(out)
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    """Each shard of a cache as flat files, whole shards at once (``sources.flat_shards``). The folder must be one that all machines mount."""
+    register(spark)
+    shards = len(manifest(path)["shards"])
+    rows = stored(spark, path).select("ord", "shard", "tokens", "n_bytes").repartitionById(max(1, shards), "shard").sortWithinPartitions("shard", "ord")
+    rows.write.format(FLAT).mode("append").save(storage.mounted(out))
 
-    def write(batches):
-        import os
 
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        suffix, shard, drafts, offsets, sizes = f".attempt-{TaskContext.get().taskAttemptId()}", None, None, [0], []
-
-        def finish():
-            drafts["tokens.u16"].close()
-            for kind, values in (("offsets.i64", np.array(offsets, "<i8")), ("bytes.i32", np.array(sizes, "<i4"))):
-                values.tofile(f"{folder}/{shard_name(shard, kind)}{suffix}")
-            for kind in ("tokens.u16", "offsets.i64", "bytes.i32"):
-                name = f"{folder}/{shard_name(shard, kind)}"
-                os.replace(name + suffix, name)
-
-        for batch in batches:
-            for number, doc, size in zip(*(batch.column(i) for i in range(3))):
-                if number.as_py() != shard:
-                    if shard is not None:
-                        finish()
-                    shard, offsets, sizes = number.as_py(), [0], []
-                    drafts = {"tokens.u16": open(f"{folder}/{shard_name(shard, 'tokens.u16')}{suffix}", "wb")}
-                values = doc.values.to_numpy().astype("<u2")
-                drafts["tokens.u16"].write(values.tobytes())
-                offsets.append(offsets[-1] + len(values))
-                sizes.append(size.as_py())
-        if shard is not None:
-            finish()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32())})
-
-    rows = load(spark, path).select("shard", "ord", "tokens", "n_bytes").repartition("shard").sortWithinPartitions("shard", "ord")
-    rows.select("shard", "tokens", "n_bytes").mapInArrow(write, "shard int").count()
+def load_shards(spark: SparkSession, folder: str | Path) -> DataFrame:
+    """(ord, shard, tokens, n_bytes) of flat shards, as ``load`` gives them of a cache."""
+    register(spark)
+    return spark.read.format(FLAT).load(storage.mounted(folder)).select("ord", "shard", unpacked("tokens").alias("tokens"), "n_bytes")
