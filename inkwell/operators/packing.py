@@ -2,14 +2,18 @@
 
 Next-fit starts a new batch at a document that doesn't fit the open one, so it looks
 sequential: what a chunk of documents does depends on how full the open batch is when the chunk
-begins. But that fill only decides how many of the chunk's first documents still fit. So each
-chunk tabulates, for every such number, the batches that it then closes and the fill it leaves
-(one pass from its end, as later batches don't depend on how they were reached). The tables
-have as many rows as documents fit into one batch: a few dozen for 65,536 documents at a training
-window. They go to the driver; chaining them takes one look-up per chunk. Then each chunk
-knows its state and numbers its documents.
-
-Where a batch holds whole chunks (a shard of a billion tokens), tables would be as long as the
+begins. But that fill only decides how many of the chunk's first documents still fit. So what a
+chunk does is a function of the room that is left, with a step for every such number: the batches
+that it closes and the fill it leaves (one pass from its end, as later batches don't
+depend on how they were reached). Where all of the chunk fits, the fill grows by its sum.
+
+Such functions compose: two in a row are one with as many steps as the first, unless all of the first
+fits, when the second's steps follow. A tree composes ``FAN`` of them a node, level by level; then states
+go down it, from the root's to each chunk's. A function has no more steps than documents fit into one batch, a
+few dozen at a training window, and the driver has only the number of chunks and the sum of lengths.
+Then each chunk knows its state and numbers its documents.
+
+Where a batch holds whole chunks (a shard of a billion tokens), functions would be as long as the
 chunks. Then the driver has the chunks' totals alone and fetches the lengths of those chunks in
 which a batch ends, many at a time: it guesses the next ends from the totals, and fetches anew
 from where a guess was wrong.
@@ -17,7 +21,8 @@ from where a guess was wrong.
 
 from __future__ import annotations
 
-from functools import partial
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from inkwell.session import scratch
 
 CHUNK = 1 << 16
+#: Functions that a node of the tree composes.
+FAN = 64
 #: Chunks whose lengths are fetched at once, at 8 bytes a document.
 FETCHED = 64
 
@@ -38,19 +45,85 @@ def _reach(lengths: np.ndarray, room: int) -> np.ndarray:
     return np.maximum(ends, np.arange(len(lengths)) + 1)
 
 
-def _table(pdf: pd.DataFrame, room: int) -> pd.DataFrame:
-    """For k documents that still fit the open batch: fit_upto (their sum), batches closed after, fill left, and whether all fit."""
-    pdf = pdf.sort_values("ord")
-    lengths = pdf["n"].to_numpy(np.int64)
+@dataclass
+class Steps:
+    """What some documents in a row do to the open batch, by the room that it has left.
+
+    Room from starts[i] on (and below the next): inc[i] batches are begun and the last has fill[i]. Room of
+    ``total`` or more: all fit, and the fill grows by total; -1 where they are more than a batch.
+    """
+
+    starts: np.ndarray
+    inc: np.ndarray
+    fill: np.ndarray
+    total: int
+
+    def apply(self, fill: int, room: int) -> tuple[int, int]:
+        """(batches begun, fill after)."""
+        left = max(0, room - fill)
+        if 0 <= self.total <= left:
+            return 0, fill + self.total
+        i = int(np.searchsorted(self.starts, left, side="right")) - 1
+        return int(self.inc[i]), int(self.fill[i])
+
+    def then(self, other: Steps, room: int) -> Steps:
+        """This, then the other."""
+        after = [other.apply(int(f), room) for f in self.fill]
+        inc, fill = self.inc + np.array([n for n, _ in after], np.int64), np.array([f for _, f in after], np.int64)
+        if self.total < 0:
+            return Steps(self.starts, inc, fill, -1)
+        on = other.starts + self.total < room
+        total = self.total + other.total if other.total >= 0 else -1
+        joined = lambda a, b: np.concatenate([a, b[on]])
+        return Steps(joined(self.starts, other.starts + self.total), joined(inc, other.inc), joined(fill, other.fill), total if total <= room else -1)
+
+
+def _steps(lengths: np.ndarray, room: int) -> Steps:
+    """The function of a chunk."""
     n, ends = len(lengths), _reach(lengths, room)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     closed, left = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     for i in range(n - 1, -1, -1):
         e = ends[i]
         closed[i], left[i] = (0, bounds[n] - bounds[i]) if e == n else (closed[e] + 1, left[e])
-    most = int(np.searchsorted(bounds, room, side="right") - 1)
-    k = np.arange(min(most, n) + 1)
-    return pd.DataFrame({"chunk": int(pdf["chunk"].iloc[0]), "k": k, "upto": bounds[k], "next": np.where(k < n, lengths[np.minimum(k, n - 1)], -1), "closed": closed[k], "fill": left[k]})
+    most = min(int(np.searchsorted(bounds, room, side="left")), n)  # no batch with a document has all the room left
+    return Steps(bounds[:most].copy(), closed[:most] + 1, left[:most].copy(), int(bounds[n]) if bounds[n] <= room else -1)
+
+
+FUNCTIONS = "node long, starts array<long>, inc array<long>, fill array<long>, total long"
+
+
+def _functions(pdf: pd.DataFrame) -> list[tuple[int, Steps]]:
+    """(node, function) of rows, in order of nodes."""
+    pdf = pdf.sort_values("node")
+    arrays = lambda c: [np.asarray(x, np.int64) for x in pdf[c]]
+    return list(zip(pdf["node"].tolist(), map(Steps, arrays("starts"), arrays("inc"), arrays("fill"), pdf["total"].tolist())))
+
+
+def _row(node: int, f: Steps) -> pd.DataFrame:
+    return pd.DataFrame({"node": [node], "starts": [f.starts], "inc": [f.inc], "fill": [f.fill], "total": [f.total]})
+
+
+def _composed(pdf: pd.DataFrame, room: int) -> pd.DataFrame:
+    """A parent's function, of its children's."""
+    functions = _functions(pdf)
+    return _row(int(pdf["parent"].iloc[0]), reduce(lambda f, g: f.then(g, room), (f for _, f in functions)))
+
+
+def _passed(pdf: pd.DataFrame, room: int) -> pd.DataFrame:
+    """Children's states, of their functions and the parent's state."""
+    fill, batch, out = int(pdf["begun_fill"].iloc[0]), int(pdf["begun_batch"].iloc[0]), []
+    for node, f in _functions(pdf):
+        out.append((node, fill, batch))
+        inc, fill = f.apply(fill, room)
+        batch += inc
+    return pd.DataFrame(out, columns=["node", "fill", "batch"])
+
+
+def _kept(rows: DataFrame, schema: str, label: str) -> DataFrame:
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def _number(pdf: pd.DataFrame, room: int) -> pd.DataFrame:
@@ -82,19 +155,23 @@ def _through(lengths: np.ndarray, fill: int, room: int) -> tuple[int, int]:
     return closed, int(bounds[n] - bounds[begun])
 
 
-def _chain_tables(rows: DataFrame, room: int) -> list[tuple[int, int, int]]:
-    """(chunk, fill, batch) at each chunk's begin, from tables of all chunks."""
-    tables = rows.groupBy("chunk").applyInPandas(lambda pdf: _table(pdf, room), "chunk long, k long, upto long, next long, closed long, fill long").toPandas()
-    states, fill, batch = [], 0, 0
-    for number, t in tables.sort_values(["chunk", "k"]).groupby("chunk", sort=True):
-        states.append((int(number), fill, batch))
-        row = t.iloc[max(0, int(np.searchsorted(t["upto"].to_numpy(), room - fill, side="right") - 1)) if fill else 0]
-        if fill and row["next"] < 0:  # the whole chunk fits the open batch
-            fill += int(row["upto"])
-        else:
-            batch += int(row["closed"]) + (1 if fill else 0)
-            fill = int(row["fill"])
-    return states
+def _chain_tree(rows: DataFrame, room: int, chunks: int, fan: int = FAN) -> DataFrame:
+    """(chunk, fill, batch) at each chunk's begin. Before the first, a full batch numbered -1 is open, which is to say none."""
+    one = lambda pdf: _row(int(pdf["chunk"].iloc[0]), _steps(pdf.sort_values("ord")["n"].to_numpy(np.int64), room))
+    level = rows.groupBy("chunk").applyInPandas(one, FUNCTIONS)
+    parent = F.call_function("div", F.col("node"), F.lit(fan))
+    levels, nodes = [], chunks
+    while nodes > fan:
+        levels.append(_kept(level, FUNCTIONS, "steps"))
+        level = levels[-1].withColumn("parent", parent).groupBy("parent").applyInPandas(lambda pdf: _composed(pdf, room), FUNCTIONS)
+        nodes = -(-nodes // fan)
+    down = lambda pdf: _passed(pdf, room)
+    state = "node long, fill long, batch long"
+    states = level.withColumns({"begun_fill": F.lit(room).cast("long"), "begun_batch": F.lit(-1).cast("long"), "parent": F.lit(0)}).groupBy("parent").applyInPandas(down, state)
+    for below in reversed(levels):
+        begun = states.select(F.col("node").alias("parent"), F.col("fill").alias("begun_fill"), F.col("batch").alias("begun_batch"))
+        states = below.withColumn("parent", parent).join(begun, "parent").groupBy("parent").applyInPandas(down, state)
+    return states.select(F.col("node").alias("chunk"), "fill", "batch")
 
 
 def _chain_totals(rows: DataFrame, room: int, totals: list[tuple[int, int]], at_once: int = FETCHED) -> list[tuple[int, int, int]]:
@@ -142,10 +219,12 @@ def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int
     n = F.when(n <= 0, F.raise_error(F.lit("a document has no token"))).otherwise(n)
     rows = lengths.select(F.col("ord").cast("long").alias("ord"), n.alias("n"), F.floor(F.col("ord") / chunk).cast("long").alias("chunk"))
     rows = _written(rows)
-    totals = sorted((r["chunk"], r["t"]) for r in rows.groupBy("chunk").agg(F.sum("n").alias("t")).collect())
-    wide = room * len(totals) > sum(t for _, t in totals) // 8
-    states = (_chain_totals(rows, room, totals) if wide else _chain_tables(rows, room)) or [(0, 0, 0)]
-    started = rows.sparkSession.createDataFrame(states, "chunk long, fill long, batch long")
+    chunks, total = rows.agg(F.coalesce(F.max("chunk") + 1, F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if room * chunks > total // 8:  # a batch holds a good part of a chunk, or several
+        totals = sorted((r["chunk"], r["t"]) for r in rows.groupBy("chunk").agg(F.sum("n").alias("t")).collect())
+        started = rows.sparkSession.createDataFrame(_chain_totals(rows, room, totals) or [(0, 0, 0)], "chunk long, fill long, batch long")
+    else:
+        started = _chain_tree(rows, room, chunks)
     return rows.join(started, "chunk").groupBy("chunk").applyInPandas(lambda pdf: _number(pdf, room), "ord long, n long, batch long")
 
 

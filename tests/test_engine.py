@@ -57,8 +57,30 @@ def test_both_ways_of_chaining_chunks(spark):
         lengths = [rng.randint(1, top) for _ in range(150)]
         rows = spark.createDataFrame([(i, n, i // 10) for i, n in enumerate(lengths)], "ord long, n long, chunk long")
         totals = [(c, sum(lengths[10 * c : 10 * c + 10])) for c in range(15)]
-        tables = packing._chain_tables(rows, room)
-        assert tables == packing._chain_totals(rows, room, totals) == packing._chain_totals(rows, room, totals, at_once=2)
+        want = packing._chain_totals(rows, room, totals)
+        assert want == packing._chain_totals(rows, room, totals, at_once=2)
+        for fan in (64, 3):
+            got = sorted((c, *((0, 0) if batch < 0 else (fill, batch))) for c, fill, batch in packing._chain_tree(rows, room, 15, fan).collect())
+            assert got == want
+
+
+def test_functions_compose():
+    """Any cut of a row of documents into functions, composed in any order, does what the row does, from any fill."""
+    rng = random.Random(8)
+    for _ in range(200):
+        room = rng.randint(1, 30)
+        lengths = [rng.randint(1, rng.choice([3, 9, 40])) for _ in range(rng.randint(1, 25))]
+        cuts = sorted({0, len(lengths), *(rng.randint(0, len(lengths)) for _ in range(4))})
+        parts = [packing._steps(np.array(lengths[a:b]), room) for a, b in zip(cuts, cuts[1:])]
+        while len(parts) > 1:
+            i = rng.randrange(len(parts) - 1)
+            parts[i : i + 2] = [parts[i].then(parts[i + 1], room)]
+        for fill in range(1, room + 20):
+            used, begun = fill, 0
+            for n in lengths:
+                begun, used = (begun, used + n) if used + n <= room else (begun + 1, n)
+            assert parts[0].apply(fill, room) == (begun, used), (lengths, cuts, room, fill)
+        assert len(parts[0].starts) <= room
 
 
 def test_oversized_and_empty_documents_are_refused(spark):
