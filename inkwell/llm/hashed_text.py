@@ -25,8 +25,6 @@ BITS = 22
 SAMPLE_ROWS = 12_000
 #: Rows of the sample that a kept slot is in, at least.
 LEAST_ROWS = 3
-#: The penalty on a slot's weight, in standard errors of its slope where weights are zero.
-PENALTY = 2.5
 #: Entries of the sample that a step over it takes at once; bounds memory, not results.
 ENTRIES_AT_ONCE = 1 << 20
 #: Entries of a worker's table of tokens before it is emptied; bounds memory, not results.
@@ -155,6 +153,18 @@ class Sample:
         self.matrix = Matrix(row[kept], column[kept], values, len(self.labels), len(self.slots))
 
 
+    def rows(self, chosen: np.ndarray) -> Sample:
+        """The sample of these rows alone, with the same slots; for cross-validation."""
+        out = object.__new__(Sample)
+        out.labels, out.slots = self.labels[chosen], self.slots
+        at = np.full(len(self.labels), -1, np.int32)
+        at[chosen] = np.arange(len(chosen), dtype=np.int32)
+        m = self.matrix
+        kept = at[m.row] >= 0
+        out.matrix = Matrix(at[m.row[kept]], m.column[kept], m.value[kept], len(chosen), m.k)
+        return out
+
+
 class Matrix:
     """A sparse matrix by row: entries (row, column, value), rows in order."""
 
@@ -211,11 +221,11 @@ def null_thresholds(grade: np.ndarray, cuts: int) -> np.ndarray:
     return np.log(share / (1 - share))
 
 
-def sparse_weights(matrix: Matrix, grade: np.ndarray, cuts: int, penalty: float = PENALTY, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def sparse_weights(matrix: Matrix, grade: np.ndarray, cuts: int, penalty: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of a cumulative-link model (logistic with one cut) over all columns, most weights zero.
 
     Minus the log likelihood and a penalty on absolute weights, by accelerated proximal
-    steps. A column's penalty is in proportion to the standard error of its slope where all
+    steps. A column's penalty is ``penalty`` times the standard error of its slope where all
     weights are zero, so a weight leaves zero if what the others leave unexplained asks for it.
     """
     n, thresholds = matrix.n, null_thresholds(grade, cuts)

@@ -5,8 +5,10 @@ weights of these terms, and for each pair of them the product of their factor ve
 pairs such as an insult beside a group count beyond the sum of the two. The machine is
 fitted on a bounded sample of labelled rows (``hashed_text.SAMPLE_ROWS``) on the driver, in three
 steps: sparse weights over all slots that enough rows have; of what these leave unexplained, the
-pairs among the ``PAIR_SLOTS`` most frequent slots that stand out by ``PAIR_Z`` standard errors,
-whatever either term does alone; and the machine over the terms with a weight or a pair.
+pairs of slots that stand out by ``PAIR_Z`` standard errors, whatever either term does alone; and
+the machine over the terms with a weight or a pair. A pair's standard error is the greater of that by its rows'
+errors and that by the model, so it can't stand out by more than the root of its rows: slots in
+``PAIR_Z`` squared rows or fewer have no such pair, and all others are looked at, in blocks.
 Scoring is one narrow stage over whole texts.
 
 Defined cases: a null or empty text has no terms and scores the bias alone, as does a text
@@ -33,10 +35,12 @@ from inkwell.llm.shared import table, trim
 
 FACTORS = 8
 THRESHOLD = 0.3
-#: The most frequent slots, among which pairs are looked at that the terms alone don't explain.
-PAIR_SLOTS = 2048
-#: Standard errors by which such a pair stands out, at least.
+#: The penalty on a slot's weight, in standard errors of its slope where weights are zero. Chosen by cross-validation on rows that aren't held out.
+PENALTY = 4.0
+#: Standard errors by which a pair stands out that the terms alone don't explain, at least.
 PAIR_Z = 8.0
+#: Columns, and rows, of a block in the search for pairs; bounds memory, not results.
+PAIR_COLUMNS, PAIR_ROWS = 512, 500
 
 
 @dataclass
@@ -55,37 +59,45 @@ class Machine:
         return float(sigmoid(logit))
 
 
-def outstanding_pairs(matrix: Matrix, error: np.ndarray, most: int = PAIR_SLOTS, least_z: float = PAIR_Z, block: int = 1000) -> np.ndarray:
-    """Columns, among the most frequent ones, whose joint presence goes with the error of a model by ``least_z`` standard errors."""
+def outstanding_pairs(matrix: Matrix, error: np.ndarray, variance: np.ndarray, least_z: float = PAIR_Z) -> np.ndarray:
+    """Columns whose joint presence with another goes with the error of a model by more than ``least_z`` standard errors.
+
+    error: a row's label less the model's probability; variance: that probability's own.
+    """
     frequency = np.bincount(matrix.column, minlength=matrix.k)
-    top = np.sort(np.argsort(-frequency, kind="stable")[:most])
-    x = matrix.only(top)
-    share = (frequency[top] / max(1, matrix.n)).astype(np.float32)
-    total, spread = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
-    bounds = np.searchsorted(x.row, np.arange(0, matrix.n + block, block))
-    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        rows = min(block, matrix.n - i * block)
-        there = np.zeros((max(0, rows), len(top)), np.float32)
-        there[x.row[a:b] - i * block, x.column[a:b]] = 1
-        there -= share
-        by = error[i * block : i * block + len(there), None].astype(np.float32)
-        total += there.T @ (there * by)
-        there *= there
-        spread += there.T @ (there * by**2)
-    z = np.abs(total) / np.sqrt(np.maximum(spread, 1e-6))
-    np.fill_diagonal(z, 0)
-    return top[z.max(1, initial=0) > least_z]
-
-
-def fit(sample: Sample, factors: int = FACTORS, steps: int = 800, rate: float = 0.03, decay: float = 3e-4, batch: int = 512, seed: int = 7) -> Machine:
+    able = np.flatnonzero(frequency > least_z * least_z)
+    x, n = matrix.only(able), len(able)
+    bounds = np.searchsorted(x.row, np.arange(0, matrix.n + PAIR_ROWS, PAIR_ROWS))
+    weights = [np.asarray(w, np.float32) for w in (error, error * error, variance)]
+    out = np.zeros(n, bool)
+    for lo in range(0, n, PAIR_COLUMNS):
+        hi = min(n, lo + PAIR_COLUMNS)
+        sums = [np.zeros((hi - lo, n - lo), np.float32) for _ in weights]  # a pair is looked at once
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            first = i * PAIR_ROWS
+            there = np.zeros((min(PAIR_ROWS, matrix.n - first), n - lo), np.float32)
+            after = x.column[a:b] >= lo
+            there[x.row[a:b][after] - first, x.column[a:b][after] - lo] = 1
+            own = there[:, : hi - lo].T
+            for held, w in zip(sums, weights):
+                held += (own * w[first : first + len(there)]) @ there
+        z = np.abs(sums[0]) / np.sqrt(np.maximum(np.maximum(sums[1], sums[2]), 1e-6))
+        z[np.arange(hi - lo), np.arange(hi - lo)] = 0
+        far = z > least_z
+        out[lo:hi] |= far.any(1)
+        out[lo:] |= far.any(0)
+    return able[out]
+
+
+def fit(sample: Sample, factors: int = FACTORS, steps: int = 800, rate: float = 0.03, decay: float = 3e-4, batch: int = 512, seed: int = 7, penalty: float = PENALTY, pair_z: float = PAIR_Z) -> Machine:
     """Logistic loss: sparse over all kept slots, then by Adam over seeded batches with factors."""
     y = (sample.labels > 0).astype(float)
     n = len(y)
     if n == 0 or y.min() == y.max():
         return Machine(40.0 if n and y[0] else -40.0, np.zeros(0), np.zeros((0, factors)), np.zeros(0, np.int64))
-    weights, thresholds = sparse_weights(sample.matrix, y.astype(np.int64), 1)
-    error = y - sigmoid(sample.matrix.times(weights) - thresholds[0])
-    chosen = np.union1d(np.flatnonzero(weights), outstanding_pairs(sample.matrix, error))
+    weights, thresholds = sparse_weights(sample.matrix, y.astype(np.int64), 1, penalty)
+    p = sigmoid(sample.matrix.times(weights) - thresholds[0])
+    chosen = np.union1d(np.flatnonzero(weights), outstanding_pairs(sample.matrix, y - p, p * (1 - p), pair_z))
     x = sample.matrix.only(chosen)
     row, column, kept = x.row, x.column.astype(np.int64), sample.slots[chosen]
     bounds = np.searchsorted(row, np.arange(n + 1))

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from inkwell.llm import quality, toxicity
-from inkwell.llm.hashed_text import Matrix, null_thresholds, slopes, slot, sparse_weights
+from inkwell.llm.hashed_text import REPEAT, Matrix, Sample, null_thresholds, slopes, slot, sparse_weights, style_terms, word_terms
 
 DOCS, LABELS = "doc_id long, text string, score string", "doc_id long, quality int, toxic int"
 
@@ -195,3 +195,77 @@ def test_nulls_and_other_columns_in_filters(spark):
     graded = {(r["k"], r["selected"]) for r in quality.grade(odd, grader, "k", "body").collect()}
     kept = quality.keep_selected(odd, grader, "body")
     assert kept.columns == odd.columns and {r["k"] for r in kept.collect()} == {k for k, s in graded if s}
+
+
+def test_a_pair_among_thousands_of_more_frequent_terms():
+    """Labels are the exclusive-or of two terms, rarer than 5,000 others: neither has a weight, and no rank by frequency finds them."""
+    rng = np.random.default_rng(5)
+    n, others = 3000, 5000
+    planted = rng.random((n, 2)) < 0.45
+    there = np.concatenate([rng.random((n, others)) < 0.5, planted], axis=1)
+    row, column = np.nonzero(there)
+    sample = object.__new__(Sample)
+    sample.labels, sample.slots = (planted[:, 0] ^ planted[:, 1]).astype(np.int64), np.arange(others + 2)
+    sample.matrix = Matrix(row.astype(np.int32), column.astype(np.int32), np.ones(len(row), np.float32), n, others + 2)
+    learned, rest = np.arange(0, 2000), np.arange(2000, n)
+    machine = toxicity.fit(sample.rows(learned), steps=600)
+    assert {others, others + 1} <= set(machine.kept.tolist()) and len(machine.kept) < 400
+    scores = np.array([machine.score(np.flatnonzero(there[i][machine.kept]).tolist()) for i in rest])
+    assert auc(scores, sample.labels[rest]) > 0.95
+
+
+def test_pairs_in_blocks_are_those_of_all(monkeypatch):
+    rng = np.random.default_rng(6)
+    there = rng.random((300, 40)) < 0.6
+    error = np.where(there[:, 3] & there[:, 31], 0.9, -0.1) * rng.random(300)
+    row, column = np.nonzero(there)
+    matrix, variance = Matrix(row, column, np.ones(len(row)), 300, 40), np.full(300, 0.05)
+    x = there.astype(float)
+    z = np.abs(x.T @ (x * error[:, None])) / np.sqrt(np.maximum(x.T @ (x * error[:, None] ** 2), x.T @ (x * variance[:, None])))
+    np.fill_diagonal(z, 0)
+    for least in (3.0, 5.0, 7.0):
+        want = np.flatnonzero(z.max(1) > least).tolist()
+        for columns, rows in ((512, 500), (7, 64)):
+            monkeypatch.setattr(toxicity, "PAIR_COLUMNS", columns)
+            monkeypatch.setattr(toxicity, "PAIR_ROWS", rows)
+            assert toxicity.outstanding_pairs(matrix, error, variance, least).tolist() == want
+    assert {3, 31} <= set(want)
+
+
+def registered(spark, folder, name):
+    import __spark_entry__ as entry
+
+    return {r["doc_id"]: r for r in entry.queries()[name](spark, folder).collect()}
+
+
+def test_toxicity_query_against_explicit_pairs(spark, small):
+    """Every score of the registered query, by sums over all pairs of a text's terms."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.learn(docs, labels)
+    at = {int(s): k for k, s in enumerate(machine.kept)}
+    got = registered(spark, small, "op7_toxicity")
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for i, text in rows:
+        found = sorted({at[s] for token in (text or "").split() for s in word_terms(token) if s in at})
+        logit = machine.bias + sum(machine.weights[k] for k in found) + sum(machine.factors[a] @ machine.factors[b] for n, a in enumerate(found) for b in found[n + 1 :])
+        score = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
+        assert abs(got[i]["score"] - score) < 1e-9 and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_quality_query_against_explicit_sums(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    grader = quality.learn(docs, labels)
+    at = {int(s): k for k, s in enumerate(grader.kept)}
+    got = registered(spark, small, "op2_quality")
+    for i, text in docs.select("doc_id", "text").collect():
+        tokens, counts = (text or "").split(), {}
+        for k, token in enumerate(tokens):
+            for s in style_terms(token) | ({REPEAT} if k and tokens[k - 1] == token else set()):
+                counts[s] = counts.get(s, 0) + 1
+        scale = sum(grader.weights[at[s]] * np.sqrt(n / len(tokens)) for s, n in counts.items() if s in at)
+        tails = [1 / (1 + np.exp(-np.clip(scale - t, -35, 35))) for t in grader.thresholds]
+        expected = grader.grades[0] + sum(p * d for p, d in zip(tails, np.diff(grader.grades)))
+        assert abs(got[i]["expected_grade"] - expected) < 1e-9 and abs(got[i]["tail_probability"] - tails[0]) < 1e-9
+        assert got[i]["selected"] == (got[i]["tail_probability"] >= 0.5)
