@@ -96,18 +96,31 @@ def test_main_path_is_native(spark, small):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_short_texts_have_their_true_likeness(spark, tmp_path):
+def shingles(text):
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_short_texts_have_their_true_likeness_at_scale_1(spark):
     rng = random.Random(10)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 24))), "") for i in range(200)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in registry.queries()["op9_sketches"](spark, str(tmp_path)).collect()}
-
-    def shingles(text):
-        found = text.split()
-        return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))}
-
+    near = sketches.likeness("sketch", "whole", "edited_sketch", "edited_whole").alias("near_edited")
+    got = {r["doc_id"]: r for r in sketches.edited(spark.createDataFrame(rows, SCHEMA), scale=1).select("doc_id", "sketch", near).collect()}
     for i, text, _ in rows:
         q = len(text) // 4
         a, b = shingles(text), shingles(text[: len(text) - q] + rows[(i + 1) % len(rows)][1][:q])
-        assert not got[i]["fingerprint"].endswith(":") and got[i]["near_edited"] == len(a & b) / len(a | b)
+        assert got[i]["sketch"] and got[i]["near_edited"] == len(a & b) / len(a | b)
+
+
+def test_error_of_the_estimate(spark, small):
+    """Over whole documents: the estimate's root mean square error against all shingles, and half of the hashes kept."""
+    rows = sorted(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in registry.queries()["op9_sketches"](spark, small).collect()}
+    off, kept, every = [], 0, 0
+    for k, (i, text) in enumerate(rows):
+        q, following = len(text) // 4, rows[(k + 1) % len(rows)][1]
+        a, b = shingles(text), shingles(text[: len(text) - q] + following[:q])
+        off.append((got[i]["near_edited"] - len(a & b) / len(a | b)) ** 2)
+        kept, every = kept + len(got[i]["fingerprint"]) // 16 - 1, every + len(a)
+    assert (sum(off) / len(off)) ** 0.5 <= 0.06 and 0.48 < kept / every < 0.52
