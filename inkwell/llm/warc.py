@@ -116,6 +116,8 @@ def write(captures: DataFrame, path: str, part_bytes: int = PART_BYTES, compress
 
 
 Header = tuple[str, str]
+#: Digits of a record's length, at most: archives are cells, of less than 2 GiB.
+LENGTH_DIGITS = 10
 
 
 def parse(data: bytes):
@@ -139,6 +141,8 @@ def parse(data: bytes):
             size = header(headers, "content-length")
             if size is None or not size.isdecimal():
                 raise ValueError(f"a record has the length {size!r}")
+            if len(size.lstrip("0")) > LENGTH_DIGITS:
+                raise ValueError(f"a record of {size[:40]} bytes is longer than an archive can be")
             block = stream.read(int(size))
             if len(block) != int(size):
                 raise ValueError("the archive ends inside a record")

@@ -131,6 +131,7 @@ def test_damaged_archives(spark, tmp_path):
     damaged = {
         "cut": good.replace(b"ok", b"o1") + record("response", "late", b"0123456789")[:-9],
         "length": good.replace(b"ok", b"o2") + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nx\r\n\r\n" + good.replace(b"ok", b"unread"),
+        "huge": good.replace(b"ok", b"o4") + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + b"9" * 23 + b"\r\n\r\nx\r\n\r\n",
         "noise": b"something else\r\n",
         "header": b"WARC/1.1\r\nno header\r\n\r\n",
         "anonymous": record("response", None) + good.replace(b"ok", b"o3"),
@@ -140,9 +141,9 @@ def test_damaged_archives(spark, tmp_path):
     for name, data in damaged.items():
         (tmp_path / f"{name}.warc").write_bytes(data)
     rows = warc.read(spark, str(tmp_path)).collect()
-    assert sorted(r["record_id"] for r in rows if r["record_id"]) == ["<o1>", "<o2>", "<o3>"]
-    assert sum(r["damage"] is not None for r in rows) == 6 and all((r["damage"] is None) != (r["record_id"] is None) for r in rows)
-    assert found(spark, tmp_path) == [("<o1>", "response", []), ("<o2>", "response", []), ("<o3>", "response", [])]
+    assert sorted(r["record_id"] for r in rows if r["record_id"]) == ["<o1>", "<o2>", "<o3>", "<o4>"]
+    assert sum(r["damage"] is not None for r in rows) == 7 and all((r["damage"] is None) != (r["record_id"] is None) for r in rows)
+    assert found(spark, tmp_path) == [("<o1>", "response", []), ("<o2>", "response", []), ("<o3>", "response", []), ("<o4>", "response", [])]
 
 
 def test_a_long_payload(spark):
