@@ -155,8 +155,9 @@ def _through(lengths: np.ndarray, fill: int, room: int) -> tuple[int, int]:
     return closed, int(bounds[n] - bounds[begun])
 
 
-def _chain_tree(rows: DataFrame, room: int, chunks: int, fan: int = FAN) -> DataFrame:
-    """(chunk, fill, batch) at each chunk's begin. Before the first, a full batch numbered -1 is open, which is to say none."""
+def _chain_tree(rows: DataFrame, room: int, chunks: int, fan: int = FAN, begun: tuple[int, int] = (0, 0)) -> DataFrame:
+    """(chunk, fill, batch) at each chunk's begin. Where no batch is open before the first, a full one of the number before is, which comes to the same."""
+    fill, batch = begun if begun[0] else (room, begun[1] - 1)
     one = lambda pdf: _row(int(pdf["chunk"].iloc[0]), _steps(pdf.sort_values("ord")["n"].to_numpy(np.int64), room))
     level = rows.groupBy("chunk").applyInPandas(one, FUNCTIONS)
     parent = F.call_function("div", F.col("node"), F.lit(fan))
@@ -167,16 +168,16 @@ def _chain_tree(rows: DataFrame, room: int, chunks: int, fan: int = FAN) -> Data
         nodes = -(-nodes // fan)
     down = lambda pdf: _passed(pdf, room)
     state = "node long, fill long, batch long"
-    states = level.withColumns({"begun_fill": F.lit(room).cast("long"), "begun_batch": F.lit(-1).cast("long"), "parent": F.lit(0)}).groupBy("parent").applyInPandas(down, state)
+    states = level.withColumns({"begun_fill": F.lit(fill).cast("long"), "begun_batch": F.lit(batch).cast("long"), "parent": F.lit(0)}).groupBy("parent").applyInPandas(down, state)
     for below in reversed(levels):
         begun = states.select(F.col("node").alias("parent"), F.col("fill").alias("begun_fill"), F.col("batch").alias("begun_batch"))
         states = below.withColumn("parent", parent).join(begun, "parent").groupBy("parent").applyInPandas(down, state)
     return states.select(F.col("node").alias("chunk"), "fill", "batch")
 
 
-def _chain_totals(rows: DataFrame, room: int, totals: list[tuple[int, int]], at_once: int = FETCHED) -> list[tuple[int, int, int]]:
+def _chain_totals(rows: DataFrame, room: int, totals: list[tuple[int, int]], at_once: int = FETCHED, begun: tuple[int, int] = (0, 0)) -> list[tuple[int, int, int]]:
     """The same from the chunks' totals, and the lengths of chunks in which a batch ends."""
-    states, fill, batch, held = [], 0, 0, {}
+    states, (fill, batch), held = [], begun, {}
     for i, (number, total) in enumerate(totals):
         states.append((number, fill, batch))
         if fill + total <= room:
@@ -205,11 +206,11 @@ def _written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema("ord long, n long, chunk long").parquet(path)
 
 
-def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int = CHUNK) -> DataFrame:
+def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int = CHUNK, begun: tuple[int, int] = (0, 0)) -> DataFrame:
     """(ord, n, batch) for documents (ord, n) numbered from 0 without gaps; batches are numbered from 0.
 
     oversized: a document longer than the room fails the query ("raise"), or is a batch alone
-    ("alone").
+    ("alone"). begun: (fill, number) of a batch that earlier documents have opened.
     """
     if room <= 0:
         raise ValueError("the room must be positive")
@@ -222,9 +223,9 @@ def next_fit(lengths: DataFrame, room: int, oversized: str = "raise", chunk: int
     chunks, total = rows.agg(F.coalesce(F.max("chunk") + 1, F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if room * chunks > total // 8:  # a batch holds a good part of a chunk, or several
         totals = sorted((r["chunk"], r["t"]) for r in rows.groupBy("chunk").agg(F.sum("n").alias("t")).collect())
-        started = rows.sparkSession.createDataFrame(_chain_totals(rows, room, totals) or [(0, 0, 0)], "chunk long, fill long, batch long")
+        started = rows.sparkSession.createDataFrame(_chain_totals(rows, room, totals, begun=begun) or [(0, *begun)], "chunk long, fill long, batch long")
     else:
-        started = _chain_tree(rows, room, chunks)
+        started = _chain_tree(rows, room, chunks, begun=begun)
     return rows.join(started, "chunk").groupBy("chunk").applyInPandas(lambda pdf: _number(pdf, room), "ord long, n long, batch long")
 
 

@@ -21,6 +21,7 @@ from inkwell.operators import routing as E
 from inkwell.plans import build
 from inkwell.session import scratch
 from inkwell.sources import documents as S
+from inkwell.streaming.packing import pack_incrementally, read_packed
 
 #: Positions of a batch, at least: as many as the longest document needs if that is more, since a whole document is never cut or left out.
 WINDOW = 49_152
@@ -132,10 +133,17 @@ def byte_roundtrip(spark, sf_dir):
 
 
 @_query("""
-WITH b AS (SELECT unnest(range(256)) AS byte), s AS (SELECT byte, (byte BETWEEN 33 AND 126 OR byte BETWEEN 161 AND 172 OR byte >= 174) AS shown FROM b)
-SELECT byte, CASE WHEN shown THEN byte ELSE 255 + sum(CASE WHEN shown THEN 0 ELSE 1 END) OVER (ORDER BY byte) END::BIGINT AS code_point FROM s""")
+WITH b AS (SELECT unnest(range(256)) AS byte), s AS (SELECT byte, (byte BETWEEN 33 AND 126 OR byte BETWEEN 161 AND 172 OR byte >= 174) AS shown FROM b),
+a AS (SELECT byte, CASE WHEN shown THEN byte ELSE 255 + sum(CASE WHEN shown THEN 0 ELSE 1 END) OVER (ORDER BY byte) END::BIGINT AS code_point FROM s),
+h AS (SELECT hex(encode(text)) AS h, strlen(text) AS n FROM documents),
+t AS (SELECT CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) AS byte FROM h, LATERAL (SELECT unnest(generate_series(0, n - 1)) AS i)),
+c AS (SELECT byte, count(*) AS n FROM t GROUP BY byte)
+SELECT byte, code_point, coalesce(n, 0) AS n FROM a LEFT JOIN c USING (byte)""")
 def byte_alphabet(spark, sf_dir):
-    return spark.createDataFrame(list(X.byte_alphabet()), "byte long, code_point long")
+    """How often each byte is in the documents, beside its printable stand-in."""
+    alphabet = spark.createDataFrame(list(X.byte_alphabet()), "byte long, code_point long")
+    counts = byte_histogram(spark, sf_dir).select(F.col("token").alias("byte"), "n")
+    return alphabet.join(counts, "byte", "left").select("byte", "code_point", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _public_bpe():
@@ -532,15 +540,24 @@ def bijection_order(spark, sf_dir):
     return O.bijection_order(_documents(spark, sf_dir).select("ord"), 0)
 
 
-@_query("""WITH s AS (SELECT unnest(range(2000)) AS step) SELECT CAST(step AS BIGINT) AS step, round(CASE WHEN step < 40 THEN (step + 1) / 40.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (step - 40) / 1960.0))) END, 6) AS scale FROM s""")
+STEPS = f"{PACKED}, run AS (SELECT count(*) AS total, greatest(10, CAST(ceil(CAST(0.02 AS DOUBLE) * count(*)) AS BIGINT)) AS warmup FROM plan)"
+
+
+@_query(f"""{STEPS} SELECT CAST(batch AS BIGINT) AS step, round(CASE WHEN batch < warmup THEN (batch + 1) / CAST(warmup AS DOUBLE)
+ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (batch - warmup) / CAST(greatest(1, total - warmup) AS DOUBLE)))) END, 6) AS scale FROM plan, run""")
 def lr_schedule(spark, sf_dir):
-    total, warmup, _ = schedules.resolve_schedule(2000)
-    return spark.range(2000).select(F.col("id").alias("step"), F.round(schedules.learning_rate(F.col("id"), warmup, total, 0.1), 6).alias("scale"))
+    """Of a run with a step for each packed batch of the documents."""
+    plan = P.batches(_placed(spark, sf_dir)[0])
+    total, warmup, _ = schedules.resolve_schedule(plan.count())
+    return plan.select(F.col("batch").alias("step"), F.round(schedules.learning_rate(F.col("batch"), warmup, total, 0.1), 6).alias("scale"))
 
 
-@_query("SELECT CAST(step AS BIGINT) AS step FROM (SELECT unnest(range(1, 2068)) AS step) WHERE step = 1 OR step % 50 = 0 OR step = 2067")
+@_query(f"{STEPS} SELECT CAST(batch + 1 AS BIGINT) AS step, CAST(real_tokens AS BIGINT) AS tokens FROM plan, run WHERE batch = 0 OR (batch + 1) % 5 = 0 OR batch + 1 = total")
 def logged_steps(spark, sf_dir):
-    return spark.range(1, 2068).select(F.col("id").alias("step")).where(schedules.is_logged(F.col("step"), 50, 2067))
+    """Steps of such a run, from 1, that are logged: the first, each fifth and the last."""
+    plan = P.batches(_placed(spark, sf_dir)[0])
+    steps = plan.select((F.col("batch") + 1).alias("step"), F.col("real_tokens").alias("tokens"))
+    return steps.where(schedules.is_logged(F.col("step"), 5, plan.count()))
 
 
 # Metrics
@@ -697,7 +714,18 @@ def silu_values(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.round(E.silu(F.col("value")), 6).alias("silu"))
 
 
-# Builds
+# Streams and builds
+
+
+@_query(f"{PACKED} SELECT ord, n, CAST(batch AS BIGINT) AS batch FROM packed")
+def streamed_packing(spark, sf_dir):
+    """Documents that arrive in three parts, packed as they come."""
+    lengths, window = _lengths(spark, sf_dir)
+    folder, n = scratch(spark, "arrivals"), lengths.count()
+    for k in range(3):
+        lengths.where((F.col("ord") * 3 >= k * n) & (F.col("ord") * 3 < (k + 1) * n)).write.mode("append").parquet(f"{folder}/lengths")
+        pack_incrementally(spark, f"{folder}/lengths", f"{folder}/packed", f"{folder}/state", window)
+    return read_packed(spark, f"{folder}/packed")
 
 
 @_query(f"""WITH {DOCS} SELECT ord, CAST(n + 1 AS BIGINT) AS n_tokens, n_bytes FROM (SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, n, n_bytes FROM docs WHERE n_bytes <= {BYTE_LIMIT})""")

@@ -254,6 +254,9 @@ def test_incremental_build(spark, tmp_path):
 def test_schedules(spark):
     assert schedules.resolve_schedule(900) == (900, 18, 45) and schedules.resolve_schedule(30) == (30, 10, 2)
     assert schedules.resolve_schedule(90, 40_001, 0.001, val_every=7) == (40_001, 41, 7)
+    for bad in (0, 89, -1):
+        with pytest.raises(ValueError, match="horizon"):
+            schedules.resolve_schedule(90, bad)
     assert schedules.resolve_steps(17, None) == 17 and schedules.resolve_steps(17, 17) == 17
     for bad in (lambda: schedules.resolve_steps(5, 6), lambda: schedules.resolve_steps(0, None), lambda: schedules.resolve_steps(5, 0), lambda: schedules.resolve_schedule(10, 5), lambda: schedules.resolve_schedule(0), lambda: schedules.resolve_schedule(9, val_frac=0.0), lambda: schedules.resolve_schedule(9, val_every=0), lambda: schedules.resolve_schedule(9, warmup_frac=-0.1)):
         with pytest.raises(ValueError):
@@ -495,13 +498,15 @@ def test_metrics_log_goes_on_where_it_stopped(spark, tmp_path):
 def test_byte_tokenizer_file(tmp_path):
     from tokenizers import Tokenizer
 
-    from inkwell.functions.tokenize import byte_tokenizer_json, trailing_specials
+    from inkwell.functions.tokenize import BYTE_SPECIALS, byte_tokenizer_json
 
     library = Tokenizer.from_str(json.dumps(byte_tokenizer_json()))
-    assert trailing_specials(library) == (X.BOS, X.EOS, X.PAD)
+    assert [library.token_to_id(name) for name in BYTE_SPECIALS] == [X.BOS, X.EOS, X.PAD] and library.get_vocab_size() == X.BYTE_VOCABULARY
+    assert library.encode("a<eos>").ids == [X.BOS, 97, X.EOS] and library.encode("a", "b").ids == [X.BOS, 97, X.BOS, 98]
     library.encode_special_tokens = True
     for text in corpus(40):
-        assert library.encode(text).ids == list(text.encode()) and library.decode(library.encode(text).ids) == text
+        assert library.encode(text).ids == [X.BOS, *text.encode()] and library.decode(library.encode(text).ids) == text
+        assert library.encode(text, add_special_tokens=False).ids == list(text.encode())
 
 
 def test_loss_positions(spark):
