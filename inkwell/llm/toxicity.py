@@ -7,8 +7,9 @@ fitted on a bounded sample of labelled rows (``hashed_text.SAMPLE_ROWS``) on the
 steps: sparse weights over all slots that enough rows have; of what these leave unexplained, the
 pairs of slots that stand out by ``PAIR_Z`` standard errors, whatever either term does alone; and
 the machine over the terms with a weight or a pair. A pair's standard error is the greater of that by its rows'
-errors and that by the model, so it can't stand out by more than the root of its rows: slots in
-``PAIR_Z`` squared rows or fewer have no such pair, and all others are looked at, in blocks.
+errors and that by the model. So it can stand out by no more than the root of its toxic rows on one side, and
+that of its clean rows' summed odds p / (1 - p) on the other: slots below both have no
+such pair, and all others are looked at, in blocks.
 Scoring is one narrow stage over whole texts.
 
 Defined cases: a null or empty text has no terms and scores the bias alone, as does a text
@@ -64,8 +65,10 @@ def outstanding_pairs(matrix: Matrix, error: np.ndarray, variance: np.ndarray, l
 
     error: a row's label less the model's probability; variance: that probability's own.
     """
-    frequency = np.bincount(matrix.column, minlength=matrix.k)
-    able = np.flatnonzero(frequency > least_z * least_z)
+    # (sum of e)^2 is at most the rows with e > 0 times the sum of e^2; and at most the sum of p (1 - p) times that of p / (1 - p), where e = -p
+    most = np.where(error > 0, 1.0, -error / np.maximum(1 + error, 1e-12))
+    ways = [np.bincount(matrix.column, (most * side)[matrix.row], matrix.k) for side in (error > 0, error <= 0)]
+    able = np.flatnonzero(np.maximum(*ways) > least_z * least_z)
     x, n = matrix.only(able), len(able)
     bounds = np.searchsorted(x.row, np.arange(0, matrix.n + PAIR_ROWS, PAIR_ROWS))
     weights = [np.asarray(w, np.float32) for w in (error, error * error, variance)]
