@@ -2,17 +2,19 @@
 
 A text's words (ASCII lower case, ended by ASCII white space) make five-word shingles; fewer
 words make one. Two texts link if the Jaccard index of their sets of shingle hashes is at least
-``LEAST``, which is worked out from all shingles of both. Candidates come from ``BANDS`` tables,
-each keyed by ``ROWS`` minimum hashes: two texts of Jaccard index j meet in none with a chance of
-(1 - j^ROWS)^BANDS, which is 0.00006 at 0.8 and less above. That is the share of links not seen.
+``LEAST``, which is worked out from all shingles of both. Candidates come from two families of
+tables. SimHash: the set's fingerprint of 64 bits, by the covering masks of ``simhash``, so that texts within
+``RADIUS`` bits always meet. Minimum hashes: ``BANDS`` tables, each keyed by ``ROWS`` of them; two texts of Jaccard
+index j meet in none of these with a chance of (1 - j^ROWS)^BANDS, which is 0.00006 at 0.8 and less
+above. That is the most of the links that may not be seen.
 
 Texts with equal sets are joined before any search. Buckets with the same members count once. A
 bucket of over ``BLOCK`` shingles is dealt out as pairs of blocks, each pair a bucket of its own;
 it yields a spanning forest of its links, never all pairs. Only texts of shared buckets have their
 sets sent there. Components of the forests are found by star contraction.
 
-SimHash (``simhash``) can't give this: five-word shingles at an index of 0.8 turn 10 of 64 bits, and
-so does a passage added to a text where single words make the fingerprint. The README has figures.
+SimHash alone can't give this: five-word shingles at an index of 0.8 turn 10 of 64 bits, beyond what
+covering masks of 64 bits reach. The README has figures.
 
 Defined cases: null and empty texts and those of white space only have the empty set and are
 copies of each other; a very long text has all its shingles, and its set is one value in a bucket;
@@ -34,11 +36,15 @@ from pyspark.sql import types as T
 
 from inkwell.llm.components import components
 from inkwell.llm.shared import materialize, passing, trim
+from inkwell.llm.simhash import covering_masks
 
 LEAST = 0.8
 WORDS = 5
 SEED = 42
 BANDS, ROWS = 32, 6
+#: Bits by which fingerprints may differ that the covering masks bring together.
+RADIUS = 4
+_MASKS = np.array(covering_masks(RADIUS), np.int64).view(np.uint64)
 #: Shingles that one block of a bucket has on average, at most.
 BLOCK = 1 << 19
 
@@ -71,10 +77,13 @@ def signature(found: np.ndarray) -> np.ndarray:
     head = np.array([xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED), len(found)], np.uint64)
     if not len(found):
         return head.view(np.int64)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    least, ones = np.full(BANDS * ROWS, ~np.uint64(0)), np.zeros(64, np.int64)
     for i in range(0, len(found), 2048):
-        np.minimum(least, ((found[i : i + 2048] ^ _FLIP) * _TIMES).min(1), out=least)
-    return np.concatenate([head, (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)]).view(np.int64)
+        some = found[i : i + 2048]
+        np.minimum(least, ((some ^ _FLIP) * _TIMES).min(1), out=least)
+        ones += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    printed = np.packbits(ones * 2 > len(found), bitorder="little").view("<u8").astype(np.uint64)
+    return np.concatenate([head, (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64), printed & _MASKS]).view(np.int64)
 
 
 def forest(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -174,7 +183,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     # rows that are equal in all columns tie up to their place in the written table, which tells them apart
     order = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "file", "at")
     by_set = rows.withColumn("fp", F.get("signature", F.lit(0))).groupBy("fp").agg(F.min(order).alias("first"), F.first("signature").alias("signature"))
-    keys = F.slice("signature", 3, BANDS)
+    keys = F.slice("signature", 3, BANDS + len(_MASKS))
     with passing(docs.sparkSession) as keep:
         distinct = materialize(by_set.select("fp", "first", F.get("signature", F.lit(1)).alias("size"), keys.alias("keys")), "distinct")
         texts = rows.select("file", "at", F.col("row").getField(text_column).cast("string").alias("text"))

@@ -60,3 +60,24 @@ def test_pipeline_stage_links_at_four_fifths(spark):
 
 def test_no_rows(spark):
     assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_close_fingerprints_always_meet():
+    """Sets whose majority bits differ in up to RADIUS bits share a SimHash table, whatever their minimum hashes."""
+    import numpy as np
+
+    from inkwell.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    tables = lambda s: near_copies.signature(np.sort(s))[2 + near_copies.BANDS :]
+    for flips in range(near_copies.RADIUS + 1):
+        for _ in range(40):
+            one = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+            bits = rng.choice(64, flips, replace=False)
+            other = one ^ np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64), initial=np.uint64(0))
+            a, b = tables(one), tables(other)
+            assert len(a) == len(near_copies._MASKS) and (a == b).any()
+    many = rng.integers(0, 1 << 63, 5001, dtype=np.uint64)
+    want = [sum(int(x) >> k & 1 for x in many) * 2 > len(many) for k in range(64)]
+    whole = sum(1 << k for k in range(64) if want[k])
+    assert tables(many).view(np.uint64).tolist() == [whole & int(m) for m in near_copies._MASKS]
