@@ -164,13 +164,20 @@ def batch_order(n_batches: int, data_seed: int | None) -> list[int]:
     return order
 
 
-def rank_schedule(spark: SparkSession, order: list[int], world: int, steps: int | None = None) -> DataFrame:
-    """(slot, step, rank, batch): batches dealt out to ranks in turn; fillers (-1) come after the shuffle and complete the last step."""
+def rank_schedule(spark: SparkSession, order: list[int] | int, world: int, steps: int | None = None) -> DataFrame:
+    """(slot, step, rank, batch): batches dealt out to ranks in turn; fillers (-1) come after the shuffle and complete the last step.
+
+    order: batches as they were shuffled, or how many there are where they stay in order, which needs no list.
+    """
     if world <= 0:
         raise ValueError("there is a rank at least")
-    padded = order + [-1] * (-len(order) % world)
-    rows = pd.DataFrame({"slot": np.arange(len(padded), dtype=np.int64), "batch": np.array(padded, np.int64)})
-    frame = spark.createDataFrame(rows, "slot long, batch long")
+    n = order if isinstance(order, int) else len(order)
+    slots = n + -n % world
+    if isinstance(order, int):
+        frame = spark.range(slots).select(F.col("id").alias("slot"), F.when(F.col("id") < n, F.col("id")).otherwise(F.lit(-1)).alias("batch"))
+    else:
+        rows = pd.DataFrame({"slot": np.arange(slots, dtype=np.int64), "batch": np.array(order + [-1] * (slots - n), np.int64)})
+        frame = spark.createDataFrame(rows, "slot long, batch long")
     out = frame.select("slot", F.floor(F.col("slot") / world).alias("step"), (F.col("slot") % world).alias("rank"), "batch")
     return out if steps is None else out.where(F.col("step") < steps)
 

@@ -177,7 +177,8 @@ def parquet_source(spark, sf_dir):
 def jsonl_source(spark, sf_dir):
     out = scratch(spark, "documents")
     docs = _documents(spark, sf_dir)
-    docs.orderBy("ord").coalesce(1).select("text").write.option("ignoreNullFields", "false").json(out)
+    # files are read in order of their names, which is that of the ranges
+    docs.select("ord", "text").repartitionByRange("ord").sortWithinPartitions("ord").select("text").write.option("ignoreNullFields", "false").json(out)
     return S.read_jsonl(spark, out).select("ord", "text")
 
 
@@ -489,7 +490,8 @@ def loss_positions(spark, sf_dir):
 
 def _schedule(spark, sf_dir, seed):
     plan = P.batches(_placed(spark, sf_dir)[0])
-    return O.rank_schedule(spark, O.batch_order(plan.count(), seed), 4), plan
+    n = plan.count()
+    return O.rank_schedule(spark, n if seed is None else O.batch_order(n, seed), 4), plan
 
 
 RANKS = f"{PACKED}, slots AS (SELECT CAST(s AS BIGINT) AS slot, s // 4 AS step, s % 4 AS rank, CASE WHEN s < (SELECT count(*) FROM plan) THEN s ELSE -1 END AS batch FROM (SELECT unnest(range(CAST(ceil((SELECT count(*) FROM plan) / 4) AS BIGINT) * 4)) AS s))"

@@ -148,6 +148,8 @@ def test_orders(spark):
     assert order.batch_order(9, 7) == want
     rows = order.rank_schedule(spark, want, 4).orderBy("slot").collect()
     assert [r["batch"] for r in rows] == want + [-1] * 3 and rows[-1]["step"] == 2 and rows[5]["rank"] == 1
+    for n in (0, 1, 8, 9):
+        assert order.rank_schedule(spark, n, 4, 2).orderBy("slot").collect() == order.rank_schedule(spark, list(range(n)), 4, 2).orderBy("slot").collect()
 
 
 def test_sources(spark, tmp_path, jsonl):
