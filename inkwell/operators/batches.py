@@ -18,7 +18,7 @@ MOST_PARTS = 1 << 16
 #: Bytes of documents that a part has, about.
 PART_BYTES = 64 << 20
 #: Numbers of finished batches that a worker hands over at once, about.
-EMITTED = 1 << 21
+EMITTED = 1 << 18
 
 
 def filler_chunks(remaining: Column, longest: int) -> Column:
