@@ -6,7 +6,8 @@ exact token count at every prefix. ``bpe.prefix_counts`` and ``bpe.fitting_prefi
 (and ``truncate_to_budget`` here) answer budget questions from them; nothing is
 encoded again.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; a null id stays null;
+Defined cases: a null or empty text has 0 bytes and 0 tokens; a very long text is counted whole, at a
+byte a code point; a code point that changes the count by more than a signed byte holds is an OverflowError; a null id stays null;
 repeated rows are counted each; an empty table gives an empty result; other columns
 are ignored whatever their names.
 """

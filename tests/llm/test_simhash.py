@@ -37,6 +37,8 @@ def test_fingerprint_of_a_text():
     for n in (0, 1, 3, 4, 5, 40, 300):
         text = " \t\n".join(rng.choice(["Ab", "é", "ÉCLAIR", "x", "日本", "\x85y"]) for _ in range(n))
         assert simhash.fingerprint(text) == slow_fingerprint(text)
+    long = " ".join(rng.choice(["ab", "é", "x9"]) + str(rng.randint(0, 99)) for _ in range(30_000))
+    assert simhash.fingerprint(long) == slow_fingerprint(long)
     assert simhash.fingerprint(None) == 0
 
 

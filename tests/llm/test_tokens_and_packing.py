@@ -146,3 +146,11 @@ def test_packed_pieces(spark, library):
     total = packing.sequences(packed).agg(F.sum(F.size("ids"))).first()[0]
     assert total == sum(r["length"] for r in found)
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_very_long_texts_are_counted_whole(spark, library):
+    words = " ".join(f"Größe {i} word's" for i in range(60_000))
+    given = [words, "a" * 200_000, " " * 100_000 + "x", "日本" * 50_000]
+    frame = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(frame).collect()}
+    assert got == {i: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(given)}
