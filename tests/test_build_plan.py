@@ -139,3 +139,11 @@ def test_counters_of_tasks_that_ran_twice(folder, tmp_path):
     script = RETRIED.format(top=str(Path(build.__file__).parents[2]), source=str(folder[0]), out=f"{tmp_path}/held")
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
     assert done.stdout.split() == ["equal", "1000"], done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("shuffle", [{}, {"shuffle_seed": 1, "shuffle": "bijection"}])
+def test_empty_sources(spark, tmp_path, shuffle):
+    """An empty source is an empty cache; observed counters are there though no row was."""
+    (tmp_path / "e.jsonl").write_text("")
+    made = build.build(spark, tmp_path / "e.jsonl", tmp_path / "c", **shuffle)
+    assert (made["docs"], made["filter_stats"]["read_docs"], made["shards"]) == (0, 0, []) and build.load(spark, tmp_path / "c").count() == 0
